@@ -1,0 +1,5 @@
+SELECT product_id, product_name, category, pattern_group, sale_date, units_sold,
+       round(avg(units_sold) OVER last_rows, 2) AS rolling_30d_avg_demand,
+       CAST(sum(units_sold) OVER last_rows AS BIGINT) AS rolling_30d_total_demand
+FROM sales JOIN products USING (product_id)
+WINDOW last_rows AS (PARTITION BY product_id ORDER BY sale_date ROWS 29 PRECEDING)

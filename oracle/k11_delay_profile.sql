@@ -1,0 +1,12 @@
+WITH v AS (
+    SELECT s.supplier_name, date_diff('day', o.expected_delivery_date, o.actual_delivery_date) AS x
+    FROM purchase_orders o JOIN suppliers s USING (supplier_id) WHERE o.actual_delivery_date IS NOT NULL
+),
+q AS (SELECT supplier_name, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM v GROUP BY supplier_name),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT supplier_name, count(*) AS count, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+       min(x) AS min, min(x) FILTER (WHERE x BETWEEN lo AND hi) AS whisker_low,
+       max(x) FILTER (WHERE x BETWEEN lo AND hi) AS whisker_high, max(x) AS max,
+       count(*) FILTER (WHERE x NOT BETWEEN lo AND hi) AS outliers
+FROM v JOIN f USING (supplier_name) GROUP BY supplier_name

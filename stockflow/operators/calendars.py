@@ -93,67 +93,61 @@ def dense_product_days(
 ) -> DataFrame:
     """One row per product and calendar day.
 
-    Missing flows are 0, missing stock is the last known value. Without a range each
-    product runs from its own first to its own last day, so the grid stays in proportion
-    to the history. Grid and facts are stacked and summed in one shuffle.
+    Missing flows are 0, missing stock is the last known value, NULL before the first one.
+    Without a range each product runs from its own first to its own last day, so the result
+    stays in proportion to the history. Only the facts are shuffled: each row then emits
+    itself and the empty days up to the next row.
     """
-    facts = inventory.select(
-        "product_id",
-        F.col("snapshot_date"),
-        F.col("stock_on_hand").cast("long").alias("stock_on_hand"),
-        F.col("is_stockout").cast("int").alias("is_stockout"),
-        F.lit(None).cast("long").alias("units_sold"),
-        F.lit(None).cast("long").alias("units_demanded"),
-    ).unionByName(
-        sales.select(
+    facts = (
+        inventory.select(
             "product_id",
-            F.col("sale_date").alias("snapshot_date"),
-            F.lit(None).cast("long").alias("stock_on_hand"),
-            F.lit(None).cast("int").alias("is_stockout"),
-            F.col("units_sold").cast("long").alias("units_sold"),
-            F.col("units_demanded").cast("long").alias("units_demanded"),
+            F.col("snapshot_date").alias("_day"),
+            F.col("stock_on_hand").cast("long").alias("_stock"),
+            F.col("is_stockout").cast("int").alias("_out"),
+            F.lit(None).cast("long").alias("_sold"),
+            F.lit(None).cast("long").alias("_wanted"),
         )
-    )
-    span = facts.groupBy("product_id").agg(
-        F.min("snapshot_date").alias("_first"), F.max("snapshot_date").alias("_last")
-    )
-    first = F.col("_first") if start is None else start
-    last = F.col("_last") if end is None else end
-    grid = span.filter(first <= last).select(
-        "product_id",
-        F.explode(F.sequence(first, last)).alias("snapshot_date"),
-        *[
-            F.lit(None).cast(kind).alias(name)
-            for name, kind in (
-                ("stock_on_hand", "long"),
-                ("is_stockout", "int"),
-                ("units_sold", "long"),
-                ("units_demanded", "long"),
+        .unionByName(
+            sales.select(
+                "product_id",
+                F.col("sale_date").alias("_day"),
+                F.lit(None).cast("long").alias("_stock"),
+                F.lit(None).cast("int").alias("_out"),
+                F.col("units_sold").cast("long").alias("_sold"),
+                F.col("units_demanded").cast("long").alias("_wanted"),
             )
-        ],
-    )
-    known = (
-        Window.partitionBy("product_id")
-        .orderBy("snapshot_date")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    dense = (
-        facts.unionByName(grid)
-        .groupBy("product_id", "snapshot_date")
-        .agg(
-            F.max("stock_on_hand").alias("stock_on_hand"),
-            F.coalesce(F.max("is_stockout"), F.lit(0)).alias("is_stockout"),
-            F.coalesce(F.sum("units_sold"), F.lit(0)).alias("units_sold"),
-            F.coalesce(F.sum("units_demanded"), F.lit(0)).alias("units_demanded"),
         )
-        .withColumn("stock_on_hand", F.last("stock_on_hand", ignorenulls=True).over(known))
+        .groupBy("product_id", "_day")
+        .agg(*[F.max(c).alias(c) for c in ("_stock", "_out")], *[F.sum(c).alias(c) for c in ("_sold", "_wanted")])
     )
-    # The carried stock may come from before the range, so the cut follows the window.
+    by_day = Window.partitionBy("product_id").orderBy("_day")
+    day = F.col("_day")
+    before_next = F.date_sub(F.lead("_day").over(by_day), 1)
+    first, last = day, F.coalesce(before_next, day)
     if start is not None:
-        dense = dense.filter(F.col("snapshot_date") >= start)
+        reach_back = F.when(F.lag("_day").over(by_day).isNull(), F.least(day, start)).otherwise(day)
+        first = F.greatest(reach_back, start)
     if end is not None:
-        dense = dense.filter(F.col("snapshot_date") <= end)
-    return dense
+        last = F.least(F.coalesce(before_next, F.greatest(day, end)), end)
+    known = F.last("_stock", ignorenulls=True).over(by_day)
+    emitted = (
+        facts.withColumns({"_known": known, "_from": first, "_to": last})
+        .filter("_from <= _to")
+        .withColumn("snapshot_date", F.explode(F.sequence("_from", "_to")))
+    )
+    own = F.col("snapshot_date") == day
+
+    def flow(column: str) -> Column:
+        return F.when(own, F.coalesce(column, F.lit(0))).otherwise(F.lit(0))
+
+    return emitted.select(
+        "product_id",
+        "snapshot_date",
+        F.when(F.col("snapshot_date") >= day, F.col("_known")).alias("stock_on_hand"),
+        flow("_out").alias("is_stockout"),
+        flow("_sold").alias("units_sold"),
+        flow("_wanted").alias("units_demanded"),
+    )
 
 
 def range_of(df: DataFrame, day: str) -> tuple[Column, Column]:

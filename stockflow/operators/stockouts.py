@@ -226,18 +226,25 @@ def high_stockout_share(summary: DataFrame, above_pct: float = 5.0) -> DataFrame
     )
 
 
-def stockout_runs(inventory: DataFrame) -> DataFrame:
-    """Runs of consecutive stockout snapshots per product.
+def stockout_runs(inventory: DataFrame, calendar_days: bool = False) -> DataFrame:
+    """Runs of consecutive stockouts per product.
 
-    The count of snapshots in stock so far names the run a stockout belongs to. For runs of
-    calendar days on sparse data, pass ``dense_product_days`` as the inventory.
+    By default a run goes on until a snapshot in stock. With ``calendar_days`` it also ends
+    at a day without a snapshot; on daily data the two agree. The first form names a run by
+    the snapshots in stock before it, the second by its date less its place in the series.
     """
     by_day = Window.partitionBy("product_id").orderBy("snapshot_date")
+    days = inventory.select("product_id", "snapshot_date", "is_stockout")
+    if calendar_days:
+        days = days.filter("is_stockout = 1").withColumn(
+            "_run", F.unix_date("snapshot_date") - F.row_number().over(by_day)
+        )
+    else:
+        days = days.withColumn("_run", F.count_if(F.col("is_stockout") == 0).over(by_day)).filter(
+            "is_stockout = 1"
+        )
     return (
-        inventory.select("product_id", "snapshot_date", "is_stockout")
-        .withColumn("_run", F.count_if(F.col("is_stockout") == 0).over(by_day))
-        .filter("is_stockout = 1")
-        .groupBy("product_id", "_run")
+        days.groupBy("product_id", "_run")
         .agg(
             F.min("snapshot_date").alias("run_start"),
             F.max("snapshot_date").alias("run_end"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
     DecimalType,
@@ -109,5 +110,4 @@ LATEST_SALE = "2030-01-01"
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast and order the columns of ``df`` to the declared table."""
-    nullable = StructType([StructField(f.name, f.dataType, True) for f in TABLES[table]])
-    return df.to(nullable)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])

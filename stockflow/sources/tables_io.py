@@ -19,6 +19,8 @@ CSV_READ = {
     "quote": '"',
     "nullValue": "",
     "dateFormat": "yyyy-MM-dd",
+    # Columns go by position; a header that says otherwise fails the read.
+    "enforceSchema": "false",
 }
 
 
@@ -51,10 +53,13 @@ def write_tables(
     drop: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
-    """Write tables side by side, leaving out helper columns."""
+    """Write tables side by side, in declared column order, without helper columns."""
     suffix = ".csv" if fmt == "csv" else ""
     for table, df in tables.items():
-        writer = df.drop(*drop).write.mode(mode).format(fmt)
+        df = df.drop(*drop)
+        declared = [name for name in TABLES[table].names if name in df.columns]
+        others = [name for name in df.columns if name not in declared]
+        writer = df.select(*declared, *others).write.mode(mode).format(fmt)
         if fmt == "csv":
             writer = writer.options(header="true", nullValue="", emptyValue="")
         writer.save(f"{directory}/{table}{suffix}")
