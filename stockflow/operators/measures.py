@@ -45,8 +45,7 @@ def inventory_turnover(
     """Revenue over average stock times average unit cost.
 
     As the dashboard states it: both averages are unweighted, and revenue stands in for the
-    cost of goods sold. All three parts are summed per product and stacked, so one grouped
-    aggregation replaces joining them.
+    cost of goods sold. The facts are summed per product before they meet the dimension.
     """
     revenue = sales.groupBy("product_id").agg(F.sum("revenue").alias("_revenue"))
     stock = inventory.groupBy("product_id").agg(
@@ -58,7 +57,7 @@ def inventory_turnover(
         .join(stock, "product_id", "left")
     )
     avg_stock = ratio(F.sum("_stock"), F.sum("_days"))
-    avg_cost = F.avg(F.col("unit_cost").cast("double"))
+    avg_cost = ratio(F.sum("unit_cost"), F.count("unit_cost"))
     return parts.groupBy(*by).agg(
         F.sum("_revenue").alias("total_revenue"),
         avg_stock.alias("avg_stock_on_hand"),

@@ -52,11 +52,12 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def _counted(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(rows.alias("_n"))
     )
 
 
@@ -81,13 +82,16 @@ def _inside():
     return F.col("_value").between(F.col("_low_fence"), F.col("_high_fence"))
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5) -> DataFrame:
+def box_stats(
+    df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5, weight: str | None = None
+) -> DataFrame:
     """Quartiles, whiskers and outlier count per group.
 
     Whiskers end at the extreme values inside ``whisker`` interquartile ranges of the box.
+    ``weight`` names a column of row counts when the rows are counted already.
     """
     by = list(by)
-    counted = _counted(df, value, by)
+    counted = _counted(df, value, by, weight)
     boxes = _quartiles(counted, by, whisker)
     return (
         counted.join(boxes, by)
@@ -102,10 +106,12 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5
     )
 
 
-def box_outliers(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5) -> DataFrame:
+def box_outliers(
+    df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5, weight: str | None = None
+) -> DataFrame:
     """The values outside the whiskers and how often each occurs."""
     by = list(by)
-    counted = _counted(df, value, by)
+    counted = _counted(df, value, by, weight)
     return (
         counted.join(_quartiles(counted, by, whisker), by)
         .filter(~_inside())

@@ -104,8 +104,15 @@ def delivery_delays(pos: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def delay_profile(pos: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Box-plot summary of delay days by supplier."""
-    return box_stats(delivery_delays(pos, suppliers), "delay_days", ["supplier_name"])
+    """Box-plot summary of delay days by supplier.
+
+    Delays are counted per supplier key before the name is joined, so a supplier with very
+    many orders brings only its distinct delays to the join.
+    """
+    delay = F.datediff("actual_delivery_date", "expected_delivery_date").alias("delay_days")
+    counted = received_orders(pos).groupBy("supplier_id", delay).agg(F.count(F.lit(1)).alias("orders"))
+    named = counted.join(suppliers.select("supplier_id", "supplier_name"), "supplier_id")
+    return box_stats(named, "delay_days", ["supplier_name"], weight="orders")
 
 
 def supplier_reliability(pos: DataFrame) -> DataFrame:

@@ -375,7 +375,7 @@ def _(t):
 
 @query("k36_stock_ledger", "K36")
 def _(t):
-    return t.ledger.drop("unit_price")
+    return t.derived_ledger.drop("unit_price")
 
 
 @query("k39_lost_sales", "K39 C8")
@@ -569,10 +569,7 @@ def _(t):
 
 @query("k18_turnover_by_category", "K18")
 def _(t):
-    return _rounded(
-        measures.inventory_turnover(t.sales, t.stock_days, t.products, by=["category"]),
-        6, "avg_unit_cost", "inventory_turnover",
-    )
+    return measures.inventory_turnover(t.sales, t.stock_days, t.products, by=["category"])
 
 
 @query("k19_days_of_inventory", "K19")

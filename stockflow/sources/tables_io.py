@@ -69,18 +69,15 @@ def publish_mart(df: DataFrame, path: str, day: str | None = None) -> DataFrame:
     """Publish a query result as Parquet and read it back.
 
     With ``day`` the mart is partitioned by month, so a report on a date range reads only
-    its months; rows are routed to their month first, to write few files per month, and
-    spread by hash over a few writers so that one busy month is not one task.
+    its months. The rebalance routes rows to their month, to write few files, and splits a
+    busy month by size over as many tasks as it needs.
     """
     if day is None:
         df.write.mode("overwrite").parquet(path)
     else:
-        month = F.date_format(day, "yyyy-MM")
         (
-            df.withColumn("month", month)
-            .withColumn("_writer", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-            .repartition("month", "_writer")
-            .drop("_writer")
+            df.withColumn("month", F.date_format(day, "yyyy-MM"))
+            .hint("rebalance", F.col("month"))
             .write.mode("overwrite")
             .partitionBy("month")
             .parquet(path)
@@ -103,3 +100,27 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="stockflow-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Number, total size and hash of the files under ``paths``, without reading them."""
+    listed = spark.read.format("binaryFile").load(list(paths))
+    marks = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    return tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.sum(marks)).first())
+
+
+def written_once(df: DataFrame, purpose: str, sources: Sequence[str]) -> str:
+    """Write a derived table to the shared folder, once per session and state of its sources.
+
+    A changed, added or removed source file gives a new copy. Returns the path.
+    """
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, purpose, *sources, _fingerprint(spark, sources))
+    if key not in _WRITTEN:
+        path = shared_dir(spark, purpose)
+        df.write.parquet(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
