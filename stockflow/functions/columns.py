@@ -20,7 +20,11 @@ def percent(top: Column, bottom: Column) -> Column:
 
 
 def month_start(day: Column) -> Column:
-    """First of the month as text, ``yyyy-MM-01``."""
+    """First of the month as text, ``yyyy-MM-01``.
+
+    Group by ``F.trunc(day, "MM")`` and apply this to the groups: a date key is narrower
+    than its text, and is formatted once per group instead of once per row.
+    """
     return F.date_format(day, "yyyy-MM-01")
 
 

@@ -32,8 +32,10 @@ def weekday_distribution(
 
 def monthly_demand(sales: DataFrame, measure: str = "units_sold", ordered: bool = True) -> DataFrame:
     """Units of all products per month."""
-    monthly = sales.groupBy(month_label(F.col("sale_date")).alias("month")).agg(
-        F.sum(measure).alias(measure)
+    monthly = (
+        sales.groupBy(F.trunc("sale_date", "MM").alias("_month"))
+        .agg(F.sum(measure).alias(measure))
+        .select(month_label(F.col("_month")).alias("month"), measure)
     )
     return monthly.orderBy("month") if ordered else monthly
 
@@ -43,17 +45,16 @@ def monthly_revenue(sales: DataFrame, products: DataFrame, ordered: bool = True)
 
     Summed per product and month before the price is joined.
     """
-    per_product = sales.groupBy(
-        "product_id", month_label(F.col("sale_date")).alias("month")
-    ).agg(
+    per_product = sales.groupBy("product_id", F.trunc("sale_date", "MM").alias("_month")).agg(
         F.sum("revenue").alias("_revenue"),
         F.sum(F.col("units_demanded") - F.col("units_sold")).alias("_gap"),
     )
     lost = (F.col("_gap").cast("decimal(18,0)") * F.col("unit_price")).cast("decimal(28,2)")
     monthly = (
         per_product.join(products.select("product_id", "unit_price"), "product_id")
-        .groupBy("month")
+        .groupBy("_month")
         .agg(F.sum("_revenue").alias("revenue"), F.sum(lost).alias("revenue_lost"))
+        .select(month_label(F.col("_month")).alias("month"), "revenue", "revenue_lost")
     )
     return monthly.orderBy("month") if ordered else monthly
 

@@ -94,10 +94,10 @@ def demand_growth_streaks(
     Each month is compared with the previous month present. The number of non-rises so far
     names the run a rise belongs to, so one window serves both steps.
     """
-    monthly = sales.groupBy("product_id", month_start(F.col("sale_date")).alias("month_start")).agg(
+    monthly = sales.groupBy("product_id", F.trunc("sale_date", "MM").alias("month")).agg(
         F.sum(measure).alias("units")
     )
-    by_month = Window.partitionBy("product_id").orderBy("month_start")
+    by_month = Window.partitionBy("product_id").orderBy("month")
     rose = F.coalesce(F.col("units") > F.lag("units").over(by_month), F.lit(False))
     runs = (
         monthly.withColumn("_rose", rose)
@@ -106,8 +106,8 @@ def demand_growth_streaks(
         .groupBy("product_id", "_run")
         .agg(
             F.count(F.lit(1)).alias("consecutive_growth_months"),
-            F.min("month_start").alias("streak_start"),
-            F.max("month_start").alias("streak_end"),
+            month_start(F.min("month")).alias("streak_start"),
+            month_start(F.max("month")).alias("streak_end"),
         )
         .filter(F.col("consecutive_growth_months") >= min_months)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.columns import ratio
 from stockflow.operators.demand import rolling_demand
 from stockflow.operators.ledger import stock_against_reorder_point
-from stockflow.operators.replenishment import recent_demand
+from stockflow.operators.replenishment import latest_stock, recent_demand
 
 
 def _dims(products: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
@@ -18,11 +18,7 @@ def _dims(products: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
 
 
 def _newest_stock(inventory: DataFrame) -> DataFrame:
-    return (
-        inventory.groupBy("product_id")
-        .agg(F.max(F.struct("snapshot_date", "stock_on_hand")).alias("_newest"))
-        .select("product_id", F.col("_newest.stock_on_hand").alias("stock_on_hand"))
-    )
+    return latest_stock(inventory).select("product_id", "stock_on_hand")
 
 
 def stock_value(units: Column, unit_cost: Column) -> Column:

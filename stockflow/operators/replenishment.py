@@ -186,10 +186,12 @@ def reorder_point_asof(
 def latest_stock(inventory: DataFrame, *extra: Column) -> DataFrame:
     """The newest snapshot of each product (C3, E7), beside further aggregates.
 
-    One map-side combined aggregation instead of a join back to the newest date.
+    One map-side combined hash aggregation instead of a join back to the newest date.
     """
-    newest = F.max(F.struct("snapshot_date", "stock_on_hand", "reorder_point_snapshot")).alias("_newest")
-    return inventory.groupBy("product_id").agg(newest, *extra).select("*", "_newest.*").drop("_newest")
+    carried = [c for c in ("stock_on_hand", "reorder_point_snapshot") if c in inventory.columns]
+    return inventory.groupBy("product_id").agg(
+        *[F.max_by(c, "snapshot_date").alias(c) for c in carried], *extra
+    )
 
 
 def recent_demand(sales: DataFrame, window_days: int = 30, measure: str = "units_sold") -> DataFrame:
@@ -305,11 +307,7 @@ def replenishment_list(
     """
     if as_of is None:
         as_of = scalar(inventory, F.max("snapshot_date"))
-    stock = (
-        inventory.groupBy("product_id")
-        .agg(F.max(F.struct("snapshot_date", "stock_on_hand")).alias("_newest"))
-        .select("product_id", "_newest.stock_on_hand")
-    )
+    stock = latest_stock(inventory).select("product_id", "stock_on_hand")
     points = reorder_point(
         sales, products, suppliers, baseline_days=baseline_days, lead_penalty=lead_penalty
     )

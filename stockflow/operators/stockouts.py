@@ -112,22 +112,26 @@ def stockout_rate(
     """
     facts, keys = inventory, []
     if "region" in by:
-        places = sales.select(
-            "product_id", F.col("sale_date").alias("snapshot_date"), "region"
-        ).distinct()
+        # Routed by the join key first, so that removing repeats needs no shuffle of its own.
+        places = (
+            sales.select("product_id", F.col("sale_date").alias("snapshot_date"), "region")
+            .repartition("product_id", "snapshot_date")
+            .distinct()
+        )
         facts = facts.join(places, ["product_id", "snapshot_date"])
         keys.append(F.col("region"))
     if "month" in by:
-        keys.append(month_label(F.col("snapshot_date")).alias("month"))
+        keys.append(F.trunc("snapshot_date", "MM").alias("month"))
     counted = _per_product(facts, *keys)
     looked_up = [c for c in by if c not in ("region", "month", "product_id")]
     if looked_up:
         counted = counted.join(products.select("product_id", *looked_up), "product_id")
-    return counted.groupBy(*by).agg(
+    rates = counted.groupBy(*by).agg(
         F.sum("_out").alias("stockout_days"),
         F.sum("_days").alias("days_tracked"),
         ratio(F.sum("_out"), F.sum("_days")).alias("stockout_rate"),
     )
+    return rates.withColumn("month", month_label(F.col("month"))) if "month" in by else rates
 
 
 def service_level(inventory: DataFrame, products: DataFrame) -> DataFrame:

@@ -150,6 +150,14 @@ def _(t):
     )
 
 
+@query("a17_bucketed_mart", "A17 K1")
+def _(t):
+    path = tables_io.shared_dir(t.spark, "bucketed")
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    sales = tables_io.publish_bucketed(t.sales, f"sales_{path[-12:]}", path, buckets)
+    return demand.rolling_demand(sales, t.products, ordered=False)
+
+
 # Scalars, distributions, calendar
 
 

@@ -175,7 +175,7 @@ class MappedTables:
 
     @cached_property
     def sales(self) -> DataFrame:
-        regions = self.raw("region").select("r_regionkey", F.col("r_name").alias("region"))
+        regions = self.raw("region").groupBy("r_regionkey").agg(F.max("r_name").alias("region"))
         # Wider than the declared decimal(12,2): a very hot product must not overflow.
         revenue = (F.col("units_sold").cast("decimal(18,0)") * F.col("unit_price")).cast("decimal(24,2)")
         return (
