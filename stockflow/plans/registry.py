@@ -121,7 +121,7 @@ def _(t):
 
 @query("a12_domain_rules", "A12 H15")
 def _(t):
-    return quality.domain_rules(t.sales, t.stock_days, t.products)
+    return quality.domain_rules(t.sales, t.inventory, t.products)
 
 
 @query("a13_row_counts", "A13 G1 D2")
@@ -217,7 +217,7 @@ def _(t):
 
 @query("d12_service_level_bars", "D12 D6")
 def _(t):
-    levels = stockouts.service_level(t.stock_days, t.products)
+    levels = stockouts.service_level(t.inventory, t.products)
     bars = profiles.mean_with_spread(levels, "achieved_service_level", ["pattern_group"])
     return _rounded(bars, 9, "mean", "std", "low", "high")
 
@@ -254,7 +254,7 @@ def _(t):
 
 @query("c10_calendar_demand", "C10 I5")
 def _(t):
-    dates = calendars.date_table(calendars.date_bounds(t.stock_days, "snapshot_date"))
+    dates = calendars.date_table(calendars.date_bounds(t.inventory, "snapshot_date"))
     on_days = calendars.on_calendar(dates, t.sales, "sale_date", ["units_sold", "units_demanded"])
     return on_days.select("date", "dow", "units_sold", "units_demanded")
 
@@ -271,13 +271,13 @@ def _grid_totals(grid):
 
 @query("i06_dense_days", "I6")
 def _(t):
-    return _grid_totals(calendars.dense_product_days(t.stock_days, t.sales))
+    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales))
 
 
 @query("i06_dense_days_in_range", "I6")
 def _(t):
     start, end = F.lit(GRID_START).cast("date"), F.lit(GRID_END).cast("date")
-    return _grid_totals(calendars.dense_product_days(t.stock_days, t.sales, start, end))
+    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales, start, end))
 
 
 # Demand
@@ -337,7 +337,7 @@ def _(t):
 
 @query("k05_reorder_point_asof", "K5")
 def _(t):
-    return replenishment.reorder_point_asof(t.sales, t.stock_days, t.products, t.suppliers)
+    return replenishment.reorder_point_asof(t.sales, t.inventory, t.products, t.suppliers)
 
 
 @query("k06_service_levels", "K6")
@@ -374,7 +374,7 @@ def _(t):
 @query("k38_replenishment_list", "K38 H2")
 def _(t):
     return replenishment.replenishment_list(
-        t.stock_days, t.sales, t.products, t.suppliers, t.purchase_orders, baseline_days=None
+        t.inventory, t.sales, t.products, t.suppliers, t.purchase_orders, baseline_days=None
     )
 
 
@@ -383,7 +383,7 @@ def _(t):
 
 @query("k36_stock_ledger", "K36")
 def _(t):
-    return t.derived_ledger.drop("unit_price")
+    return t.derive_ledger().drop("unit_price")
 
 
 @query("k39_lost_sales", "K39 C8")
@@ -402,7 +402,7 @@ def _(t):
 
 
 def _summary(t):
-    return stockouts.stockout_summary(t.products, t.stock_days, t.sales)
+    return stockouts.stockout_summary(t.products, t.inventory, t.sales)
 
 
 @query("k09_top_stockouts", "K9 B2 B5 C4 D3 D5 E4 F3")
@@ -417,43 +417,43 @@ def _(t):
 
 @query("k12_rate_by_pattern", "K12 D4 F4")
 def _(t):
-    return stockouts.stockout_rate(t.stock_days, t.products, by=["pattern_group"])
+    return stockouts.stockout_rate(t.inventory, t.products, by=["pattern_group"])
 
 
 @query("k12_rate_by_category", "K12 D4")
 def _(t):
-    return stockouts.stockout_rate(t.stock_days, t.products, by=["category"])
+    return stockouts.stockout_rate(t.inventory, t.products, by=["category"])
 
 
 @query("k12_rate_by_region", "K12 C4")
 def _(t):
-    return stockouts.stockout_rate(t.stock_days, sales=t.sales, by=["region"])
+    return stockouts.stockout_rate(t.inventory, sales=t.sales, by=["region"])
 
 
 @query("k12_rate_by_supplier", "K12")
 def _(t):
-    return stockouts.stockout_rate(t.stock_days, t.products, by=["supplier_id"])
+    return stockouts.stockout_rate(t.inventory, t.products, by=["supplier_id"])
 
 
 @query("k12_rate_by_month", "K12 B9")
 def _(t):
-    return stockouts.stockout_rate(t.stock_days, t.products, by=["month", "category"])
+    return stockouts.stockout_rate(t.inventory, t.products, by=["month", "category"])
 
 
 @query("k13_service_level", "K13")
 def _(t):
-    return stockouts.service_level(t.stock_days, t.products)
+    return stockouts.service_level(t.inventory, t.products)
 
 
 @query("k13_service_level_by_pattern", "K13 D6")
 def _(t):
-    levels = stockouts.service_level(t.stock_days, t.products)
+    levels = stockouts.service_level(t.inventory, t.products)
     return _rounded(stockouts.service_level_by_pattern(levels), 9, "mean", "std")
 
 
 @query("k16_units_lost", "K16 C9")
 def _(t):
-    return stockouts.units_lost(t.stock_days, t.sales, t.products, by=["category"])
+    return stockouts.units_lost(t.inventory, t.sales, t.products, by=["category"])
 
 
 @query("k17_revenue_lost_all_sales", "K17 D13")
@@ -463,7 +463,7 @@ def _(t):
 
 @query("k17_revenue_lost_on_stockouts", "K17")
 def _(t):
-    return stockouts.revenue_lost_on_stockouts(t.stock_days, t.sales, t.products, by=["category"])
+    return stockouts.revenue_lost_on_stockouts(t.inventory, t.sales, t.products, by=["category"])
 
 
 @query("k23_lost_by_category", "K23")
@@ -494,23 +494,23 @@ def _(t):
 
 @query("k32_stockout_runs", "K32 E6")
 def _(t):
-    return stockouts.stockout_runs(t.stock_days)
+    return stockouts.stockout_runs(t.inventory)
 
 
 @query("k32_duration_by_category", "K32")
 def _(t):
-    return stockouts.stockout_duration(stockouts.stockout_runs(t.stock_days), t.products, by=["category"])
+    return stockouts.stockout_duration(stockouts.stockout_runs(t.inventory), t.products, by=["category"])
 
 
 @query("k32_duration_by_region", "K32")
 def _(t):
-    runs = stockouts.stockout_runs(t.stock_days)
+    runs = stockouts.stockout_runs(t.inventory)
     return stockouts.stockout_duration(runs, t.sales.select("product_id", "region"), by=["region"])
 
 
 @query("k32_calendar_runs", "K32")
 def _(t):
-    return stockouts.stockout_runs(t.stock_days, calendar_days=True)
+    return stockouts.stockout_runs(t.inventory, calendar_days=True)
 
 
 # Suppliers
@@ -518,7 +518,7 @@ def _(t):
 
 @query("k08_supplier_ranking", "K8 B4 C5 D3 D4 D5 E3 H6")
 def _(t):
-    return suppliers.supplier_ranking(t.suppliers, t.purchase_orders, t.products, t.stock_days)
+    return suppliers.supplier_ranking(t.suppliers, t.purchase_orders, t.products, t.inventory)
 
 
 @query("k11_delivery_delays", "K11 B4 H6")
@@ -543,18 +543,18 @@ def _(t):
 
 @query("k25_supplier_scatter", "K25")
 def _(t):
-    return suppliers.supplier_scatter(t.suppliers, t.purchase_orders, t.products, t.stock_days)
+    return suppliers.supplier_scatter(t.suppliers, t.purchase_orders, t.products, t.inventory)
 
 
 @query("k25_supplier_correlation", "K25")
 def _(t):
-    scatter = suppliers.supplier_scatter(t.suppliers, t.purchase_orders, t.products, t.stock_days)
+    scatter = suppliers.supplier_scatter(t.suppliers, t.purchase_orders, t.products, t.inventory)
     return _rounded(suppliers.supplier_correlation(scatter), 6, "correlation")
 
 
 @query("k30_underperforming_suppliers", "K30")
 def _(t):
-    return suppliers.underperforming_suppliers(t.suppliers, t.purchase_orders, t.products, t.stock_days)
+    return suppliers.underperforming_suppliers(t.suppliers, t.purchase_orders, t.products, t.inventory)
 
 
 # Measures and findings
@@ -572,28 +572,28 @@ def _(t):
 
 @query("k18_inventory_turnover", "K18")
 def _(t):
-    return measures.inventory_turnover(t.sales, t.stock_days, t.products)
+    return measures.inventory_turnover(t.sales, t.inventory, t.products)
 
 
 @query("k18_turnover_by_category", "K18")
 def _(t):
-    return measures.inventory_turnover(t.sales, t.stock_days, t.products, by=["category"])
+    return measures.inventory_turnover(t.sales, t.inventory, t.products, by=["category"])
 
 
 @query("k19_days_of_inventory", "K19")
 def _(t):
-    cover = measures.days_of_inventory(t.stock_days, t.sales, t.products, by=["category"])
+    cover = measures.days_of_inventory(t.inventory, t.sales, t.products, by=["category"])
     return _rounded(cover, 6, "avg_daily_demand_30d", "days_of_inventory_remaining")
 
 
 @query("k19_days_of_inventory_by_product", "K19")
 def _(t):
-    return measures.days_of_inventory(t.stock_days, t.sales, t.products, by=["product_id"])
+    return measures.days_of_inventory(t.inventory, t.sales, t.products, by=["product_id"])
 
 
 @query("k21_inventory_value", "K21")
 def _(t):
-    return measures.inventory_value(t.stock_days, t.products, by=["category"])
+    return measures.inventory_value(t.inventory, t.products, by=["category"])
 
 
 @query("k22_status_counts", "K22")
@@ -603,12 +603,12 @@ def _(t):
 
 @query("k27_excess_cover", "K27")
 def _(t):
-    return findings.excess_cover(t.stock_days, t.sales, t.products)
+    return findings.excess_cover(t.inventory, t.sales, t.products)
 
 
 @query("k27_excess_cover_total", "K27")
 def _(t):
-    return findings.excess_cover_total(findings.excess_cover(t.stock_days, t.sales, t.products))
+    return findings.excess_cover_total(findings.excess_cover(t.inventory, t.sales, t.products))
 
 
 @query("k28_overstock_capital", "K28")
@@ -641,18 +641,18 @@ def _(t):
 
 @query("k33_carrying_cost", "K33")
 def _(t):
-    return measures.carrying_cost(t.stock_days, t.products, CARRYING_RATE)
+    return measures.carrying_cost(t.inventory, t.products, CARRYING_RATE)
 
 
 @query("k33_carrying_cost_by_category", "K33")
 def _(t):
-    return _rounded(measures.carrying_cost(t.stock_days, t.products, CARRYING_RATE, by=["category"]), 4, "carrying_cost")
+    return _rounded(measures.carrying_cost(t.inventory, t.products, CARRYING_RATE, by=["category"]), 4, "carrying_cost")
 
 
 @query("k40_product_detail", "K40 B7")
 def _(t):
     """Detail of the product with the most stockout days, the smallest key among equals."""
-    short = t.stock_days.groupBy("product_id").agg(F.sum("is_stockout").alias("days"))
+    short = t.inventory.groupBy("product_id").agg(F.sum("is_stockout").alias("days"))
     worst = F.max(F.struct("days", (-F.col("product_id")).alias("key")))
     chosen = -scalar(short, worst)["key"]
     return measures.product_detail(chosen, t.sales, t.inventory, t.products)

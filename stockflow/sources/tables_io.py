@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stockflow.schemas import TABLES, conform
 
@@ -122,25 +123,29 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
 
 
-def _fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
+def files_state(spark: SparkSession, paths: Sequence[str]) -> tuple:
     """Number, total size and hash of the files under ``paths``, without reading them."""
     listed = spark.read.format("binaryFile").load(list(paths))
     marks = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
     return tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.sum(marks)).first())
 
 
-def written_once(df: DataFrame, purpose: str, sources: Sequence[str]) -> str:
-    """Write a derived table to the shared folder, once per session and state of its sources.
+def written_once(
+    spark: SparkSession, name: str, state: tuple, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A derived table, written to the shared folder once per session and state of its sources.
 
-    A changed, added or removed source file gives a new copy. Returns the path.
+    ``state`` comes from ``files_state``: a changed, added or removed source file gives a
+    new copy.
     """
-    spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, purpose, *sources, _fingerprint(spark, sources))
+    key = (spark.sparkContext.applicationId, name, *state)
     if key not in _WRITTEN:
-        path = shared_dir(spark, purpose)
+        df = build()
+        path = shared_dir(spark, name)
         df.write.parquet(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+        _WRITTEN[key] = (path, df.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)

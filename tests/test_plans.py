@@ -40,13 +40,13 @@ def test_scan_is_pruned_and_filtered(spark):
 
 def test_unused_lookups_are_dropped(spark):
     tables = MappedTables(spark, SF)
-    assert "lineitem" not in plan(tables.products.select("product_id", "category"))
-    assert "orders" not in plan(tables.suppliers.select("supplier_id", "avg_lead_time_days"))
-    assert "part.parquet" not in plan(tables.purchase_orders.select("supplier_id", "status"))
+    assert "lineitem" not in plan(tables.derive_products().select("product_id", "category"))
+    assert "orders" not in plan(tables.derive_suppliers().select("supplier_id", "avg_lead_time_days"))
+    assert "part.parquet" not in plan(tables.derive_purchase_orders().select("supplier_id", "status"))
 
 
 def test_ledger_window_shares_one_exchange(spark):
-    text = plan(MappedTables(spark, SF).derived_ledger)
+    text = plan(MappedTables(spark, SF).derive_ledger())
     assert text.count("hashpartitioning(product_id") == 2  # by (product, day), then by product
 
 

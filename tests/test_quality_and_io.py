@@ -9,6 +9,7 @@ from stockflow.functions.ranking import number_rows, rank_by_value
 from stockflow.operators import quality
 from stockflow.schemas import TABLES
 from stockflow.sources.tables_io import (
+    files_state,
     load_table,
     load_tables,
     publish_mart,
@@ -133,13 +134,20 @@ def test_mart_stamp_and_shared_dir(spark, make, tmp_path):
 
 def test_written_once_follows_its_sources(spark, tmp_path):
     source = str(tmp_path / "in.parquet")
+    builds = []
+
+    def derived():
+        def build():
+            builds.append(1)
+            return spark.read.parquet(source)
+
+        return written_once(spark, "t", files_state(spark, [source]), build)
+
     spark.range(3).write.parquet(source)
-    first = written_once(spark.read.parquet(source), "t", [source])
-    assert written_once(spark.read.parquet(source), "t", [source]) == first
+    assert (derived().count(), derived().count(), len(builds)) == (3, 3, 1)
     spark.range(5).write.mode("overwrite").parquet(source)
     spark.catalog.refreshByPath(source)
-    second = written_once(spark.read.parquet(source), "t", [source])
-    assert second != first and spark.read.parquet(second).count() == 5
+    assert (derived().count(), len(builds)) == (5, 2)
 
 
 def test_dense_numbers(spark):
