@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -114,10 +115,12 @@ def stamp_loaded(df: DataFrame, column: str = "created_at") -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder every executor can reach.
 
-    Only where the session names no checkpoint folder, as in tests, is one made up.
+    Only in local mode, as in tests, is one made up where the session names none.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="stockflow-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -142,10 +145,14 @@ def written_once(
     new copy.
     """
     key = (spark.sparkContext.applicationId, name, *state)
-    if key not in _WRITTEN:
-        df = build()
-        path = shared_dir(spark, name)
-        df.write.parquet(path)
-        _WRITTEN[key] = (path, df.schema)
-    path, schema = _WRITTEN[key]
-    return spark.read.schema(schema).parquet(path)
+    if key in _WRITTEN:
+        path, schema = _WRITTEN[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            pass  # the copy has been removed since: derive it again
+    df = build()
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    _WRITTEN[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,6 @@
+import shutil
+from urllib.parse import urlparse
+
 import pytest
 from conftest import product, rows, supplier
 from pyspark.sql import functions as F
@@ -148,6 +151,8 @@ def test_written_once_follows_its_sources(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(source)
     spark.catalog.refreshByPath(source)
     assert (derived().count(), len(builds)) == (5, 2)
+    shutil.rmtree(urlparse(derived().inputFiles()[0]).path.rsplit("/", 1)[0])
+    assert (derived().count(), len(builds)) == (5, 3)
 
 
 def test_dense_numbers(spark):
