@@ -93,7 +93,7 @@ history AS (
                 ELSE sqrt(greatest(squares / n - (total / n) * (total / n), 0.0)) END AS sigma
     FROM (SELECT product_id, CAST(sum(units_demanded) AS DOUBLE) AS total,
                  CAST(sum(units_demanded * units_demanded) AS DOUBLE) AS squares,
-                 CAST(date_diff('day', min(sale_date), max(sale_date)) + 1 AS DOUBLE) AS n
+                 CAST((SELECT date_diff('day', min(sale_date), max(sale_date)) + 1 FROM sales) AS DOUBLE) AS n
           FROM sales GROUP BY product_id)
 ),
 inventory AS (

@@ -23,13 +23,13 @@ def demand_baseline(
 ) -> DataFrame:
     """Daily mean and deviation per product over its first calendar days.
 
-    Days without a sales row count as zero demand. ``None`` takes the whole history.
+    Days without a sales row count as zero demand. ``None`` takes the whole history, from
+    the first to the last sale of any product.
     """
     days = sales.select("product_id", "sale_date", F.col(measure).cast("double").alias("units"))
     if baseline_days is None:
-        last = F.max("sale_date")
-        first = F.min("sale_date")
-        n = (F.datediff(last, first) + 1).cast("double")
+        span = F.datediff(F.max("sale_date"), F.min("sale_date")) + 1
+        n = F.max(scalar(sales, span.cast("double")))
     else:
         whole = Window.partitionBy("product_id")
         days = (

@@ -49,6 +49,10 @@ def test_missing_days_count_as_zero(make):
     assert got["avg_daily_demand"] == 2.0
     assert got["demand_std_dev"] == pytest.approx(4.0)
     assert only(demand_baseline(sales, baseline_days=5))["avg_daily_demand"] == 2.0
+    # The whole history is that of all products: 20 days here.
+    both = sales.unionByName(make("sales", [sale(2, "2024-01-20", 10)]))
+    got = {r["product_id"]: r["avg_daily_demand"] for r in demand_baseline(both, baseline_days=None).collect()}
+    assert got == {1: 1.0, 2: 0.5}
 
 
 def test_floor_of_two_days_and_missing_lead_time(make):
