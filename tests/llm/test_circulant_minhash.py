@@ -1,0 +1,97 @@
+import random
+
+import numpy as np
+import pytest
+from stockflow.llm import circulant_minhash as cm
+from stockflow.llm.components import bucket_components
+from stockflow.llm.queries import QUERIES
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def shingles(text, width):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute(rows, width, percent=80):
+    sets = [shingles(t, width) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    for a, b in pairs:
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            parent[root(a)] = root(b)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root(i)] = min(doc, least.get(root(i), doc))
+    out = []
+    for i, (doc, _) in enumerate(rows):
+        component = least.get(root(i)) if sets[i] else doc
+        out.append((doc, len(sets[i]), component, doc == component))
+    return sorted(out, key=repr)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect()), key=repr)
+
+
+def test_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert rows_of(QUERIES["op9_circulant_minhash"](spark, sf)) == brute(rows, 4)
+
+
+@pytest.mark.parametrize("block_items", [cm.BLOCK_ITEMS, 300])
+def test_a_large_group_of_edited_copies(documents, block_items):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(1000)}"
+        rows.append((1000 - i, " ".join(copy)))
+    assert rows_of(cm.near_duplicates(documents(rows), width=4, block_items=block_items)) == brute(rows, 4)
+
+
+def test_edge_cases(documents):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one"), (7, "a b c d e f"), (7, "a b c d e f")]
+    rows += [(None, "a b c d e f"), (None, "lonely row of five words"), (8, long), (9, long + " end"), (10, "É b c d"), (11, "é b c d")]
+    docs = documents(rows).selectExpr("*", "'z' as tkey", "0 as component_id", "array(1) as bands", "'q' as node", "'i' as id")
+    got = rows_of(cm.near_duplicates(docs, width=4))
+    want = [(d, n, c, k if d is not None else c is None) for d, n, c, k in brute(rows, 4)]
+    assert got == sorted(want, key=repr)
+    assert cm.near_duplicates(docs.limit(0), width=4).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 1 << 62, 200).astype(np.uint64)])
+    s = cm.signatures(np.concatenate([a, b]), np.array([0, 1000, 2000]), 128)
+    assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.15
+    first, windows = cm._permutations(128)
+    assert (windows[5, 1:] == windows[6, :-1]).all() and len(set(first.tolist())) == len(first)
+
+
+def test_components_of_a_path(spark):
+    edges = [(i, f"{i}") for i in range(60)] + [(i + 1, f"{i}") for i in range(60)] + [(100, "q"), (None, "q"), (7, None)]
+    got = bucket_components(spark.createDataFrame(edges, "node long, bucket string")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(61)] + [(100, 100)]
