@@ -17,7 +17,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(TEXTS) == set(entry.queries())
+    assert set(TEXTS) >= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
