@@ -108,10 +108,11 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -145,6 +146,15 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def neighbour_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of the ``width`` bytes from every place on."""
+    _, down = _powers(len(sums))
+    hashes = sums[width:] - sums[:-width]
+    hashes *= down[: len(hashes)]
+    hashes += np.uint64(width)
+    return mix(hashes)
+
+
 def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of word bytes, which never cross texts, and each text's first word.
 
