@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import circulant_minhash, ppm_langid, suffix_dedup
-from stockflow.llm.common import id_crc, table
+from stockflow.llm import (
+    chat_format,
+    circulant_minhash,
+    decontaminate,
+    packing,
+    phrases,
+    ppm_langid,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
+from stockflow.llm.common import id_crc, shared_path, table
+from stockflow.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,6 +29,50 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs, n_shards=8)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_path(spark, "tokens")
+    token_files.write_token_files(docs, path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(spark, path)
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_format.message_records(table(spark, sf_dir, "conversations"))
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7,)], "conv_id long").select(
+        "conv_id", F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("completion"))).alias("record")
+    )
+    formatted = chat_format.format_records(records.unionByName(own), keep=["conv_id"])
+    return chat_format.read_back(formatted, keep=["conv_id"])
+
+
+@query
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,3 +94,9 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = circulant_minhash.near_duplicates(docs, width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)
