@@ -11,6 +11,7 @@ from stockflow.llm import (
     chat_format,
     circulant_minhash,
     decontaminate,
+    lattice_lm,
     packing,
     phrases,
     ppm_langid,
@@ -35,6 +36,13 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, n_shards=8)
 
 
+@query
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_crc() % 5 != 1).alias("learn"))
+    pieces = lattice_lm.subword_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return lattice_lm.score_documents(docs, "learn", pieces)
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
