@@ -91,7 +91,26 @@ def test_signatures_estimate_similarity():
     assert (windows[5, 1:] == windows[6, :-1]).all() and len(set(first.tolist())) == len(first)
 
 
-def test_components_of_a_path(spark):
+def test_components(spark):
+    rng = random.Random(5)
     edges = [(i, f"{i}") for i in range(60)] + [(i + 1, f"{i}") for i in range(60)] + [(100, "q"), (None, "q"), (7, None)]
-    got = bucket_components(spark.createDataFrame(edges, "node long, bucket string")).collect()
-    assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(61)] + [(100, 100)]
+    for i in range(40):
+        edges += [(200 + rng.randrange(80), f"r{i}") for _ in range(2)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for node, bucket in edges:
+        if node is not None and bucket is not None:
+            parent[root(node)] = root(bucket)
+    want, got = {}, {}
+    for node, bucket in edges:
+        if node is not None and bucket is not None:
+            want.setdefault(root(node), set()).add(node)
+    for r in bucket_components(spark.createDataFrame(edges, "node long, bucket string")).collect():
+        got.setdefault(r.component, []).append(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(k in v for k, v in got.items())
