@@ -28,6 +28,9 @@ _INNER = re.compile(r"(?= \S)")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class Memory:
     """Bytes by text, in two generations: what is not met again goes, so memory is bounded."""
 
@@ -40,15 +43,14 @@ class Memory:
         """A lookup that knows all of ``texts``."""
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
-        missing = texts - self.new.keys()
-        if self.old and missing:
-            again = missing & self.old.keys()
-            for text in again:
-                self.new[text] = self.old[text]
-            missing -= again
-        missing = list(missing)
-        self.new.update(zip(missing, self.learn(missing), strict=True))
-        return self.new.__getitem__
+        new, old = self.new, self.old
+        missing = [text for text in texts if text not in new]
+        if old:
+            again = [text for text in missing if text in old]
+            new.update((text, old[text]) for text in again)
+            missing = [text for text in missing if text not in old]
+        new.update(zip(missing, self.learn(missing), strict=True))
+        return new.__getitem__
 
 
 class Encoder:
@@ -77,19 +79,25 @@ class Encoder:
         """Pieces between which no token reaches: at blanks, if those are dropped, else before
         a blank that a character other than white space follows."""
         if self.lower:
-            return text.replace("\n", " ").split(" ")
+            if not text.isascii():  # each character on its own, so no final sigma
+                text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+            return text.lower().replace("\n", " ").split(" ")
         if _ODD.search(text):
             return _INNER.split(text)
-        return [("" if i == 0 else " ") + piece for i, piece in enumerate(text.split(" "))]
-
-    def _normal(self, piece: str) -> str:
-        if not self.lower:
-            return piece
-        # Each character on its own, so no final sigma.
-        return unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def _words(self, piece: str) -> list[str]:
+        """What the pattern finds; most pieces are letters, perhaps with a mark after them."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return [piece]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.words_of(piece)
 
     def _piece_ids(self, pieces: list[str]) -> Iterable[bytes]:
-        cut = [self.words_of(self._normal(piece)) for piece in pieces]
+        cut = list(map(self._words, pieces))
         ids = self.words.of(set().union(*cut))
         return [ids(words[0]) if len(words) == 1 else b"".join(map(ids, words)) for words in cut]
 
