@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -19,6 +21,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+_PLAIN = sys.byteorder == "little" and array("I").itemsize == 4
 KEPT = 400_000  # ids kept in one generation of a memory, some 200 bytes each
 
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -29,6 +32,7 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 
 
 _MARKS = frozenset(".,;:!?")
+_FIRST = "\ud800"  # before a piece that no blank precedes; no text has a lone surrogate
 
 
 class Memory:
@@ -77,24 +81,26 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         """Pieces between which no token reaches: at blanks, if those are dropped, else before
-        a blank that a character other than white space follows."""
+        a blank that a character other than white space follows. In that case a piece is named
+        without its blank, and a piece that has none, as the first, has a mark instead."""
         if self.lower:
             if not text.isascii():  # each character on its own, so no final sigma
                 text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
             return text.lower().replace("\n", " ").split(" ")
         if _ODD.search(text):
-            return _INNER.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+            return [p[1:] if p[0] == " " else _FIRST + p for p in _INNER.split(text) if p]
+        pieces = text.split(" ")
+        pieces[0] = _FIRST + pieces[0]
+        return pieces
 
     def _words(self, piece: str) -> list[str]:
         """What the pattern finds; most pieces are letters, perhaps with a mark after them."""
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha():
-            return [piece]
-        if body[-1:] in _MARKS and body[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.words_of(piece)
+        whole = piece if self.lower else piece[1:] if piece[:1] == _FIRST else " " + piece
+        if piece.isalpha():
+            return [whole]
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return [whole[:-1], piece[-1]]
+        return self.words_of(whole)
 
     def _piece_ids(self, pieces: list[str]) -> Iterable[bytes]:
         cut = list(map(self._words, pieces))
@@ -104,7 +110,7 @@ class Encoder:
     def _word_ids(self, words: list[str]) -> Iterable[bytes]:
         for start in range(0, len(words), 4096):
             for found in self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+                yield array("I", found.ids).tobytes() if _PLAIN else np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; give texts of a few megabytes at most at once."""

@@ -15,7 +15,7 @@ def test_ids_are_those_of_whole_texts(name):
     encoder = Encoder(tokenizer_path(name))
     rng = random.Random(5)
     bits = [" ", "  ", "   ", "\n", " \n", "\t", "a", "The", "don't", "'S", "é", "é", "́", "12", "3.5", "!!"]
-    bits += ["　", "\x1c", "\xa0", "東京", "Σ", "ΑΣ", "<|endoftext|>", "x" * 30, "\x85", "​", "İ", "ß", "\r\n", "½"]
+    bits += ["　", "\x1c", "\xa0", "東京", "Σ", "ΑΣ", "<|endoftext|>", "x" * 30, "\x85", "​", "İ", "ß", "\r\n", "½", "\0", "\0a"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)]
     whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
     for text, got, want in zip(texts, encoder.encode(texts), whole, strict=True):
