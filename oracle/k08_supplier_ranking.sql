@@ -15,6 +15,7 @@ performance AS (
 )
 SELECT supplier_id, supplier_name, region, CAST(avg_lead_time_days AS DOUBLE) AS quoted_avg_lead_time,
        round(lead, 1) AS actual_avg_lead_time, total_orders, on_time_orders, delayed_orders,
-       round(pct, 1) AS on_time_pct, round(100.0 * rate, 1) AS stockout_rate_pct_of_products_supplied,
+       round(pct, 1) AS on_time_pct, round(100.0 * delayed_orders / total_orders, 1) AS delay_pct,
+       round(100.0 * rate, 1) AS stockout_rate_pct_of_products_supplied,
        rank() OVER (ORDER BY pct DESC) AS on_time_rank
 FROM performance

@@ -115,25 +115,33 @@ def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def key_report(
     tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]] = KEYS
 ) -> DataFrame:
-    """Repeated values and surplus rows per unique key."""
-    return _stack(
-        [
-            repeated_keys(df, key)
-            .agg(
-                F.count(F.lit(1)).alias("repeated_keys"),
-                _total(F.col("count") - 1).alias("surplus_rows"),
-            )
-            .select(
-                F.lit(table).alias("table_name"),
-                F.lit(", ".join(key)).alias("key_columns"),
-                "repeated_keys",
-                "surplus_rows",
+    """Repeated values, surplus rows and absent columns per unique key.
+
+    A declared key with an absent column is reported as such; its rows cannot be compared,
+    so the other figures are NULL.
+    """
+    frames = []
+    for table, df in tables.items():
+        for key in keys[table]:
+            absent = [c for c in key if c not in df.columns]
+            if absent:
+                empty = F.lit(None).cast("long")
+                found = df.sparkSession.range(1).select(empty.alias("repeated_keys"), empty.alias("surplus_rows"))
+            else:
+                found = repeated_keys(df, key).agg(
+                    F.count(F.lit(1)).alias("repeated_keys"),
+                    _total(F.col("count") - 1).alias("surplus_rows"),
+                )
+            frames.append(
+                found.select(
+                    F.lit(table).alias("table_name"),
+                    F.lit(", ".join(key)).alias("key_columns"),
+                    "repeated_keys",
+                    "surplus_rows",
+                    F.lit(len(absent)).cast("long").alias("missing_columns"),
+                )
             )
-            for table, df in tables.items()
-            for key in keys[table]
-            if set(key) <= set(df.columns)
-        ]
-    )
+    return _stack(frames)
 
 
 def _flag_counts(df: DataFrame, flags: Mapping[str, Column], name: str) -> DataFrame:
@@ -149,11 +157,18 @@ def _flag_counts(df: DataFrame, flags: Mapping[str, Column], name: str) -> DataF
 
 
 def domain_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """NULLs in required columns and statuses outside the list (A10)."""
+    """NULLs in required columns, absent required columns and statuses outside the list (A10).
+
+    An absent column is one violation.
+    """
     frames = []
     for table, df in tables.items():
-        required = [f.name for f in TABLES[table].fields if not f.nullable and f.name in df.columns]
-        flags = {f"{c} is required": F.col(c).isNull() for c in required}
+        required = [f.name for f in TABLES[table].fields if not f.nullable]
+        flags = {f"{c} is required": F.col(c).isNull() for c in required if c in df.columns}
+        for absent in (c for c in required if c not in df.columns):
+            one = df.sparkSession.range(1).select(F.lit(1).cast("long").alias("violations"))
+            rule = F.lit(f"{absent} is missing").alias("rule")
+            frames.append(one.select(F.lit(table).alias("table_name"), rule, "violations"))
         if "status" in df.columns:
             flags["status is listed"] = ~F.col("status").isin(PO_STATUSES)
         frames.append(_flag_counts(df, flags, "rule").select(F.lit(table).alias("table_name"), "rule", "violations"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import month_label, percent, ratio, scalar
-from stockflow.functions.ranking import rank_by_value
 
 
 def product_days(inventory: DataFrame, sales: DataFrame) -> DataFrame:
@@ -86,9 +85,9 @@ def top_stockouts(summary: DataFrame, k: int = 5, ordered: bool = True) -> DataF
 
     Total lost revenue comes from the summary, not from this cut.
     """
-    top = rank_by_value(
-        summary, "total_stockout_days", "rank_in_category", partition_by=["category"], at_most=k
-    )
+    worst = Window.partitionBy("category").orderBy(F.desc_nulls_last("total_stockout_days"))
+    # Each task keeps its own top k before the shuffle, so a large category is no burden.
+    top = summary.withColumn("rank_in_category", F.rank().over(worst)).filter(F.col("rank_in_category") <= k)
     return top.orderBy("category", "rank_in_category") if ordered else top
 
 
@@ -103,8 +102,9 @@ def stockout_rate(
     products: DataFrame | None = None,
     sales: DataFrame | None = None,
     by: Sequence[str] = (),
+    ordered: bool = True,
 ) -> DataFrame:
-    """Share of snapshots that are stockouts, overall or by group.
+    """Share of snapshots that are stockouts, overall or by group, highest first.
 
     ``by`` takes product columns (category, pattern_group, supplier_id), ``month`` and
     ``region``. The region of a product-day is that of its sales, so snapshots without a
@@ -125,13 +125,15 @@ def stockout_rate(
     counted = _per_product(facts, *keys)
     looked_up = [c for c in by if c not in ("region", "month", "product_id")]
     if looked_up:
-        counted = counted.join(products.select("product_id", *looked_up), "product_id")
+        counted = counted.join(products.select("product_id", *looked_up), "product_id", "left")
     rates = counted.groupBy(*by).agg(
         F.sum("_out").alias("stockout_days"),
         F.sum("_days").alias("days_tracked"),
         ratio(F.sum("_out"), F.sum("_days")).alias("stockout_rate"),
     )
-    return rates.withColumn("month", month_label(F.col("month"))) if "month" in by else rates
+    if "month" in by:
+        rates = rates.withColumn("month", month_label(F.col("month")))
+    return rates.orderBy(F.desc("stockout_rate")) if ordered and by else rates
 
 
 def service_level(inventory: DataFrame, products: DataFrame) -> DataFrame:

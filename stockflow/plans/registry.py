@@ -65,12 +65,36 @@ def query(name: str, covers: str):
 # Sources, sinks and quality
 
 
+def _round_trip(t, table):
+    folder = tables_io.shared_dir(t.spark, "csv")
+    rows = _numbered_orders(t) if table == "purchase_orders" else t.all()[table]
+    tables_io.write_tables({table: rows.withColumn("helper", F.lit(1))}, folder, drop=["helper"])
+    return tables_io.load_table(t.spark, f"{folder}/{table}.csv", table)
+
+
 @query("a01_csv_round_trip", "A1 A2 A3 A4 A5 A16")
 def _(t):
-    folder = tables_io.shared_dir(t.spark, "csv")
-    numbered = _numbered_orders(t).withColumn("helper", F.lit(1))
-    tables_io.write_tables({"purchase_orders": numbered}, folder, drop=["helper"])
-    return tables_io.load_table(t.spark, f"{folder}/purchase_orders.csv", "purchase_orders")
+    return _round_trip(t, "purchase_orders")
+
+
+@query("a01_csv_products", "A1 A4 A5 A16")
+def _(t):
+    return _round_trip(t, "products")
+
+
+@query("a01_csv_suppliers", "A1 A4 A5 A16")
+def _(t):
+    return _round_trip(t, "suppliers")
+
+
+@query("a01_csv_sales", "A1 A3 A4 A5 A16")
+def _(t):
+    return _round_trip(t, "sales")
+
+
+@query("a01_csv_inventory", "A1 A3 A4 A5 A16")
+def _(t):
+    return _round_trip(t, "inventory")
 
 
 def _checked(t):
@@ -101,7 +125,7 @@ def _(t):
 @query("a09_repeated_keys", "A9")
 def _(t):
     keys = {**quality.KEYS, "lineitem": [["l_orderkey", "l_linenumber"]]}
-    return quality.key_report(_checked(t), keys)
+    return quality.key_report({**_checked(t), "purchase_orders": _numbered_orders(t)}, keys)
 
 
 @query("a09_repeated_line_keys", "A9")
@@ -130,8 +154,11 @@ def _(t):
 
 
 def _numbered_orders(t):
-    rest = ["product_id", "supplier_id", "expected_delivery_date", "actual_delivery_date", "quantity_ordered"]
-    return number_rows(t.purchase_orders, "po_id", "order_date", F.col("supplier_id") % 64, [*rest, "status"])
+    """Numbered by product and day, in which order a purchase history emits its orders."""
+    rest = ["supplier_id", "expected_delivery_date", "actual_delivery_date", "quantity_ordered", "status"]
+    ranged = t.purchase_orders.withColumn("range", F.floor(F.col("product_id") / 256))
+    bucket = F.struct("product_id", F.trunc("order_date", "MM"))
+    return number_rows(ranged, "po_id", "range", bucket, ["order_date", *rest]).drop("range")
 
 
 @query("a14_surrogate_keys", "A14")
@@ -154,7 +181,9 @@ def _(t):
 def _(t):
     path = tables_io.shared_dir(t.spark, "bucketed")
     buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    sales = tables_io.publish_bucketed(t.sales, f"sales_{path[-12:]}", path, buckets)
+    name = f"sales_{path[-12:]}"
+    sales = tables_io.publish_bucketed(t.sales, name, path, buckets)
+    t.spark.sql(f"DROP TABLE {name}")  # the files stay, and the frame knows them
     return demand.rolling_demand(sales, t.products, ordered=False)
 
 
@@ -202,17 +231,19 @@ def _(t):
 
 
 def _labelled_sales(t):
-    return t.sales.join(t.products.select("product_id", "category", "pattern_group"), "product_id")
+    """Sales counted by product and units before the product's pattern is looked up."""
+    counted = t.sales.groupBy("product_id", "units_sold").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(t.products.select("product_id", "pattern_group"), "product_id")
 
 
 @query("d11_units_by_pattern", "D11 C7")
 def _(t):
-    return profiles.box_stats(_labelled_sales(t), "units_sold", ["pattern_group"])
+    return profiles.box_stats(_labelled_sales(t), "units_sold", ["pattern_group"], weight="n")
 
 
 @query("d11_unit_outliers", "D11")
 def _(t):
-    return profiles.box_outliers(_labelled_sales(t), "units_sold", ["pattern_group"])
+    return profiles.box_outliers(_labelled_sales(t), "units_sold", ["pattern_group"], weight="n")
 
 
 @query("d12_service_level_bars", "D12 D6")
@@ -266,18 +297,19 @@ def _grid_totals(grid):
         F.sum("is_stockout").alias("stockouts"),
         F.sum("units_sold").alias("units_sold"),
         F.sum("units_demanded").alias("units_demanded"),
+        F.sum("receipts").alias("receipts"),
     )
 
 
 @query("i06_dense_days", "I6")
 def _(t):
-    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales))
+    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales, receipts=t.receipts))
 
 
 @query("i06_dense_days_in_range", "I6")
 def _(t):
     start, end = F.lit(GRID_START).cast("date"), F.lit(GRID_END).cast("date")
-    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales, start, end))
+    return _grid_totals(calendars.dense_product_days(t.inventory, t.sales, start, end, t.receipts))
 
 
 # Demand

@@ -7,9 +7,9 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stockflow.schemas import TABLES, conform
 
@@ -19,6 +19,9 @@ CSV_READ = {
     "header": "true",
     "sep": ",",
     "quote": '"',
+    "escape": '"',  # a quote inside a quoted cell is doubled
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
     "nullValue": "",
     "dateFormat": "yyyy-MM-dd",
     # Columns go by position; a header that says otherwise fails the read.
@@ -27,15 +30,23 @@ CSV_READ = {
 
 
 def load_table(
-    spark: SparkSession, path: str, table: str, fmt: str = "csv", mode: str = "FAILFAST"
+    spark: SparkSession,
+    path: str,
+    table: str,
+    fmt: str = "csv",
+    mode: str = "FAILFAST",
+    multiline: bool = False,
 ) -> DataFrame:
     """Read one table with its declared schema; an empty CSV cell is NULL (A1-A3).
 
     A CSV cell that does not parse fails the read. ``mode="PERMISSIVE"`` turns such cells
-    into NULLs, which the NOT NULL checks then count.
+    into NULLs, which the NOT NULL checks then count. Blanks, commas and doubled quotes in
+    quoted cells come back as they were; cells with line breaks need ``multiline``, with
+    which Spark cannot split a file.
     """
     if fmt == "csv":
-        return spark.read.schema(TABLES[table]).options(**CSV_READ).option("mode", mode).csv(path)
+        reader = spark.read.schema(TABLES[table]).options(**CSV_READ).option("mode", mode)
+        return reader.option("multiLine", multiline).csv(path)
     return conform(spark.read.format(fmt).load(path), table)
 
 
@@ -54,24 +65,47 @@ def write_tables(
     fmt: str = "csv",
     drop: Sequence[str] = (),
     mode: str = "overwrite",
+    multiline: bool = False,
 ) -> None:
-    """Write tables side by side, in declared column order, without helper columns."""
+    """Write tables side by side, in declared column order, without helper columns.
+
+    Text in CSV files is kept exactly, with quotes doubled. A line break in a cell fails the
+    write unless ``multiline`` says that the file will be read with that option.
+    """
     suffix = ".csv" if fmt == "csv" else ""
     for table, df in tables.items():
         df = df.drop(*drop)
         declared = [name for name in TABLES[table].names if name in df.columns]
         others = [name for name in df.columns if name not in declared]
-        writer = df.select(*declared, *others).write.mode(mode).format(fmt)
+        df = df.select(*declared, *others)
+        if fmt == "csv" and not multiline:
+            df = df.select(*[_one_line(f) for f in df.schema.fields])
+        writer = df.write.mode(mode).format(fmt)
         if fmt == "csv":
-            writer = writer.options(header="true", nullValue="", emptyValue="")
+            writer = writer.options(
+                header="true",
+                escape='"',
+                nullValue="",
+                emptyValue="",
+                ignoreLeadingWhiteSpace="false",
+                ignoreTrailingWhiteSpace="false",
+            )
         writer.save(f"{directory}/{table}{suffix}")
 
 
+def _one_line(field: StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if field.dataType != StringType():
+        return column
+    message = F.lit(f"{field.name} has a line break; write with multiline=True")
+    return F.when(column.rlike("[\\r\\n]"), F.raise_error(message)).otherwise(column).alias(field.name)
+
+
 def publish_mart(df: DataFrame, path: str, day: str | None = None) -> DataFrame:
     """Publish a query result as Parquet and read it back.
 
-    With ``day`` the mart is partitioned by month, so a report on a date range reads only
-    its months. The rebalance routes rows to their month, to write few files, and splits a
+    With ``day`` the mart is partitioned by month; a filter on ``month`` reads only its
+    files, as the trailing windows of the reports do. The rebalance routes rows to their month, to write few files, and splits a
     busy month by size over as many tasks as it needs.
     """
     if day is None:
