@@ -1,6 +1,6 @@
 WITH firsts AS (
     SELECT product_id, min(sale_date) AS f,
-           CAST(least(date_diff('day', min(sale_date), max(sale_date)) + 1, 60) AS DOUBLE) AS n
+           CAST(least(date_diff('day', min(sale_date), (SELECT max(sale_date) FROM sales)) + 1, 60) AS DOUBLE) AS n
     FROM sales GROUP BY product_id
 ),
 parts AS (

@@ -8,5 +8,6 @@ stock AS (
 SELECT k.day AS snapshot_date, k.products, CAST(k.stock_on_hand AS BIGINT) AS stock_on_hand,
        CAST(COALESCE((SELECT sum(is_stockout) FROM inventory i WHERE i.snapshot_date = k.day), 0) AS BIGINT) AS stockouts,
        CAST(COALESCE((SELECT sum(units_sold) FROM sales s WHERE s.sale_date = k.day), 0) AS BIGINT) AS units_sold,
-       CAST(COALESCE((SELECT sum(units_demanded) FROM sales s WHERE s.sale_date = k.day), 0) AS BIGINT) AS units_demanded
+       CAST(COALESCE((SELECT sum(units_demanded) FROM sales s WHERE s.sale_date = k.day), 0) AS BIGINT) AS units_demanded,
+       CAST(COALESCE((SELECT sum(got) FROM moves m WHERE m.day = k.day), 0) AS BIGINT) AS receipts
 FROM stock k

@@ -1,18 +1,15 @@
-WITH months AS (
+WITH monthly AS (
     SELECT product_id, date_trunc('month', sale_date) AS m, sum(units_sold) AS units FROM sales GROUP BY ALL
 ),
-flagged AS (
-    SELECT *, COALESCE(units > lag(units) OVER (PARTITION BY product_id ORDER BY m), false) AS up FROM months
+compared AS (
+    SELECT *, units > lag(units, 1, units) OVER (PARTITION BY product_id ORDER BY m) AS rose FROM monthly
 ),
-islands AS (
-    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY m)
-              - row_number() OVER (PARTITION BY product_id, up ORDER BY m) AS island
-    FROM flagged
-),
-growth AS (
-    SELECT product_id, count(*) AS consecutive_growth_months, strftime(min(m), '%Y-%m-01') AS streak_start,
-           strftime(max(m), '%Y-%m-01') AS streak_end
-    FROM islands WHERE up GROUP BY product_id, island HAVING count(*) >= 4
+-- Every month without a rise starts a streak, which the rises after it make longer.
+streaks AS (
+    SELECT *, count(*) FILTER (WHERE NOT rose) OVER (PARTITION BY product_id ORDER BY m) AS streak FROM compared
 )
-SELECT product_id, product_name, category, pattern_group, consecutive_growth_months, streak_start, streak_end
-FROM growth JOIN products USING (product_id)
+SELECT product_id, any_value(product_name) AS product_name, any_value(category) AS category,
+       any_value(pattern_group) AS pattern_group, count(*) - 1 AS consecutive_growth_months,
+       strftime(min(m) FILTER (WHERE rose), '%Y-%m-01') AS streak_start, strftime(max(m), '%Y-%m-01') AS streak_end
+FROM streaks JOIN products USING (product_id)
+GROUP BY product_id, streak HAVING count(*) > 4

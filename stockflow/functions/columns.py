@@ -54,6 +54,16 @@ def scalar(df: DataFrame, value: Column) -> Column:
 def trailing_cutoff(df: DataFrame, day: str, days: int) -> Column:
     """The date ``days`` before the last one in ``df``.
 
-    ``>=`` against it spans ``days + 1`` calendar days, as the reports define it.
+    ``>=`` against it spans ``days + 1`` calendar days, as the reports define it. Where the
+    table is partitioned by ``month``, the last date is looked for in the last month only.
     """
+    if "month" in df.columns:
+        df = df.filter(F.col("month") == scalar(df, F.max("month")))
     return F.date_sub(scalar(df, F.max(day)), days)
+
+
+def in_trailing_window(df: DataFrame, day: str, days: int) -> Column:
+    """Whether a row is at or after the cutoff; with a ``month`` partition, also by its month."""
+    cutoff = trailing_cutoff(df, day, days)
+    inside = F.col(day) >= cutoff
+    return inside & (F.col("month") >= month_label(cutoff)) if "month" in df.columns else inside

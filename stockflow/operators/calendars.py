@@ -43,7 +43,8 @@ def monthly_demand(sales: DataFrame, measure: str = "units_sold", ordered: bool
 def monthly_revenue(sales: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:
     """Revenue earned and lost per month (I4).
 
-    Summed per product and month before the price is joined.
+    Summed per product and month before the price is joined. Sales of unknown products count
+    as earned; without a price nothing is known of what they lost.
     """
     per_product = sales.groupBy("product_id", F.trunc("sale_date", "MM").alias("_month")).agg(
         F.sum("revenue").alias("_revenue"),
@@ -51,7 +52,7 @@ def monthly_revenue(sales: DataFrame, products: DataFrame, ordered: bool = True)
     )
     lost = (F.col("_gap").cast("decimal(18,0)") * F.col("unit_price")).cast("decimal(28,2)")
     monthly = (
-        per_product.join(products.select("product_id", "unit_price"), "product_id")
+        per_product.join(products.select("product_id", "unit_price"), "product_id", "left")
         .groupBy("_month")
         .agg(F.sum("_revenue").alias("revenue"), F.sum(lost).alias("revenue_lost"))
         .select(month_label(F.col("_month")).alias("month"), "revenue", "revenue_lost")
@@ -91,9 +92,12 @@ def dense_product_days(
     sales: DataFrame,
     start: Column | None = None,
     end: Column | None = None,
+    receipts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per product and calendar day.
 
+    ``receipts`` (product_id, day, units) adds what came in; without it that flow is 0.
+
     Missing flows are 0, missing stock is the last known value, NULL before the first one.
     Without a range each product runs from its own first to its own last day, so the result
     stays in proportion to the history. Only the facts are shuffled: each row then emits
@@ -107,6 +111,7 @@ def dense_product_days(
             F.col("is_stockout").cast("int").alias("_out"),
             F.lit(None).cast("long").alias("_sold"),
             F.lit(None).cast("long").alias("_wanted"),
+            F.lit(None).cast("long").alias("_got"),
         )
         .unionByName(
             sales.select(
@@ -116,10 +121,18 @@ def dense_product_days(
                 F.lit(None).cast("int").alias("_out"),
                 F.col("units_sold").cast("long").alias("_sold"),
                 F.col("units_demanded").cast("long").alias("_wanted"),
+                F.lit(None).cast("long").alias("_got"),
             )
         )
-        .groupBy("product_id", "_day")
-        .agg(*[F.max(c).alias(c) for c in ("_stock", "_out")], *[F.sum(c).alias(c) for c in ("_sold", "_wanted")])
+    )
+    if receipts is not None:
+        came_in = receipts.select(
+            "product_id", F.col("day").alias("_day"), F.col("units").cast("long").alias("_got")
+        )
+        facts = facts.unionByName(came_in, allowMissingColumns=True)
+    facts = facts.groupBy("product_id", "_day").agg(
+        *[F.max(c).alias(c) for c in ("_stock", "_out")],
+        *[F.sum(c).alias(c) for c in ("_sold", "_wanted", "_got")],
     )
     by_day = Window.partitionBy("product_id").orderBy("_day")
     day = F.col("_day")
@@ -148,6 +161,7 @@ def dense_product_days(
         flow("_out").alias("is_stockout"),
         flow("_sold").alias("units_sold"),
         flow("_wanted").alias("units_demanded"),
+        flow("_got").alias("receipts"),
     )
 
 

@@ -26,10 +26,12 @@ def stock_value(units: Column, unit_cost: Column) -> Column:
 
 
 def total_revenue(sales: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Revenue earned."""
+    """Revenue earned (K15). Sales of unknown products count too, under empty attributes."""
+    if not by:
+        return sales.agg(F.sum("revenue").alias("total_revenue"))
     per_product = sales.groupBy("product_id").agg(F.sum("revenue").alias("_revenue"))
     return (
-        per_product.join(_dims(products, by), "product_id")
+        per_product.join(_dims(products, by), "product_id", "left")
         .groupBy(*by)
         .agg(F.sum("_revenue").alias("total_revenue"))
     )
@@ -41,7 +43,8 @@ def inventory_turnover(
     """Revenue over average stock times average unit cost.
 
     As the dashboard states it: both averages are unweighted, and revenue stands in for the
-    cost of goods sold. The facts are summed per product before they meet the dimension.
+    cost of goods sold. The facts are summed per product before they meet the dimension;
+    those of unknown products count under empty attributes.
     """
     revenue = sales.groupBy("product_id").agg(F.sum("revenue").alias("_revenue"))
     stock = inventory.groupBy("product_id").agg(
@@ -49,8 +52,8 @@ def inventory_turnover(
     )
     parts = (
         products.select("product_id", *[c for c in by if c != "product_id"], "unit_cost")
-        .join(revenue, "product_id", "left")
-        .join(stock, "product_id", "left")
+        .join(revenue, "product_id", "full")
+        .join(stock, "product_id", "full")
     )
     avg_stock = ratio(F.sum("_stock"), F.sum("_days"))
     avg_cost = ratio(F.sum("unit_cost"), F.count("unit_cost"))
@@ -73,10 +76,11 @@ def days_of_inventory(
 
     Demand is the per-product average of the status report, summed over the group. Stock is
     the last known value of each product, which on daily data is that of the last date.
+    Stock of unknown products counts under empty attributes.
     """
     parts = (
         _newest_stock(inventory)
-        .join(_dims(products, by), "product_id")
+        .join(_dims(products, by), "product_id", "left")
         .join(recent_demand(sales, window_days), "product_id", "left")
     )
     stock, demand = F.sum("stock_on_hand"), F.sum("avg_daily_demand")
@@ -126,8 +130,32 @@ def carrying_cost(
 def product_detail(
     product_id: int | Column, sales: DataFrame, inventory: DataFrame, products: DataFrame
 ) -> DataFrame:
-    """Drill-through: one product's daily stock, reorder point and rolling demand."""
+    """Drill-through: one product's daily stock, reorder point, rolling demand and stockouts.
+
+    ``units_lost`` and ``estimated_revenue_lost`` are those of stockout days, as in the
+    stockout summary from which a user drills.
+    """
     chosen = F.col("product_id") == product_id
+    gaps = sales.filter(chosen).select(
+        "product_id",
+        F.col("sale_date").alias("snapshot_date"),
+        (F.col("units_demanded") - F.col("units_sold")).alias("_gap"),
+    )
+    days = ["product_id", "snapshot_date"]
+    out = F.col("is_stockout") == 1
+    lost = F.when(out, F.coalesce("_gap", F.lit(0))).otherwise(0).cast("long")
+    losses = (
+        inventory.filter(chosen)
+        .select(*days, "is_stockout")
+        .join(gaps, days, "left")
+        .join(products.filter(chosen).select("product_id", "unit_price"), "product_id", "left")
+        .select(
+            *days,
+            "is_stockout",
+            lost.alias("units_lost"),
+            stock_value(lost, F.col("unit_price")).alias("estimated_revenue_lost"),
+        )
+    )
     demand = rolling_demand(sales.filter(chosen), products.filter(chosen), ordered=False).select(
         "product_id",
         F.col("sale_date").alias("snapshot_date"),
@@ -136,4 +164,4 @@ def product_detail(
         "rolling_30d_total_demand",
     )
     series = stock_against_reorder_point(inventory.filter(chosen))
-    return series.join(demand, ["product_id", "snapshot_date"], "left")
+    return series.join(demand, days, "left").join(losses, days, "left")

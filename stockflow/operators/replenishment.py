@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.functions.columns import ratio, scalar, status_position, trailing_cutoff
+from stockflow.functions.columns import in_trailing_window, ratio, scalar, status_position, trailing_cutoff
 from stockflow.schemas import CRITICAL, HEALTHY, OVERSTOCKED, REORDER_SOON, SERVICE_LEVEL_Z, Z_95
 
 
@@ -23,8 +23,8 @@ def demand_baseline(
 ) -> DataFrame:
     """Daily mean and deviation per product over its first calendar days.
 
-    Days without a sales row count as zero demand. ``None`` takes the whole history, from
-    the first to the last sale of any product.
+    Days without a sales row count as zero demand, up to the last sale of any product.
+    ``None`` takes the whole history, from the first to the last sale of any product.
     """
     days = sales.select("product_id", "sale_date", F.col(measure).cast("double").alias("units"))
     if baseline_days is None:
@@ -32,12 +32,11 @@ def demand_baseline(
         n = F.max(scalar(sales, span.cast("double")))
     else:
         whole = Window.partitionBy("product_id")
-        days = (
-            days.withColumn("_first", F.min("sale_date").over(whole))
-            .withColumn("_last", F.max("sale_date").over(whole))
-            .filter(F.datediff("sale_date", "_first") < baseline_days)
+        days = days.withColumn("_first", F.min("sale_date").over(whole)).filter(
+            F.datediff("sale_date", "_first") < baseline_days
         )
-        n = F.least(F.datediff(F.max("_last"), F.max("_first")) + 1, F.lit(baseline_days)).cast("double")
+        last = F.max(scalar(sales, F.max("sale_date")))
+        n = F.least(F.datediff(last, F.max("_first")) + 1, F.lit(baseline_days)).cast("double")
     totals = days.groupBy("product_id").agg(
         F.sum("units").alias("_total"),
         F.sum(F.col("units") * F.col("units")).alias("_squares"),
@@ -195,8 +194,11 @@ def latest_stock(inventory: DataFrame, *extra: Column) -> DataFrame:
 
 
 def recent_demand(sales: DataFrame, window_days: int = 30, measure: str = "units_sold") -> DataFrame:
-    """Mean daily demand per product since ``window_days`` before the last sale."""
-    recent = sales.filter(F.col("sale_date") >= trailing_cutoff(sales, "sale_date", window_days))
+    """Mean daily demand per product since ``window_days`` before the last sale.
+
+    Of a mart partitioned by month only the window's months are read.
+    """
+    recent = sales.filter(in_trailing_window(sales, "sale_date", window_days))
     return recent.groupBy("product_id").agg(F.avg(measure).alias("avg_daily_demand"))
 
 
