@@ -1,3 +1,162 @@
-"""DuckDB SQL for the queries that it can express."""
+"""DuckDB SQL for the queries that it can express.
 
-ORACLES: dict[str, str] = {}
+The tokenizers, the language models, the byte windows and the phrase hierarchy have no SQL
+form; their queries are held against brute force in the tests. The SQL goes its own way where
+it can: the links of operator 9 come from counting shared shingles of all pairs, without any
+signature, and the windows of operator 4 are compared as whole strings.
+"""
+
+from __future__ import annotations
+
+#: The checksum goes byte by byte over the digits of the text; 3988292384 is its polynomial.
+OP1 = r"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(
+        list_prepend(x, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    )) AS t
+),
+bytes AS (
+    SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(COALESCE(text, ''))) AS digits,
+           octet_length(encode(COALESCE(text, ''))) AS n
+    FROM documents
+),
+summed AS (
+    SELECT doc_id, key, CAST(n + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+            range(0, 2 * n, 2), lambda i: CAST('0x' || substr(digits, i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+    )) AS text_crc32
+    FROM bytes, steps
+),
+nodes(path, parent, name, weight, grown) AS (
+    VALUES ('r0', '', 'r0', 4.0, false), ('r1', '', 'r1', 4.0, false), ('x8', '', 'x8', 1.0, true),
+           ('r0/k0', 'r0', 'k0', 2.0, false), ('r0/k1', 'r0', 'k1', 2.0, false),
+           ('r1/k0', 'r1', 'k0', 2.0, false), ('r1/k1', 'r1', 'k1', 2.0, false),
+           ('r0/k0/0', 'r0/k0', '0', 1.0, false), ('r0/k0/1', 'r0/k0', '1', 1.0, false),
+           ('r0/k1/2', 'r0/k1', '2', 1.0, false), ('r0/k1/3', 'r0/k1', '3', 1.0, false),
+           ('r1/k0/4', 'r1/k0', '4', 1.0, false), ('r1/k0/5', 'r1/k0', '5', 1.0, false),
+           ('r1/k1/6', 'r1/k1', '6', 1.0, false), ('r1/k1/7', 'r1/k1', '7', 1.0, false)
+),
+keys AS (SELECT DISTINCT key FROM bytes),
+drawn AS (
+    SELECT key, path, parent, name, grown,
+           ln((CAST('0x' || substr(md5(path || ':' || key), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+           / weight AS draw
+    FROM keys, nodes
+),
+regions AS (
+    SELECT key, arg_max(path, draw) FILTER (WHERE NOT grown) AS region, arg_max(path, draw) AS grown_region
+    FROM drawn WHERE parent = '' GROUP BY key
+),
+racks AS (
+    SELECT r.key, any_value(r.region) AS region, any_value(r.grown_region) AS grown_region,
+           arg_max(d.path, d.draw) AS rack_path, arg_max(d.name, d.draw) AS rack
+    FROM regions r JOIN drawn d ON d.key = r.key AND d.parent = r.region GROUP BY r.key
+),
+shards AS (
+    SELECT r.key, any_value(region) AS region, any_value(rack) AS rack, any_value(grown_region) AS grown_region,
+           CAST(arg_max(d.name, d.draw) AS INTEGER) AS shard
+    FROM racks r JOIN drawn d ON d.key = r.key AND d.parent = r.rack_path GROUP BY r.key
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard,
+       row_number() OVER (
+           PARTITION BY shard
+           ORDER BY CAST('0x' || substr(md5(concat_ws(':', key, size, text_crc32)), 1, 8) AS BIGINT) % 4096,
+                    doc_id NULLS FIRST, size, text_crc32
+       ) - 1 AS slot,
+       CASE WHEN grown_region = 'x8' THEN 8 ELSE shard END AS grown_shard
+FROM summed JOIN shards USING (key)
+"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS d, doc_id,
+           regexp_extract_all(COALESCE({_LOWER.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+item AS (
+    SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item,
+           regexp_extract_all(COALESCE({_LOWER.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS said
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+    SELECT d, n, i, array_to_string(w[i : i + n - 1], ' ') AS said
+    FROM (SELECT d, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes)
+),
+hits AS (SELECT d, n, i, item FROM places JOIN windows USING (n, said)),
+covered AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(i, i + n)) AS p FROM hits) GROUP BY d),
+named AS (
+    SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT d, item FROM hits) GROUP BY d
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (d) LEFT JOIN named USING (d)
+"""
+
+#: Backslashes double, and one more stands inside each control string; marks take 23 characters.
+OP5 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+escaped AS (
+    SELECT *, list_transform([role, text], lambda x: length(x) + length(x) - length(replace(x, '\', '')) + len(regexp_extract_all(
+        x, '<\|turn\|>|<\|says\|>|<\|end\|>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|</?s>|\[/?INST\]|<</?SYS>>'
+    ))) AS sizes
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(COALESCE(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+           AS loss_sha256,
+       CAST(sum(sizes[1] + sizes[2] + 23) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+OP9 = rf"""
+WITH RECURSIVE doc AS (
+    SELECT row_number() OVER () AS d, doc_id,
+           regexp_extract_all(COALESCE({_LOWER.format("text")}, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingles AS (
+    SELECT DISTINCT d, array_to_string(w[i : i + 3], ' ') AS s
+    FROM (SELECT d, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM doc WHERE len(w) > 0)
+),
+sizes AS (SELECT d, count(*) AS n FROM shingles GROUP BY d),
+shared AS (
+    SELECT a.d AS x, b.d AS y, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.d < b.d GROUP BY a.d, b.d
+),
+links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.d = x JOIN sizes q ON q.d = y
+    WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)
+),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(d, other) AS (
+    SELECT x, y FROM edges
+    UNION
+    SELECT r.d, e.y FROM reach r JOIN edges e ON e.x = r.other
+),
+least AS (SELECT r.d, min(o.doc_id) AS least FROM reach r JOIN doc o ON o.d = r.other GROUP BY r.d)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(least(least, doc_id), doc_id) AS component_id,
+       doc_id = COALESCE(least(least, doc_id), doc_id) AS kept
+FROM doc LEFT JOIN sizes USING (d) LEFT JOIN least USING (d)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_hash_tree_shards": OP1,
+    "op4_decontaminate": OP4,
+    "op5_chat_format": OP5,
+    "op9_circulant_minhash": OP9,
+}
