@@ -1,4 +1,4 @@
-"""Small tables for the training-data operators."""
+"""Fixtures with small tables, imported by the tests that use them."""
 
 import pytest
 

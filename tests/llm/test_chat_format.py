@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+from small_tables import sf  # noqa: F401
 from stockflow.llm import chat_format as cf
 from stockflow.llm.queries import QUERIES
 

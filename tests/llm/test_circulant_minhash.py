@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import circulant_minhash as cm
 from stockflow.llm.components import bucket_components
 from stockflow.llm.queries import QUERIES

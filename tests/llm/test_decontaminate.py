@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import decontaminate as dc
 from stockflow.llm.queries import QUERIES
 

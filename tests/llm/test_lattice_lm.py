@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import lattice_lm as lm
 from stockflow.llm.queries import QUERIES
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import packing as pk
 from stockflow.llm.queries import QUERIES
 from stockflow.llm.tokens import Encoder, tokenizer_path

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import phrases as ph
 from stockflow.llm.queries import QUERIES
 

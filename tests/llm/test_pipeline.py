@@ -6,6 +6,7 @@ import test_decontaminate as bench
 import test_packing as packs
 import test_ppm_langid as lang
 import test_suffix_dedup as suffix
+from small_tables import sf  # noqa: F401
 from stockflow.llm import suffix_dedup
 
 assert near and bench and packs and lang and suffix

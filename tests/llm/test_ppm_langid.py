@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import ppm_langid as ppm
 from stockflow.llm.queries import QUERIES
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import sharding as sh
 from stockflow.llm.queries import QUERIES
 

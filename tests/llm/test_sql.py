@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from compare import differences
+from small_tables import sf  # noqa: F401
 from stockflow.llm.queries import QUERIES
 from stockflow.llm.sql import ORACLES
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import suffix_dedup as sd
 from stockflow.llm.queries import QUERIES
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import token_files as tf
 from stockflow.llm.queries import QUERIES
 from stockflow.llm.tokens import Encoder, tokenizer_path
