@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
+from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -160,7 +162,32 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def stored_dir(spark: SparkSession) -> str:
+    """Where ``written_once`` keeps its tables, for all sessions with the same shared folder."""
+    return shared_dir(spark, "").rsplit("/", 1)[0] + "/stockflow-stored"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables that ``written_once`` has kept in the shared folder."""
+    files, place = _file_system(spark, stored_dir(spark))
+    files.delete(place, True)
+    _SCHEMAS.clear()
+
+
+@cache
+def _code_state() -> str:
+    """A hash of this package, so that tables derived by other code are not taken for its own."""
+    package = Path(__file__).resolve().parents[1]
+    parts = [path.read_bytes() for path in sorted(package.rglob("*.py"))]
+    return hashlib.sha256(b"\0".join(parts)).hexdigest()
 
 
 def files_state(spark: SparkSession, paths: Sequence[str]) -> tuple:
@@ -173,20 +200,19 @@ def files_state(spark: SparkSession, paths: Sequence[str]) -> tuple:
 def written_once(
     spark: SparkSession, name: str, state: tuple, build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """A derived table, written to the shared folder once per session and state of its sources.
+    """A derived table, written to the shared folder once per state of its sources and this code.
 
     ``state`` comes from ``files_state``: a changed, added or removed source file gives a
-    new copy.
+    new copy. Sessions with the same shared folder share the copies; only one of them should
+    derive a table at a time. ``drop_stored`` removes them.
     """
-    key = (spark.sparkContext.applicationId, name, *state)
-    if key in _WRITTEN:
-        path, schema = _WRITTEN[key]
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException:
-            pass  # the copy has been removed since: derive it again
-    df = build()
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    _WRITTEN[key] = (path, df.schema)
-    return spark.read.schema(df.schema).parquet(path)
+    digest = hashlib.sha256(repr((name, _code_state(), *state)).encode()).hexdigest()[:24]
+    path = f"{stored_dir(spark)}/{name}-{digest}"
+    files, done = _file_system(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
+        df = build()
+        df.write.mode("overwrite").parquet(path)
+        _SCHEMAS[path] = df.schema
+    elif path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)

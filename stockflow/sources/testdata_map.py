@@ -23,8 +23,8 @@ SOURCES = ["region", "nation", "supplier", "part", "orders", "lineitem"]
 class MappedTables:
     """The five tables over one test-data folder.
 
-    The tables are derived once per session and written as Parquet to the shared folder, as
-    a warehouse loads its tables before reporting on them. Reports then read columns of
+    The tables are derived once per state of the files and written as Parquet to the shared
+    folder, as a warehouse loads its tables before reporting on them. Reports then read columns of
     stored tables instead of replaying the history, and a lost executor costs a re-read.
     The ``derive_*`` methods give the same tables as plans over the raw files.
     """
