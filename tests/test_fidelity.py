@@ -134,7 +134,7 @@ def plan_of(spark, name):
 def test_top_stockouts_read_each_fact_once(spark):
     text = plan_of(spark, "k09_top_stockouts")
     assert text.count("WindowGroupLimit") == 2
-    assert text.count("FileScan parquet") == 3  # products, inventory, sales
+    assert text.count("FileScan parquet") == 4  # products, inventory, sales and their regions
 
 
 STATUS = ["🔴 Critical", "🟠 Reorder Soon", "🔵 Overstocked", "🟢 Healthy"]
