@@ -1,26 +1,2 @@
-WITH newest AS (
-    SELECT product_id, stock_on_hand, reorder_point_snapshot AS rop FROM inventory
-    QUALIFY snapshot_date = max(snapshot_date) OVER (PARTITION BY product_id)
-),
-demand AS (
-    SELECT product_id, avg(units_sold) AS d FROM sales
-    WHERE sale_date >= (SELECT max(sale_date) FROM sales) - 30 GROUP BY product_id
-),
-short AS (
-    SELECT product_id, sum(is_stockout) AS n FROM inventory
-    WHERE snapshot_date >= (SELECT max(snapshot_date) FROM inventory) - 30 GROUP BY product_id
-),
-status AS (
-    SELECT p.product_id, p.product_name, p.category, p.pattern_group, p.supplier_id, p.unit_cost,
-           w.stock_on_hand, round(w.rop, 1) AS reorder_point, round(d.d, 2) AS avg_daily_demand_30d,
-           CAST(COALESCE(s.n, 0) AS BIGINT) AS stockout_days_last_30d,
-           round(w.stock_on_hand / nullif(d.d, 0), 1) AS days_of_inventory_remaining,
-           CASE WHEN w.stock_on_hand <= w.rop AND s.n > 0 THEN '🔴 Critical'
-                WHEN w.stock_on_hand <= w.rop * CAST(1.2 AS DOUBLE) THEN '🟠 Reorder Soon'
-                WHEN w.stock_on_hand > 3 * w.rop AND d.d < (SELECT avg(units_sold) FROM sales) THEN '🔵 Overstocked'
-                ELSE '🟢 Healthy' END AS status
-    FROM newest w JOIN products p USING (product_id)
-    LEFT JOIN demand d USING (product_id) LEFT JOIN short s USING (product_id)
-)
 SELECT * EXCLUDE (supplier_id, unit_cost) FROM status
 WHERE status IN ('🔴 Critical', '🟠 Reorder Soon') AND category IN ('SMALL', 'LARGE', 'ECONOMY')

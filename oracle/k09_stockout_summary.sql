@@ -1,18 +1,3 @@
-WITH summary AS (
-    SELECT p.product_id, p.product_name, p.category, p.pattern_group, p.supplier_id,
-           CAST(sum(i.is_stockout) AS BIGINT) AS total_stockout_days, count(*) AS days_tracked,
-           CAST(sum(s.units_demanded - s.units_sold) FILTER (WHERE i.is_stockout = 1) AS BIGINT) AS gap,
-           any_value(p.unit_price) AS price
-    FROM inventory i JOIN sales s ON s.product_id = i.product_id AND s.sale_date = i.snapshot_date
-    JOIN products p ON p.product_id = i.product_id
-    GROUP BY ALL
-),
-lost AS (
-    SELECT product_id, product_name, category, pattern_group, supplier_id, total_stockout_days, days_tracked,
-           round(100.0 * total_stockout_days / days_tracked, 2) AS stockout_rate_pct,
-           COALESCE(gap, 0) AS total_units_lost, COALESCE(gap, 0) * price AS revenue
-    FROM summary
-)
 SELECT product_id, product_name, category, pattern_group, total_stockout_days, days_tracked, stockout_rate_pct,
        total_units_lost, CAST(revenue AS DOUBLE) AS estimated_revenue_lost
 FROM lost

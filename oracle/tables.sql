@@ -105,4 +105,58 @@ inventory AS (
     FROM replay r
     LEFT JOIN history h USING (product_id)
     LEFT JOIN lead_times t USING (product_id)
+),
+newest AS (
+    SELECT product_id, stock_on_hand, reorder_point_snapshot AS rop FROM inventory
+    QUALIFY snapshot_date = max(snapshot_date) OVER (PARTITION BY product_id)
+),
+demand AS (
+    SELECT product_id, avg(units_sold) AS d FROM sales
+    WHERE sale_date >= (SELECT max(sale_date) FROM sales) - 30 GROUP BY product_id
+),
+short AS (
+    SELECT product_id, sum(is_stockout) AS n FROM inventory
+    WHERE snapshot_date >= (SELECT max(snapshot_date) FROM inventory) - 30 GROUP BY product_id
+),
+status AS (
+    SELECT p.product_id, p.product_name, p.category, p.pattern_group, p.supplier_id, p.unit_cost,
+           w.stock_on_hand, round(w.rop, 1) AS reorder_point, round(d.d, 2) AS avg_daily_demand_30d,
+           CAST(COALESCE(s.n, 0) AS BIGINT) AS stockout_days_last_30d,
+           round(w.stock_on_hand / nullif(d.d, 0), 1) AS days_of_inventory_remaining,
+           CASE WHEN w.stock_on_hand <= w.rop AND s.n > 0 THEN '🔴 Critical'
+                WHEN w.stock_on_hand <= w.rop * CAST(1.2 AS DOUBLE) THEN '🟠 Reorder Soon'
+                WHEN w.stock_on_hand > 3 * w.rop AND d.d < (SELECT avg(units_sold) FROM sales) THEN '🔵 Overstocked'
+                ELSE '🟢 Healthy' END AS status
+    FROM newest w JOIN products p USING (product_id)
+    LEFT JOIN demand d USING (product_id) LEFT JOIN short s USING (product_id)
+),
+summary AS (
+    SELECT p.product_id, p.product_name, p.category, p.pattern_group, p.supplier_id,
+           CAST(sum(i.is_stockout) AS BIGINT) AS total_stockout_days, count(*) AS days_tracked,
+           CAST(sum(s.units_demanded - s.units_sold) FILTER (WHERE i.is_stockout = 1) AS BIGINT) AS gap,
+           any_value(p.unit_price) AS price
+    FROM inventory i JOIN sales s ON s.product_id = i.product_id AND s.sale_date = i.snapshot_date
+    JOIN products p ON p.product_id = i.product_id
+    GROUP BY ALL
+),
+lost AS (
+    SELECT product_id, product_name, category, pattern_group, supplier_id, total_stockout_days, days_tracked,
+           round(100.0 * total_stockout_days / days_tracked, 2) AS stockout_rate_pct,
+           COALESCE(gap, 0) AS total_units_lost, COALESCE(gap, 0) * price AS revenue
+    FROM summary
+),
+monthly AS (
+    SELECT product_id, date_trunc('month', sale_date) AS m, sum(units_sold) AS units FROM sales GROUP BY ALL
+),
+compared AS (
+    SELECT *, units > lag(units, 1, units) OVER (PARTITION BY product_id ORDER BY m) AS rose FROM monthly
+),
+-- Every month without a rise starts a streak, which the rises after it make longer.
+streaks AS (
+    SELECT *, count(*) FILTER (WHERE NOT rose) OVER (PARTITION BY product_id ORDER BY m) AS streak FROM compared
+),
+growth AS (
+    SELECT product_id, count(*) - 1 AS consecutive_growth_months,
+           strftime(min(m) FILTER (WHERE rose), '%Y-%m-01') AS streak_start, strftime(max(m), '%Y-%m-01') AS streak_end
+    FROM streaks GROUP BY product_id, streak HAVING count(*) > 4
 )
