@@ -61,10 +61,15 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The same for words that are normal and cut already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.encode_special_tokens = True
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         steps = config["pre_tokenizer"].get("pretokenizers", [config["pre_tokenizer"]])
@@ -109,7 +114,7 @@ class Encoder:
 
     def _word_ids(self, words: list[str]) -> Iterable[bytes]:
         for start in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
+            for found in self.of_words.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
                 yield array("I", found.ids).tobytes() if _PLAIN else np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
