@@ -36,7 +36,7 @@ CHUNK_BYTES = 8 << 20
 MAX_PIECE = 8  # bytes; longer pieces are not used
 MAX_PART = 64  # bytes; a longer word is scored in parts of this size
 ROUNDS = 3
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE = 16_000
 
 
 def subword_vocabulary(path: str) -> list[bytes]:
