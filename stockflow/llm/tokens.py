@@ -22,7 +22,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PLAIN = sys.byteorder == "little" and array("I").itemsize == 4
-KEPT = 400_000  # ids kept in one generation of a memory, some 200 bytes each
+KEPT = 200_000  # ids kept in one generation of a memory, some 200 bytes each
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _INNER = re.compile(r"(?= \S)")
