@@ -9,7 +9,8 @@ A text is its words (A-Z lower-cased, parted by ASCII blanks), then an end. A to
 
 S(w) is the marginal probability of the word's bytes over all segmentations into the pieces of
 an existing subword vocabulary (and single bytes): a product of unigram piece scores, where the
-last piece of a word has a score of its own, summed by a forward recursion in log space. All
+last piece of a word has a score of its own, summed by a forward recursion in log space over
+the whole word, however long it is. All
 arcs of the lattice together, whole words and pieces, sum to 1, so scores are probabilities.
 
 The vocabulary is read, not trained. The piece scores are fitted by expectation maximisation
@@ -21,6 +22,7 @@ piece scores, has the size of the vocabulary.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +36,10 @@ from stockflow.llm.common import LOWER, ship, utf8, written
 
 CHUNK_BYTES = 8 << 20
 MAX_PIECE = 8  # bytes; longer pieces are not used
-MAX_PART = 64  # bytes; a longer word is scored in parts of this size
+LONG = 256  # bytes; a longer word is scored alone, the others side by side
+BLOCK = 1 << 14  # bytes of a long word at once
+BYTES_AT_ONCE = 1 << 17  # bytes of other words at once
 ROUNDS = 3
-WORDS_AT_ONCE = 16_000
 
 
 def subword_vocabulary(path: str) -> list[bytes]:
@@ -60,8 +63,9 @@ class Lattice:
         self.pieces = pieces
         n = len(pieces)
         self.scores = np.full((2, n), -np.log(2 * n)) if scores is None else scores
+        self.longest = max(map(len, pieces))
         self.codes, self.numbers, self.maybe = {}, {}, {}
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, self.longest + 1):
             mine = sorted((int.from_bytes(p, "big"), i) for i, p in enumerate(pieces) if len(p) == size)
             self.codes[size] = np.array([c for c, _ in mine], np.uint64)
             self.numbers[size] = np.array([i for _, i in mine], np.int32)
@@ -72,79 +76,171 @@ class Lattice:
     def _mark(codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
-    def arcs(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """For each size, the number of the piece that ends with each byte, or -1; ``at`` counts
-        the bytes of the word up to and with it."""
-        found = []
+    def arcs(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each byte (row) and size (column, from 1), one more than the number of the piece that
+        ends there, or 0; ``at`` counts the bytes of the word up to and with it."""
+        found = np.zeros((len(data), self.longest), np.int32)
         codes = data.astype(np.uint64)
-        for size in range(1, MAX_PIECE + 1):
+        for size in range(1, self.longest + 1):
             if 1 < size <= len(data):
-                codes = codes.copy()
                 codes[size - 1 :] |= data[: len(data) - size + 1].astype(np.uint64) << np.uint64(8 * (size - 1))
-            out = np.full(len(data), -1, np.int32)
             where = np.flatnonzero((at >= size) & self.maybe[size][self._mark(codes)])
             if len(where) and len(self.codes[size]):
                 place = np.minimum(np.searchsorted(self.codes[size], codes[where]), len(self.codes[size]) - 1)
                 hit = self.codes[size][place] == codes[where]
-                out[where[hit]] = self.numbers[size][place[hit]]
-            found.append(out)
+                found[where[hit], size - 1] = self.numbers[size][place[hit]] + 1
         return found
 
 
-def _layout(words: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Words from long to short: order, bytes, starts, sizes, and each byte's place in its word."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    data = np.frombuffer(b"".join([words[i] for i in order]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return order, data, starts, sizes, np.arange(len(data)) - np.repeat(starts, sizes) + 1
-
-
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    stack = np.stack(terms)
-    top = stack.max(axis=0)
-    return top + np.log(np.exp(stack - top).sum(axis=0))
-
-
-def _arc_scores(lattice: Lattice, numbers: list[np.ndarray], last: np.ndarray) -> list[np.ndarray]:
-    inner, final = lattice.scores
-    out = []
-    for n in numbers:
-        known = n >= 0
-        scores = np.full(len(n), -np.inf)
-        scores[known] = np.where(last[known], final[n[known]], inner[n[known]])
-        out.append(scores)
-    return out
-
+class Paths:
+    """The arcs of some words, side by side: place k of all words with k or more bytes, from long
+    to short, stands before place k + 1, so that a step is a run of places and of arcs."""
 
-def _forward(scores: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Log sums up to every place: word w has the entries from starts[w] + w on, the first is 0."""
-    sums = np.zeros(int(sizes.sum()) + len(sizes))
-    base = starts + np.arange(len(sizes))
-    for k in range(1, int(sizes.max(initial=0)) + 1):
-        m = int(np.searchsorted(-sizes, -k, "right"))
-        end, here = starts[:m] + k - 1, base[:m] + k
-        sums[here] = _log_sum([scores[size - 1][end] + sums[here - size] for size in range(1, min(k, MAX_PIECE) + 1)])
-    return sums
+    def __init__(self, lattice: Lattice, words: list[bytes]):
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[self.order]
+        data = np.frombuffer(b"".join([words[i] for i in self.order]), np.uint8)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        # How many words reach each place, and where the places begin.
+        reach = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0)) + 1), "right")
+        self.begin = np.concatenate([[0], np.cumsum(reach)])
+        turned = np.empty(len(data), np.int64)
+        turned[self.begin[at] + word - len(sizes)] = np.arange(len(data))
+        found = lattice.arcs(data, at)[turned]
+        row, size = np.nonzero(found)
+        self.number = found[row, size] - 1
+        at, word = at[turned][row], word[turned][row]
+        self.final = (at == sizes[word]).astype(np.int64)
+        self.score = lattice.scores[self.final, self.number]
+        self.target = row + len(sizes)
+        self.source = self.begin[at - size - 1] + word
+        self.ends = self.begin[sizes] + np.arange(len(sizes))
+
+    def forward(self) -> np.ndarray:
+        """Log sums from the start of the word to each place."""
+        steps = range(1, len(self.begin) - 1)
+        return self._sums(self.score, self.source, self.target, steps)
+
+    def backward(self) -> np.ndarray:
+        """Log sums from each place to the end of the word."""
+        order = np.argsort(self.source, kind="stable")
+        steps = range(len(self.begin) - 3, -1, -1)
+        return self._sums(self.score[order], self.target[order], self.source[order], steps)
+
+    def _sums(self, score: np.ndarray, source: np.ndarray, target: np.ndarray, steps: range) -> np.ndarray:
+        # Single bytes are pieces, so each place but the outer ones has an arc from either side.
+        sums = np.zeros(int(self.begin[-1]))
+        first = np.flatnonzero(np.diff(target, prepend=-1))
+        places, counts = target[first], np.diff(first, append=len(target))
+        bounds = np.searchsorted(places, self.begin)
+        first = np.append(first, len(target))
+        for k in steps:
+            a, b = bounds[k], bounds[k + 1]
+            run = slice(first[a], first[b])
+            starts = first[a:b] - first[a]
+            terms = score[run] + sums[source[run]]
+            top = np.maximum.reduceat(terms, starts)
+            total = np.add.reduceat(np.exp(terms - np.repeat(top, counts[a:b])), starts)
+            sums[places[a:b]] = top + np.log(total)
+        return sums
+
+
+def _groups(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Places of words up to LONG bytes that are scored together, from short to long."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], LONG, "right")]
+    before = np.concatenate([[0], np.cumsum(sizes[order])])
+    start = 0
+    while start < len(order):
+        end = int(np.searchsorted(before, before[start] + BYTES_AT_ONCE, "right")) - 1
+        yield order[start : max(start + 1, end)]
+        start = max(start + 1, end)
+
+
+class LongWord:
+    """One word in blocks of bytes; each takes the last sums, as many as the longest piece has
+    bytes, from the block before it. Memory does not depend on the length of the word."""
+
+    def __init__(self, lattice: Lattice, word: bytes):
+        self.lattice = lattice
+        self.data = np.frombuffer(word, np.uint8)
+
+    def arcs(self, first: int) -> tuple[list, ...]:
+        """Of the block of places from ``first`` + 1: bounds by place, then sizes, scores, piece
+        numbers and kinds of the arcs that end there."""
+        begin, end = max(0, first - self.lattice.longest), min(first + BLOCK, len(self.data))
+        data = self.data[begin:end]
+        found = self.lattice.arcs(data, np.arange(1, len(data) + 1))[first - begin :]
+        row, size = np.nonzero(found)
+        number = found[row, size] - 1
+        final = (row + first + 1 == len(self.data)).astype(np.int64)
+        score = self.lattice.scores[final, number]
+        bounds = np.searchsorted(row, np.arange(len(found) + 1))
+        return bounds.tolist(), (size + 1).tolist(), score.tolist(), number, final
+
+    def forward(self, carried: list[float], bounds: list[int], sizes: list[int], scores: list[float]) -> list[float]:
+        """``carried``, which ends with the sum at the place before the block, and the block's sums."""
+        sums = list(carried)
+        for a, b in zip(bounds, bounds[1:]):  # noqa: B905
+            n = len(sums)
+            terms = [scores[j] + sums[n - sizes[j]] for j in range(a, b)]
+            top = max(terms)
+            sums.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+        return sums
+
+    def carried(self) -> Iterator[tuple[int, list[float]]]:
+        """The place before each block and the sums carried into it; at last the end of the word."""
+        sums = [0.0]
+        for first in range(0, len(self.data), BLOCK):
+            yield first, sums
+            bounds, sizes, scores, _, _ = self.arcs(first)
+            sums = self.forward(sums, bounds, sizes, scores)[-self.lattice.longest :]
+        yield len(self.data), sums
+
+    def score(self) -> float:
+        for _, sums in self.carried():  # noqa: B007
+            pass
+        return sums[-1]
+
+    def add_counts(self, total: np.ndarray) -> None:
+        *blocks, (_, sums) = self.carried()
+        whole = sums[-1]
+        # Sums from the places before a block to the end of the word, over arcs that end later.
+        later = [-math.inf] * (self.lattice.longest - 1) + [0.0]
+        for first, carried in reversed(blocks):
+            bounds, sizes, scores, number, final = self.arcs(first)
+            ahead = self.forward(carried, bounds, sizes, scores)
+            n = len(bounds) - 1
+            shift = len(ahead) - n - 1  # place first + i is entry shift + i of ``ahead``
+            pad = self.lattice.longest
+            back = [-math.inf] * (pad + n + 1)  # place first + i is entry pad + i
+            back[-len(later) :] = later
+            uses = [0.0] * len(sizes)
+            for i in range(n, 0, -1):
+                here = back[pad + i]
+                for j in range(bounds[i - 1], bounds[i]):
+                    size, way = sizes[j], scores[j] + here
+                    uses[j] = math.exp(ahead[shift + i - size] + way - whole)
+                    other = back[pad + i - size]
+                    top = max(other, way)
+                    if top > -math.inf:
+                        back[pad + i - size] = top + math.log1p(math.exp(min(other, way) - top))
+            later = back[1 : pad + 1]
+            np.add.at(total, (final, number), uses)
 
 
 def word_scores(lattice: Lattice, words: list[bytes]) -> np.ndarray:
-    """Natural logarithm of S(w) for each word; parts of a long word count one after the other."""
+    """Natural logarithm of S(w) for each word."""
     out = np.zeros(len(words))
-    for first in range(0, len(words), WORDS_AT_ONCE):
-        some = words[first : first + WORDS_AT_ONCE]
-        parts, owner = some, np.arange(len(some))
-        if any(len(w) > MAX_PART for w in some):
-            cut = [[w[i : i + MAX_PART] for i in range(0, len(w), MAX_PART)] for w in some]
-            parts = [p for c in cut for p in c]
-            owner = np.repeat(np.arange(len(some)), [len(c) for c in cut])
-        order, data, starts, sizes, at = _layout(parts)
-        last = np.zeros(len(data), bool)
-        last[starts + sizes - 1] = True
-        sums = _forward(_arc_scores(lattice, lattice.arcs(data, at), last), starts, sizes)
-        ends = sums[starts + np.arange(len(sizes)) + sizes]
-        out[first : first + len(some)] = np.bincount(owner[order], ends, len(some))
+    for group in _groups(words):
+        paths = Paths(lattice, [words[i] for i in group])
+        out[group[paths.order]] = paths.forward()[paths.ends]
+    for i, word in enumerate(words):
+        if len(word) > LONG:
+            out[i] = LongWord(lattice, word).score()
     return out
 
 
@@ -152,32 +248,20 @@ def expected_counts(lattice: Lattice, words: list[bytes]) -> np.ndarray:
     """How often each piece is used inside and at the end of the words, over all segmentations."""
     n = len(lattice.pieces)
     total = np.zeros((2, n))
-    for first in range(0, len(words), WORDS_AT_ONCE):
-        some = [w[i : i + MAX_PART] for w in words[first : first + WORDS_AT_ONCE] for i in range(0, len(w), MAX_PART)]
-        _, data, starts, sizes, at = _layout(some)
-        last = np.zeros(len(data), bool)
-        last[starts + sizes - 1] = True
-        numbers = lattice.arcs(data, at)
-        scores = _arc_scores(lattice, numbers, last)
-        ahead = _forward(scores, starts, sizes)
-        base = starts + np.arange(len(sizes))
-        whole = ahead[base + sizes]
-        back = np.zeros(len(ahead))
-        for left in range(1, int(sizes.max(initial=0)) + 1):
-            # Words with at least ``left`` bytes, at the place before their last ``left`` bytes.
-            m = int(np.searchsorted(-sizes, -left, "right"))
-            place = sizes[:m] - left
-            here, end = base[:m] + place, starts[:m] + place - 1
-            terms = [scores[size - 1][end + size] + back[here + size] for size in range(1, min(left, MAX_PIECE) + 1)]
-            back[here] = _log_sum(terms)
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        for size, (number, score) in enumerate(zip(numbers, scores, strict=True), 1):
-            where = np.flatnonzero(number >= 0)
-            here = where + word[where] + 1
-            use = np.exp(ahead[here - size] + score[where] + back[here] - whole[word[where]])
-            for kind in (0, 1):
-                chosen = last[where] == bool(kind)
-                total[kind] += np.bincount(number[where[chosen]], use[chosen], n)
+    for group in _groups(words):
+        paths = Paths(lattice, [words[i] for i in group])
+        ahead, back = paths.forward(), paths.backward()
+        # The first places are those of whole words, in the order of the words.
+        whole = np.zeros(len(ahead))
+        whole[: len(group)] = back[: len(group)]
+        for k in range(1, len(paths.begin) - 1):
+            a, b = paths.begin[k], paths.begin[k + 1]
+            whole[a:b] = back[: b - a]
+        use = np.exp(ahead[paths.source] + paths.score + back[paths.target] - whole[paths.target])
+        total += np.bincount(paths.final * n + paths.number, use, 2 * n).reshape(2, n)
+    for word in words:
+        if len(word) > LONG:
+            LongWord(lattice, word).add_counts(total)
     return total
 
 

@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -75,6 +76,38 @@ def test_long_words_count_by_parts(lattice):
     assert got[1] == pytest.approx(lm.word_scores(lattice, parts).sum())
 
 
+def exact(lattice, word):
+    """S(w) and the expected counts by uncut sums over the whole word, in decimals."""
+    scores = [[Decimal(float(x)).exp() for x in row] for row in lattice.scores]
+    numbers = {p: i for i, p in enumerate(lattice.pieces)}
+    longest, n = max(map(len, lattice.pieces)), len(word)
+    arcs = []
+    for end in range(1, n + 1):
+        for size in range(1, min(longest, end) + 1):
+            if word[end - size : end] in numbers:
+                arcs.append((end - size, end, int(end == n), numbers[word[end - size : end]]))
+    ahead, back = [Decimal(1), *[Decimal(0)] * n], [*[Decimal(0)] * n, Decimal(1)]
+    for a, b, kind, i in arcs:
+        ahead[b] += ahead[a] * scores[kind][i]
+    for a, b, kind, i in reversed(arcs):
+        back[a] += back[b] * scores[kind][i]
+    counts = np.zeros((2, len(lattice.pieces)))
+    for a, b, kind, i in arcs:
+        counts[kind, i] += float(ahead[a] * scores[kind][i] * back[b] / ahead[n])
+    return float(ahead[n].ln()), counts
+
+
+@pytest.mark.parametrize("block", [1 << 14, 40, 3])
+def test_long_words_are_scored_whole(lattice, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    words = [b"the" * 50, "東京の天気".encode() * 8, b"ab", b"the" * 300, b"xabcdefgh" * 60, b"a" * 257, b"thing"]
+    want = [exact(lattice, w) for w in words]
+    assert lm.word_scores(lattice, words) == pytest.approx([score for score, _ in want], rel=1e-9)
+    for word, (_, counts) in zip(words, want, strict=True):
+        assert lm.expected_counts(lattice, [word]) == pytest.approx(counts, rel=1e-9, abs=1e-9)
+    assert lm.expected_counts(lattice, words) == pytest.approx(sum(counts for _, counts in want), rel=1e-9, abs=1e-9)
+
+
 def brute(rows, learn):
     """Everything but the score."""
     c = Counter()
