@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import LOWER, ship, utf8, written
 
 CHUNK_BYTES = 8 << 20
-MAX_PIECE = 8  # bytes; longer pieces are not used
+MAX_PIECE = 8  # bytes that one code holds; longer pieces are compared byte by byte
 LONG = 256  # bytes; a longer word is scored alone, the others side by side
 BLOCK = 1 << 14  # bytes of a long word at once
 BYTES_AT_ONCE = 1 << 17  # bytes of other words at once
@@ -43,7 +43,7 @@ ROUNDS = 3
 
 
 def subword_vocabulary(path: str) -> list[bytes]:
-    """The pieces of a sentencepiece file up to MAX_PIECE bytes, lower-cased, and all single bytes."""
+    """All pieces of a sentencepiece file, lower-cased, and all single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,7 +51,7 @@ def subword_vocabulary(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", "").encode().translate(LOWER)
-            if 0 < len(piece) <= MAX_PIECE:
+            if piece:
                 pieces.add(piece)
     return sorted(pieces)
 
@@ -66,31 +66,50 @@ class Lattice:
         self.longest = max(map(len, pieces))
         self.codes, self.numbers, self.maybe = {}, {}, {}
         for size in range(1, self.longest + 1):
-            mine = sorted((int.from_bytes(p, "big"), i) for i, p in enumerate(pieces) if len(p) == size)
-            self.codes[size] = np.array([c for c, _ in mine], np.uint64)
+            mine = sorted((p, i) for i, p in enumerate(pieces) if len(p) == size)
             self.numbers[size] = np.array([i for _, i in mine], np.int32)
+            head = np.array([int.from_bytes(p[:MAX_PIECE], "big") for p, _ in mine], np.uint64)
+            tail = np.array([int.from_bytes(p[-MAX_PIECE:], "big") for p, _ in mine], np.uint64)
+            short = size <= MAX_PIECE
+            self.codes[size] = tail if short else np.array([p for p, _ in mine], f"S{size}")
             self.maybe[size] = np.zeros(1 << 16, bool)
-            self.maybe[size][self._mark(self.codes[size])] = True
+            self.maybe[size][self._mark(tail if short else self._ends(head, tail))] = True
 
     @staticmethod
     def _mark(codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
+    @staticmethod
+    def _ends(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """One code of the first and the last MAX_PIECE bytes of a longer piece."""
+        return tail + head * np.uint64(0xD1342543DE82EF95)
+
     def arcs(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """For each byte (row) and size (column, from 1), one more than the number of the piece that
         ends there, or 0; ``at`` counts the bytes of the word up to and with it."""
         found = np.zeros((len(data), self.longest), np.int32)
         codes = data.astype(np.uint64)
-        for size in range(1, self.longest + 1):
+        for size in range(1, min(MAX_PIECE, self.longest) + 1):
             if 1 < size <= len(data):
                 codes[size - 1 :] |= data[: len(data) - size + 1].astype(np.uint64) << np.uint64(8 * (size - 1))
             where = np.flatnonzero((at >= size) & self.maybe[size][self._mark(codes)])
-            if len(where) and len(self.codes[size]):
-                place = np.minimum(np.searchsorted(self.codes[size], codes[where]), len(self.codes[size]) - 1)
-                hit = self.codes[size][place] == codes[where]
-                found[where[hit], size - 1] = self.numbers[size][place[hit]] + 1
+            self._find(found, size, where, codes[where])
+        far = np.flatnonzero(at > MAX_PIECE)
+        for size in range(MAX_PIECE + 1, self.longest + 1):
+            far = far[at[far] >= size]
+            mark = self._mark(self._ends(codes[far - size + MAX_PIECE], codes[far]))
+            where = far[self.maybe[size][mark]]
+            # All keys have this size, so padding with zeros makes none equal: the search is exact.
+            spans = data[where[:, None] + np.arange(1 - size, 1)]
+            self._find(found, size, where, np.ascontiguousarray(spans).view(f"S{size}").reshape(-1))
         return found
 
+    def _find(self, found: np.ndarray, size: int, where: np.ndarray, keys: np.ndarray) -> None:
+        if len(where) and len(self.codes[size]):
+            place = np.minimum(np.searchsorted(self.codes[size], keys), len(self.codes[size]) - 1)
+            hit = self.codes[size][place] == keys
+            found[where[hit], size - 1] = self.numbers[size][place[hit]] + 1
+
 
 class Paths:
     """The arcs of some words, side by side: place k of all words with k or more bytes, from long

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import lattice_lm as lm
 from stockflow.llm.queries import QUERIES
+from stockflow.llm.tokens import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTES = [bytes([b]) for b in range(256)]
@@ -108,6 +109,32 @@ def test_long_words_are_scored_whole(lattice, monkeypatch, block):
     assert lm.expected_counts(lattice, words) == pytest.approx(sum(counts for _, counts in want), rel=1e-9, abs=1e-9)
 
 
+def test_the_vocabulary_has_every_piece_of_the_file():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    said = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    want = {model.id_to_piece(i).replace("▁", "").translate(LOWER).encode() for i in said} - {b""}
+    pieces = lm.subword_vocabulary(path)
+    assert set(pieces) == want | set(BYTES)
+    assert {b"different", b"information", b"government"} < set(pieces)
+
+
+@pytest.mark.parametrize("long", [1 << 8, 0])
+def test_pieces_over_eight_bytes(monkeypatch, long):
+    monkeypatch.setattr(lm, "LONG", long)
+    monkeypatch.setattr(lm, "BLOCK", 11)
+    alike = [b"abcdefgh" + middle + b"stuvwxyz" for middle in (b"12", b"34", b"12345678")]
+    pieces = sorted([*SMALL, *alike, b"different", b"differences", b"information", "東京の天気".encode(), b"zeros\0\0\0\0", b"a" * 24])
+    lattice = lm.Lattice(pieces, np.log(np.random.default_rng(2).random((2, len(pieces))) / 600))
+    words = [*alike, b"abcdefgh56stuvwxyz", b"indifferent", b"differences" * 3, b"informational", "東京の天気です".encode()]
+    words += [b"zeros\0\0\0\0", b"zeros\0\0\0", b"zeros\0\0\0\0\0", b"a" * 60, b"different"]
+    want = [exact(lattice, w) for w in words]
+    assert lm.word_scores(lattice, words) == pytest.approx([score for score, _ in want], rel=1e-9)
+    assert lm.expected_counts(lattice, words) == pytest.approx(sum(c for _, c in want), rel=1e-9, abs=1e-9)
+
+
 def brute(rows, learn):
     """Everything but the score."""
     c = Counter()
