@@ -1,7 +1,8 @@
 """Token ids of whole texts by an existing tokenizer file of the ``tokenizers`` library.
 
 A text is cut into pieces at blanks and, where a piece is new, into words by the pattern in the
-tokenizer's own file; no token crosses either. Each task keeps the ids of the pieces and words
+tokenizer's own file; no token crosses either. Strings of added tokens, as ``<|endoftext|>``, are
+cut out first and have their own ids, as in the library by default. Each task keeps the ids of the pieces and words
 that it meets, so the library sees a frequent word once. The ids are those of the whole text.
 """
 
@@ -64,14 +65,18 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # The same for words that are normal and cut already.
+        # The same for words that are normal, cut and free of added tokens already.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.encode_special_tokens = True
         self.of_words.normalizer = normalizers.Sequence([])
         self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in config["added_tokens"]):
+            raise ValueError(f"{path}: no rule is known for its added tokens")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in config["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
         steps = config["pre_tokenizer"].get("pretokenizers", [config["pre_tokenizer"]])
         normal = [s["type"] for s in (config["normalizer"] or {}).get("normalizers", [])]
         if steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and not normal:
@@ -119,9 +124,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; give texts of a few megabytes at most at once."""
-        cut = [self._cut(text) for text in texts]
-        ids = self.pieces.of(set().union(*cut))
-        return [b"".join(map(ids, pieces)) for pieces in cut]
+        # Added tokens stand at the odd places.
+        parts = [self.at_added(text) if any(t in text for t in self.added) else [text] for text in texts]
+        cut = [[self._cut(stretch) for stretch in found[::2]] for found in parts]
+        ids = self.pieces.of(set().union(*(pieces for stretches in cut for pieces in stretches)))
+        out = []
+        for found, stretches in zip(parts, cut, strict=True):
+            made = [b"".join(map(ids, pieces)) for pieces in stretches]
+            if len(made) > 1:
+                marks = [*(self.added[t] for t in found[1::2]), b""]
+                made = [x for both in zip(made, marks, strict=True) for x in both]
+            out.append(b"".join(made))
+        return out
 
 
 @lru_cache(maxsize=2)

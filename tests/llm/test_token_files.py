@@ -23,6 +23,20 @@ def test_ids_are_those_of_whole_texts(name):
         assert np.frombuffer(got, "<u4").tolist() == want.ids, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_file_as_loaded(name):
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "a", "The", "e", "\u0301", "12", "Σ"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choice(bits) for _ in range(rng.randrange(10))) for _ in range(2000))]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    if name.startswith("byte"):
+        assert np.frombuffer(encoder.encode(texts)[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_memory_is_bounded(monkeypatch):
     from stockflow.llm import tokens
 
