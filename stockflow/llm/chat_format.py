@@ -230,14 +230,17 @@ def message_records(rows: DataFrame, conversation: str = "conv_id", turn: str =
     """Rows by turn as one JSON record per conversation, in the messages layout.
 
     Turns go in order of their number, those without one first; equal numbers by role and text.
-    A null role or text is empty. Rows without a conversation form one together. A conversation
-    is one record, so it must fit a task; copies of a conversation under other ids are apart.
+    A null role or text is empty. A row without a conversation id is a conversation of its own,
+    so any number of them may lack it. A conversation is one record, so it must fit a task;
+    copies of a conversation under other ids are apart.
     """
     message = F.struct(
         F.col(turn).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
-    gathered = rows.groupBy(F.col(conversation).alias(conversation)).agg(F.sort_array(F.collect_list(message)).alias("m"))
+    known = F.col(conversation).isNotNull()
+    gathered = rows.where(known).groupBy(conversation).agg(F.sort_array(F.collect_list(message)).alias("m"))
+    gathered = gathered.unionByName(rows.where(~known).select(conversation, F.array(message).alias("m")))
     messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return gathered.select(conversation, F.to_json(F.struct(messages.alias("messages"))).alias("record"))

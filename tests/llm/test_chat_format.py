@@ -78,6 +78,14 @@ def test_query_against_brute_force(spark, sf):
     assert rows_of(QUERIES["op5_chat_format"](spark, sf)) == brute(rows)
 
 
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, i % 2, "assistant" if i % 2 else "user", f"t{i // 4}") for i in range(12)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = rows_of(cf.read_back(cf.format_records(cf.message_records(table), keep=["conv_id"]), ["conv_id"]))
+    want = [r for row in rows[:12] for r in brute([row]) if r[0] is None] + [r for r in brute(rows[12:]) if r[0] == 1]
+    assert got == sorted(want, key=repr)
+
+
 def test_rows_by_turn_edge_cases(spark):
     rows = [(1, 1, "assistant", "b \x00"), (1, 0, "user", None), (2, None, None, "x"), (2, 0, "assistant", "y"), (None, 0, "user", "z")]
     rows += [(3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "assistant", "long " * 100_000), (5, 0, "assistant", "\\<|end|>")]
