@@ -221,9 +221,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             segment = Segment.of(batch.column("segment")[row].as_py())
-            bounds = segment.bounds.all()
+            bounds = [segment.bounds.select(i) for i in range(segment.bounds.n)]
             wide = segment.tokens.astype("<u4")
-            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            spans = list(zip(bounds[:-1], bounds[1:], strict=True))
             n = len(spans)
             yield pa.RecordBatch.from_arrays(
                 [

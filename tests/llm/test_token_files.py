@@ -103,6 +103,21 @@ def test_edge_cases(spark, documents, tmp_path):
     assert tf.read_token_files(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_reading_takes_the_bounds_by_select(monkeypatch):
+    import pyarrow as pa
+
+    sizes = [i % 7 for i in range(900)]
+    packed = tf.pack_segment(list(range(900)), [b"\1\0\0\0" * n for n in sizes])
+    asked = []
+    select = tf.EliasFano.select
+    monkeypatch.setattr(tf.EliasFano, "select", lambda self, i: asked.append(i) or select(self, i))
+    batch = pa.RecordBatch.from_pydict({"first_doc": [0], "first_tie": [0], "number": [0], "segment": [packed]})
+    (got,) = tf._read(iter([batch]))
+    assert got.column("local_start").to_pylist() == np.cumsum([0, *sizes[:-1]]).tolist()
+    assert got.column("n_tokens").to_pylist() == sizes
+    assert asked == list(range(901))
+
+
 def test_wide_ids():
     ids = np.array([1, 70_000, 3], "<u4")
     segment = tf.Segment.of(tf.pack_segment([4], [ids.tobytes()]))
