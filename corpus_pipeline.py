@@ -31,9 +31,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any letter go; a missing language is filled in with the predicted one."""
     model = ppm_langid.fit(ppm_langid.training_rows(docs))
-    found = ppm_langid.identify(docs, model)
-    if model.languages:
-        found = found.where(F.col("lang_pred") != ppm_langid.UNDETERMINED)
+    found = ppm_langid.identify(docs, model, letters="has_letter").where("has_letter")
     found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.select(*docs.columns)
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from stockflow.llm.common import id_crc, ship, text_blocks
 
@@ -171,6 +171,16 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
+def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
+    for row in np.flatnonzero(~has).tolist():
+        text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+        has[row] = any(map(str.isalpha, text))
+    return has
+
+
 def predict(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
     """Language and its share of the probability, all languages alike beforehand.
 
@@ -180,12 +190,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
     names, scores = [], []
     for start, end, data, offsets in text_blocks(column, 256 << 10):
         bits = code_lengths(model, data, offsets)
-        ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-        for row in range(end - start):
-            if not has[row]:
-                text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
-                has[row] = any(map(str.isalpha, text))
+        has = has_letters(data, offsets)
         if not model.languages:
             has[:] = False
         else:
@@ -196,9 +201,12 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
     return names, scores
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, letters: str | None = None
+) -> DataFrame:
     """``docs`` (columns ``keep``, all by default) with ``lang_pred`` and ``score``.
 
+    ``letters`` names one more column: whether the text has a letter, whatever the model knows.
     Columns of these names are replaced; the rest pass through untouched, nulls and repeated
     rows included. No shuffle. The model, whose size depends on the languages and not on the
     rows, is broadcast.
@@ -206,17 +214,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", letters)]
     fields = [f for f in docs.schema.fields if f.name in keep]
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    added += [StructField(letters, BooleanType())] if letters else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(held.value, batch.column(text))
             columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"]
-            )
+            columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            if letters:
+                found = [x for _, _, data, offsets in text_blocks(batch.column(text)) for x in has_letters(data, offsets).tolist()]
+                columns.append(pa.array(found, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *(f.name for f in added)])
 
     wanted = list(dict.fromkeys([*keep, text]))
     return docs.select(*wanted).mapInArrow(run, StructType([docs.schema[f.name] for f in fields] + added))

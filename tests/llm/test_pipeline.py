@@ -56,6 +56,15 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_texts_without_letters_go_whatever_languages_are_known(spark, sf):
+    rows = [(1, None, None), (2, "", None), (3, "12 !", None), (4, "words", None), (5, "東", None), (None, "9", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = table.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    labelled = spark.createDataFrame([(7, "more words", "en", "s", 10)], docs.schema)
+    assert {r.doc_id for r in cp.identify_language(spark, docs, sf).collect()} == {4, 5}
+    assert {r.doc_id for r in cp.identify_language(spark, docs.unionByName(labelled), sf).collect()} == {4, 5, 7}
+
+
 def test_run(spark, sf):
     assert cp.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
