@@ -37,11 +37,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = circulant_minhash.near_duplicates(docs, width=SHINGLE_WORDS, percent=PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_key(docs["text"]) == gone["gone_key"])
-    return docs.join(gone, same, "left_anti")
+    """Of each group of near-duplicates one row stays: that with the least id, rows without an id
+    last; among rows of one id that with the least text key; of copies of that one, any.
+
+    Texts without a word are in no group and stay.
+    """
+    found = circulant_minhash.near_duplicates(docs, width=SHINGLE_WORDS, percent=PERCENT, group="group")
+    found = found.where(F.col("group").isNotNull())
+    rows = found.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "near_rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = rows.groupBy(F.col("group").alias("of")).agg(F.min(order).alias("least"))
+    stays = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.text_key") == F.col("text_key"))
+    marks = rows.join(least, F.col("group") == F.col("of")).select(
+        F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), stays.alias("stays"), "n"
+    )
+    marks = written(marks.where(~F.col("stays") | (F.col("n") > 1)), "near_marks")
+    same = docs["doc_id"].eqNullSafe(marks["m_id"]) & (text_key(docs["text"]) == marks["m_key"])
+    single = docs.join(marks, same, "left_anti")
+    copied = marks.where("stays")
+    if copied.isEmpty():
+        return single
+    # Tasks leave one of their copies each before these meet.
+    copies = docs.join(copied, same).dropDuplicates(["m_id", "m_key"]).select(*docs.columns)
+    return single.unionByName(copies)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

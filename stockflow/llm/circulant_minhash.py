@@ -231,13 +231,16 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     block_items: int = BLOCK_ITEMS,
+    group: str | None = None,
 ) -> DataFrame:
     """(id, text_key, n_shingles, component_id, kept) of every row of ``docs``.
 
     ``component_id`` is the least id that links reach, itself included; ``kept`` marks the rows
     whose id it is. Null and wordless texts have the empty set and their own component. Rows
     without an id count as the last of their component: it is null only where no row of the
-    component has one. Repeated rows stay repeated. Other columns are not read.
+    component has one. Repeated rows stay repeated. Other columns are not read. ``group`` names one
+    more column: 16 bytes that all rows of a component share and no other row has, null where the
+    set is empty.
     """
     sets = written(sets_table(docs, width, bands, rows, id_column, text), "sets")
     classes = sets.where("n_shingles > 0").groupBy("node", "n_shingles")
@@ -282,9 +285,9 @@ def near_duplicates(
 
     ends = named.select("node", "id").join(found, "node")
     names = ends.groupBy("component").agg(F.min("id").alias("component_id"))
-    joined_up = ends.join(names, "component").select("node", "component_id")
+    joined_up = ends.join(names, "component").select("node", "component", "component_id")
     own = named.select("node", F.col("id").alias("own_id")).join(joined_up, "node", "left")
-    final = own.select("node", F.coalesce("component_id", "own_id").alias("component_id"))
+    final = own.select("node", F.coalesce("component_id", "own_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
     out = sets.drop("bands").join(final, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
@@ -293,4 +296,5 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
+        *([F.col("component").alias(group)] if group else []),
     )

@@ -65,6 +65,22 @@ def test_texts_without_letters_go_whatever_languages_are_known(spark, sf):
     assert {r.doc_id for r in cp.identify_language(spark, docs.unionByName(labelled), sf).collect()} == {4, 5, 7}
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark, sf):
+    long = " ".join(f"w{i}" for i in range(60))
+    other, third = long.replace("w", "x"), long.replace("w", "y")
+    rows = [(4, long), (4, long), (4, long), (4, long + " end"), (9, long), (None, long)]  # one group
+    rows += [(None, other), (None, other), (None, other + " end")]  # without any id
+    rows += [(None, third), (None, third)]  # another one
+    rows += [(4, "a text of its own"), (5, "x y"), (6, None), (6, None), (None, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = table.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    left = cp.drop_near_duplicates(spark, docs, sf)
+    assert left.columns == docs.columns
+    got = collections.Counter((r.doc_id, (r.text or "")[:2]) for r in left.collect())
+    want = [(4, "w0"), (None, "x0"), (None, "y0"), (4, "a "), (5, "x "), (6, ""), (6, ""), (None, " ")]
+    assert got == collections.Counter(want)
+
+
 def test_run(spark, sf):
     assert cp.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
