@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from stockflow.llm import (
     chat_format,
     circulant_minhash,
+    collocations,
     decontaminate,
     lattice_lm,
+    merkle_log,
+    mixture,
     packing,
     phrases,
     ppm_langid,
@@ -108,3 +111,22 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)
+
+
+@query
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixture.mixture(docs, weights=(5, 2, 1), share=(3, 2), limit=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle_log.manifest(docs, tampered=F.col("doc_id").isNotNull() & (id_crc() % 7 == 0))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, threshold=10, longest=3, inside_percent=50, top=2000)

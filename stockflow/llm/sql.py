@@ -154,9 +154,168 @@ SELECT doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(least(least, doc_id), doc_
 FROM doc LEFT JOIN sizes USING (d) LEFT JOIN least USING (d)
 """
 
+#: Rounds of sharing: each caps the sources above twice their size and shares the rest anew.
+OP11 = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, md5(COALESCE(text, '')) AS digest,
+           CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+    FROM documents
+),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM docs GROUP BY source
+),
+rounds AS (
+    SELECT 0 AS round, source, source_size, weight, false AS capped, false AS changed FROM sources
+    UNION ALL
+    SELECT round + 1, source, source_size, weight, now, bool_or(now <> capped) OVER ()
+    FROM (
+        SELECT *, capped OR weight * left_over > 2 * open_weights * 2 * source_size AS now
+        FROM (
+            SELECT *, 3 * sum(source_size) OVER () - 2 * COALESCE(sum(2 * source_size) FILTER (WHERE capped) OVER (), 0) AS left_over,
+                   COALESCE(sum(weight) FILTER (WHERE NOT capped) OVER (), 0) AS open_weights
+            FROM rounds
+        )
+    )
+    WHERE round = 0 OR changed
+),
+settled AS (
+    SELECT *, 3 * sum(source_size) OVER () - 2 * COALESCE(sum(2 * source_size) FILTER (WHERE capped) OVER (), 0) AS left_over,
+           COALESCE(sum(weight) FILTER (WHERE NOT capped) OVER (), 0) AS open_weights
+    FROM rounds WHERE round = (SELECT max(round) FROM rounds)
+),
+targets AS (
+    SELECT source, source_size, CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE)
+           ELSE CAST(weight * left_over AS DOUBLE) / CAST(2 * open_weights AS DOUBLE) END AS target
+    FROM settled
+),
+hashed AS (
+    SELECT *, md5('0:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(source, '') || ':' || digest) AS h,
+           length(bin(size)) * 8 + (size >> CAST(greatest(length(bin(size)) - 3, 0) AS BIGINT)) AS class
+    FROM docs
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, h, doc_id NULLS FIRST, digest) - 1 AS r FROM hashed
+),
+rated AS (
+    SELECT n.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+           CAST('0x' || substr(md5('0:' || COALESCE(n.source, '')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
+    FROM numbered n JOIN targets t ON n.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + floor((r + 1) * (rate - floor(rate)) + u) - floor(r * (rate - floor(rate)) + u)) AS BIGINT) AS taken
+FROM rated
+"""
+
+_FIELD = "COALESCE(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_FORGED = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))
+
+#: All levels of all trees as rows; proofs come from joining each leaf's ancestors to them.
+OP12 = rf"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(
+        list_prepend(x, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    )) AS t
+),
+docs AS (
+    SELECT row_number() OVER () AS d, doc_id, COALESCE('=' || lang, '') AS tree, sha256({_LEAF}) AS leaf, sha256({_FORGED}) AS forged,
+           xor(4294967295, list_reduce(
+               list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+                   range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+           )) AS crc
+    FROM documents, steps
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM docs),
+nodes(tree, level, place, node) AS (
+    SELECT tree, 0, place, leaf FROM placed
+    UNION ALL
+    SELECT tree, level + 1, place // 2, sha256(node || COALESCE(other, ''))
+    FROM (
+        SELECT *, lead(node) OVER (PARTITION BY tree ORDER BY place) AS other, max(place) OVER (PARTITION BY tree) AS last
+        FROM nodes
+    )
+    WHERE place % 2 = 0 AND last > 0
+),
+heights AS (SELECT tree, max(level) AS height, arg_max(node, level) AS subroot FROM nodes GROUP BY tree),
+subroots AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS place FROM heights),
+tops(level, place, node) AS (
+    SELECT 0, place, subroot FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 2, sha256(node || COALESCE(other, ''))
+    FROM (SELECT *, lead(node) OVER (ORDER BY place) AS other, max(place) OVER () AS last FROM tops)
+    WHERE place % 2 = 0 AND last > 0
+),
+top AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM tops),
+ancestors AS (
+    SELECT d, p.tree, level, place >> level AS above FROM placed p JOIN heights h USING (tree), unnest(range(h.height)) AS x(level)
+),
+steps_up AS (
+    SELECT d, a.level AS step, CASE WHEN n.node IS NULL THEN '-' WHEN a.above % 2 = 1 THEN 'L' || n.node ELSE 'R' || n.node END AS said
+    FROM ancestors a LEFT JOIN nodes n ON n.tree = a.tree AND n.level = a.level AND n.place = xor(a.above, 1)
+    UNION ALL
+    SELECT d, s.height + x.level,
+           CASE WHEN n.node IS NULL THEN '-' WHEN (s.place >> x.level) % 2 = 1 THEN 'L' || n.node ELSE 'R' || n.node END
+    FROM placed p JOIN subroots s USING (tree), top, unnest(range(top.height)) AS x(level)
+    LEFT JOIN tops n ON n.level = x.level AND n.place = xor(s.place >> x.level, 1)
+),
+paths AS (SELECT d, list(said ORDER BY step) AS path FROM steps_up GROUP BY d),
+folded AS (
+    SELECT placed.*, COALESCE(path, []) AS path, list_reduce(
+        list_prepend(CASE WHEN crc % 7 = 0 THEN forged ELSE leaf END, COALESCE(path, [])),
+        lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)
+    ) AS folded_root
+    FROM placed LEFT JOIN paths USING (d)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree), top
+"""
+
+OP13 = rf"""
+WITH pieces AS (
+    SELECT COALESCE(lang, 'und') AS lang,
+           unnest(regexp_split_to_array({_LOWER.format("COALESCE(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+    FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM worded, unnest([1, 2, 3]) AS x(n))
+),
+counted AS (SELECT lang, n, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE n = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE n > 1 AND f >= 10),
+cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates)
+),
+scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+           CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = first JOIN counted y ON y.lang = c.lang AND y.phrase = rest
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM candidates c
+        WHERE c.lang = b.lang AND len(c.w) > len(string_split(b.phrase, ' ')) AND 100 * c.a >= 50 * b.a
+          AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')
+    )
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_hash_tree_shards": OP1,
     "op4_decontaminate": OP4,
     "op5_chat_format": OP5,
     "op9_circulant_minhash": OP9,
+    "op11_mix_sources": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_collocations": OP13,
 }

@@ -70,13 +70,6 @@ def test_refitting_never_lowers_the_likelihood():
         last = now
 
 
-def test_long_words_count_by_parts(lattice):
-    word = b"the" * 50
-    parts = [word[i : i + lm.MAX_PART] for i in range(0, len(word), lm.MAX_PART)]
-    got = lm.word_scores(lattice, [b"a", word, b"in"])
-    assert got[1] == pytest.approx(lm.word_scores(lattice, parts).sum())
-
-
 def exact(lattice, word):
     """S(w) and the expected counts by uncut sums over the whole word, in decimals."""
     scores = [[Decimal(float(x)).exp() for x in row] for row in lattice.scores]

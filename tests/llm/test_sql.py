@@ -25,6 +25,6 @@ def test_all_are_registered():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(ORACLES) <= set(entry.oracle_sql())
