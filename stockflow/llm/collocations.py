@@ -3,9 +3,9 @@
 Blocks. Texts are lower-cased (A-Z), cut into pieces and words, and stored per language in blocks
 of some ``BLOCK_BYTES``: the block's different words, and the words of its pieces as numbers.
 
-First pass. Each block counts its n-grams of up to ``longest`` words under a 64-bit key and deals
-them to hash partitions, so many that one holds some ``PARTITION_MASS`` occurrences whatever the
-corpus. A block's part of a partition is a Misra-Gries summary without error; a partition's
+First pass. Each block counts its n-grams of up to ``longest`` words under a hash and deals them to
+hash partitions, so many that one holds some ``PARTITION_MASS`` occurrences whatever the corpus;
+there 32 bits tell n-grams apart. A block's part of a partition is a Misra-Gries summary without error; a partition's
 summaries are merged one after the other at a capacity above its occurrences over the threshold:
 where a merge leaves more counters, the largest counter beyond the capacity is subtracted from
 all, and what is not above zero goes. All that is ever subtracted stays below the threshold, so
@@ -17,8 +17,8 @@ over blocks are the exact frequencies; what is below the threshold goes. Parts o
 phrase are as frequent, so the left and right frequencies of every cut are at hand. Scores are
 whole divisions of decimals with 38 digits: exact for up to 10**15 occurrences of a phrase.
 
-Memory: a task holds a block, or a partition's summaries (some counters of 9 bytes for each
-different n-gram that a block has in it). Nothing is broadcast or collected.
+Memory: a task holds a block, or a partition's summaries (5 bytes for each different n-gram that
+a block has in it). Nothing is broadcast or collected.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; rows without id,
 repeated rows and rows in any order all count; ties go by a and then by the phrase's bytes; an
@@ -117,8 +117,12 @@ class Block:
         digests = b"".join(blake2b(w, digest_size=8, key=blake2b(salt, digest_size=32).digest()).digest() for w in self.words)
         self.word_keys = np.frombuffer(digests, np.uint64)
 
-    def grams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, first places, keys) of all n-grams of each length."""
+    def grams(self, longest: int, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, first places, keys) of all n-grams of each length.
+
+        A key is the hash partition, from the hash's upper half, above the hash's lower half.
+        """
+        half = np.uint64(32)
         first, keys = np.arange(len(self.ids)), self.word_keys[self.ids]
         for n in range(1, longest + 1):
             if n > 1:
@@ -127,7 +131,8 @@ class Block:
                 keep = keep[self.follows[last[keep]]]
                 first = first[keep]
                 keys = mix(keys[keep] * np.uint64(0x9E3779B97F4A7C15) + self.word_keys[self.ids[first + (n - 1)]])
-            yield n, first, keys
+            part = (keys >> half) * np.uint64(parts) >> half
+            yield n, first, part << half | keys & np.uint64(0xFFFFFFFF)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +150,7 @@ class Summary:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_waiting = 0
         self.subtracted = 0
@@ -191,10 +196,11 @@ def summaries(blocks: DataFrame, longest: int, parts: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                [row] = batch.slice(i, 1).to_pylist()
                 block = Block(row["lang"], row["words"], row["places"])
-                keys, counts = summed(np.concatenate([k for _, _, k in block.grams(longest)]))
-                part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascends with the keys
+                keys, counts = summed(np.concatenate([k for _, _, k in block.grams(longest, parts)]))
+                part, keys = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
                 starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 made = [
                     {"part": int(part[a]), "block": row["block"], "keys": keys[a:b].tobytes(), "counts": packed_counts(counts[a:b])}
@@ -208,13 +214,13 @@ def summaries(blocks: DataFrame, longest: int, parts: int) -> DataFrame:
 
 
 def survivors(parts: DataFrame, threshold: int) -> DataFrame:
-    """(block, keys): the keys of each block that survive the merge of their partition."""
-    schema = "block string, keys binary"
+    """(block, part, keys): the keys of each block that survive the merge of their partition."""
+    schema = "block string, part long, keys binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_pylist()
-        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in table["keys"]]
+        keys = [np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]]
         counts = [unpacked_counts(c.as_py(), len(k)) for c, k in zip(table["counts"], keys, strict=True)]
         mass = sum(int(c.sum()) for c in counts)
         summary = Summary(mass // threshold + 1)
@@ -223,12 +229,12 @@ def survivors(parts: DataFrame, threshold: int) -> DataFrame:
         stays = summary.frequent(threshold)
         assert summary.subtracted < threshold
         kept = [k[np.isin(k, stays, assume_unique=True)].tobytes() for k in keys]
-        return pa.Table.from_pydict({"block": blocks, "keys": kept}, schema=arrow)
+        return pa.Table.from_pydict({"block": blocks, "part": table["part"], "keys": kept}, schema=arrow)
 
     return parts.groupBy("part").applyInArrow(merge, schema)
 
 
-def phrase_counts(blocks: DataFrame, kept: DataFrame, longest: int) -> DataFrame:
+def phrase_counts(blocks: DataFrame, kept: DataFrame, longest: int, parts: int) -> DataFrame:
     """lang, phrase, length and f of every surviving n-gram of each block, by its words."""
     schema = "lang string, phrase string, length int, f long"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -236,11 +242,15 @@ def phrase_counts(blocks: DataFrame, kept: DataFrame, longest: int) -> DataFrame
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         made = {"lang": [], "phrase": [], "length": [], "f": []}
         for row in left.to_pylist():
-            wanted = np.sort(np.frombuffer(b"".join(right["keys"].to_pylist()), np.uint64))
+            wanted = [
+                np.frombuffer(k, np.uint32) + (np.uint64(part) << np.uint64(32))
+                for part, k in zip(right["part"].to_pylist(), right["keys"].to_pylist(), strict=True)
+            ]
+            wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *wanted]))
             if not len(wanted):
                 continue
             block = Block(row["lang"], row["words"], row["places"])
-            for n, first, keys in block.grams(longest):
+            for n, first, keys in block.grams(longest, parts):
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 first = first[wanted[at] == keys]
                 grams = np.stack([block.ids[first + i] for i in range(n)])
@@ -266,7 +276,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = 10, longest: int = 3, blo
     mass = blocks.agg(F.sum("mass")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // PARTITION_MASS))
     kept = survivors(summaries(blocks, longest, parts), threshold)
-    counts = phrase_counts(blocks, kept, longest)
+    counts = phrase_counts(blocks, kept, longest, parts)
     sums = counts.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return written(sums, "phrases"), written(totals, "words_by_lang")

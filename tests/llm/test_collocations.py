@@ -102,7 +102,7 @@ def test_summaries_keep_every_frequent_key(seed):
 def test_tight_capacity_subtracts():
     summary = co.Summary(3)
     for key, count in ((1, 5), (2, 4), (3, 3), (4, 2), (5, 1)):
-        summary.merge(np.array([key], np.uint64), np.array([count]))
+        summary.merge(np.array([key], np.uint32), np.array([count]))
     summary.settle()
     assert summary.subtracted > 0 and 1 in summary.keys and len(summary.keys) <= 3
 
