@@ -97,3 +97,26 @@ def number_rows(
         .withColumn(name, F.col("_major_start") + F.col("_minor_start") + position)
         .drop("_minor", "_major_start", "_minor_start")
     )
+
+
+def extend_keys(
+    stored: DataFrame,
+    rows: DataFrame,
+    natural: Sequence[str],
+    name: str,
+    major: str,
+    minor: Column,
+    order_by: Sequence[str],
+) -> DataFrame:
+    """Surrogate keys of the rows whose natural key is not among the ``stored`` ones.
+
+    ``stored`` holds the natural columns and ``name``. Its keys stay what they are; the unseen
+    rows get the numbers after the highest one, without a gap, in the order of ``number_rows``.
+    The natural columns must not change from load to load and must tell rows apart (give equal
+    rows a copy number); NULL counts as a value. ``major`` and ``minor`` are as there.
+    """
+    known = stored.select([F.col(c).alias(f"_k_{c}") for c in natural])
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(known[f"_k_{c}"]) for c in natural])
+    unseen = rows.join(known, same, "left_anti")
+    highest = F.coalesce(stored.agg(F.max(name).alias("value")).scalar(), F.lit(0))
+    return number_rows(unseen, name, major, minor, order_by).withColumn(name, F.col(name) + highest)

@@ -8,32 +8,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stock_ledger(demand: DataFrame, receipts: DataFrame, opening: DataFrame) -> DataFrame:
-    """Replay end-of-day stock from opening stock, demand and receipts.
+#: Days that are replayed together; a product's blocks are replayed side by side.
+BLOCK_DAYS = 64
 
-    ``demand`` and ``receipts`` hold (product_id, day, units), any number of rows a day;
-    ``opening`` holds (product_id, opening_stock) and further columns, which are carried
-    along. Receipts arrive before the day's demand, unmet demand is lost.
 
-    With lost sales, stock follows ``S = max(S_before + received - demanded, 0)``. Unrolled,
-    that is the running net position less its own running minimum below zero, so two
-    window passes replace the day-by-day loop. Movements are summed to one row per product
-    and day before the windows, so a product costs at most its number of days.
+def day_block(day: Column, block_days: int = BLOCK_DAYS) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(block_days)).cast("long")
+
+
+def daily_moves(demand: DataFrame, receipts: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Units demanded and received by product and day, with the day's ``block``.
+
+    ``demand`` and ``receipts`` hold (product_id, day, units), any number of rows a day. They
+    are summed on both sides of the shuffle, so a product costs at most its number of days.
     """
-    moves = (
+    return (
         demand.select("product_id", "day", F.col("units").alias("demanded"), F.lit(0).alias("received"))
         .unionByName(
             receipts.select("product_id", "day", F.lit(0).alias("demanded"), F.col("units").alias("received"))
         )
         .groupBy("product_id", "day")
         .agg(F.sum("demanded").alias("units_demanded"), F.sum("received").alias("units_received"))
+        .withColumn("block", day_block(F.col("day"), block_days))
+    )
+
+
+def block_pairs(moves: DataFrame) -> DataFrame:
+    """Each block's movements as a pair: ``net``, and ``least``, the lowest running sum in it.
+
+    The pair is all that later days need to know: stock S before the block becomes
+    ``max(S + net, net - least)`` after it.
+    """
+    so_far = (
+        Window.partitionBy("product_id", "block")
+        .orderBy("day")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    running = F.sum(F.col("units_received") - F.col("units_demanded")).over(so_far)
+    return (
+        moves.withColumn("_running", running)
+        .groupBy("product_id", "block")
+        .agg(F.max_by("_running", "day").alias("net"), F.min("_running").alias("least"))
+    )
+
+
+def combine_pairs(pairs: DataFrame, span: int) -> DataFrame:
+    """Pairs of ``span`` blocks each, from those of their blocks; associative.
+
+    Blocks without movements have no pair: they are the pair that changes nothing.
+    """
+    wide = F.floor(F.col("block") / span).cast("long")
+    inside = Window.partitionBy("product_id", "_wide").orderBy("block")
+    before = F.sum("net").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        pairs.withColumn("_wide", wide)
+        .withColumn("_lowest", F.coalesce(before, F.lit(0)) + F.col("least"))
+        .groupBy("product_id", F.col("_wide").alias("block"))
+        .agg(F.sum("net").alias("net"), F.min("_lowest").alias("least"))
+    )
+
+
+def block_openings(pairs: DataFrame, opening: DataFrame) -> DataFrame:
+    """Stock at the start of each block, beside the opening's further columns.
+
+    Unrolled, stock with lost sales is the running net position less its own running minimum
+    below zero; over blocks both come from the pairs of the blocks before. A product without
+    an opening row starts empty.
+    """
     carried = [c for c in opening.columns if c not in ("product_id", "opening_stock")]
-    by_day = Window.partitionBy("product_id").orderBy("day")
+    earlier = Window.partitionBy("product_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    started = F.coalesce("opening_stock", F.lit(0)) + F.coalesce(F.sum("net").over(earlier), F.lit(0))
+    return (
+        pairs.join(opening, "product_id", "left")
+        .withColumn("_started", started)
+        .withColumn("_lowest", F.min(F.col("_started") + F.col("least")).over(earlier))
+        .select(
+            "product_id",
+            "block",
+            (F.col("_started") - F.least(F.lit(0), F.coalesce("_lowest", F.lit(0)))).alias("opening_stock"),
+            *carried,
+        )
+    )
+
+
+def replay_blocks(moves: DataFrame, openings: DataFrame) -> DataFrame:
+    """The days of each block from the stock at its start, without a look at other blocks."""
+    carried = [c for c in openings.columns if c not in ("product_id", "block", "opening_stock")]
+    by_day = Window.partitionBy("product_id", "block").orderBy("day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.col("opening_stock") + F.sum(F.col("units_received") - F.col("units_demanded")).over(so_far)
     return (
-        moves.join(opening, "product_id")
+        moves.join(openings, ["product_id", "block"])
         .withColumn("_net", net)
         .withColumn("stock_on_hand", F.col("_net") - F.least(F.lit(0), F.min("_net").over(so_far)))
         .withColumn(
@@ -51,10 +116,31 @@ def stock_ledger(demand: DataFrame, receipts: DataFrame, opening: DataFrame) ->
             "stock_on_hand",
             stockout_flag(F.col("units_demanded"), F.col("units_sold")).alias("is_stockout"),
             *carried,
+            "block",
         )
     )
 
 
+def ledger_of(moves: DataFrame, opening: DataFrame) -> DataFrame:
+    return replay_blocks(moves, block_openings(block_pairs(moves), opening))
+
+
+def stock_ledger(
+    demand: DataFrame, receipts: DataFrame, opening: DataFrame, block_days: int = BLOCK_DAYS
+) -> DataFrame:
+    """Replay end-of-day stock from opening stock, demand and receipts.
+
+    ``opening`` holds (product_id, opening_stock) and further columns, which are carried
+    along; a product without a row there opens empty, with those columns NULL. Receipts arrive
+    before the day's demand, unmet demand is lost: ``S = max(S_before + received - demanded, 0)``.
+
+    The replay is a segmented scan. Blocks of days are reduced to pairs, the pairs give each
+    block its opening stock, and all blocks are replayed independently, so a long history
+    splits; ``stored_ledger`` goes on from stored stock in the same way.
+    """
+    return ledger_of(daily_moves(demand, receipts, block_days), opening).drop("block")
+
+
 def stockout_flag(demanded: Column, sold: Column) -> Column:
     return F.when(sold < demanded, 1).otherwise(0)
 

@@ -92,10 +92,10 @@ def days_of_inventory(
 
 
 def inventory_value(inventory: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Latest stock of each product at unit cost."""
+    """Latest stock of each product at unit cost (K21); unknown products have no value."""
     return (
         _newest_stock(inventory)
-        .join(_dims(products, by, "unit_cost"), "product_id")
+        .join(_dims(products, by, "unit_cost"), "product_id", "left")
         .groupBy(*by)
         .agg(F.sum(stock_value(F.col("stock_on_hand"), F.col("unit_cost"))).alias("inventory_value"))
     )
@@ -111,7 +111,8 @@ def carrying_cost(
 ) -> DataFrame:
     """Average stock at unit cost, times a yearly rate, for the days covered.
 
-    The rate has no default: it is the user's cost of capital and storage.
+    The rate has no default: it is the user's cost of capital and storage. Stock of unknown
+    products has no cost.
     """
     span = F.datediff(F.max("snapshot_date"), F.min("snapshot_date")) + 1
     per_product = inventory.groupBy("product_id").agg(
@@ -121,7 +122,7 @@ def carrying_cost(
         F.col("_stock") * F.col("unit_cost").cast("double") * F.lit(float(annual_rate)) * F.col("_days") / 365
     )
     return (
-        per_product.join(_dims(products, by, "unit_cost"), "product_id")
+        per_product.join(_dims(products, by, "unit_cost"), "product_id", "left")
         .groupBy(*by)
         .agg(F.sum(cost).alias("carrying_cost"))
     )

@@ -137,10 +137,13 @@ def stockout_rate(
 
 
 def service_level(inventory: DataFrame, products: DataFrame) -> DataFrame:
-    """Achieved service level per product: one minus its stockout rate."""
+    """Achieved service level per product: one minus its stockout rate.
+
+    Unknown products have no pattern.
+    """
     return (
         _per_product(inventory)
-        .join(products.select("product_id", "pattern_group"), "product_id")
+        .join(products.select("product_id", "pattern_group"), "product_id", "left")
         .select(
             "product_id",
             "pattern_group",
@@ -162,16 +165,20 @@ def service_level_by_pattern(levels: DataFrame, target: float = 0.95) -> DataFra
     )
 
 
-def _grouped_lost(per_product: DataFrame, products: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
-    dims = [c for c in by if c != "product_id"]
-    priced = per_product.join(products.select("product_id", "unit_price", *dims), "product_id")
-    return priced.groupBy(*by).agg(*aggs) if by else priced.agg(*aggs)
+def _grouped_lost(
+    per_product: DataFrame, products: DataFrame, by: Sequence[str], total: Column, looked_up: Sequence[str] = ()
+) -> DataFrame:
+    """One total, or one for each group; unknown products stand under empty attributes."""
+    wanted = [*looked_up, *[c for c in by if c != "product_id"]]
+    if wanted:
+        per_product = per_product.join(products.select("product_id", *wanted), "product_id", "left")
+    return per_product.groupBy(*by).agg(total)
 
 
 def units_lost(
     inventory: DataFrame, sales: DataFrame, products: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Units demanded but not sold on stockout days."""
+    """Units demanded but not sold on stockout days, of unknown products too."""
     gap = F.col("units_demanded") - F.col("units_sold")
     per_product = (
         product_days(inventory, sales)
@@ -187,8 +194,8 @@ def revenue_lost_all_sales(sales: DataFrame, products: DataFrame, by: Sequence[s
     per_product = sales.groupBy("product_id").agg(
         F.sum(F.col("units_demanded") - F.col("units_sold")).alias("_gap")
     )
-    lost = F.sum(_money(F.col("_gap"), F.col("unit_price")))
-    return _grouped_lost(per_product, products, by, F.coalesce(lost, F.lit(0)).alias("revenue_lost"))
+    lost = F.coalesce(F.sum(_money(F.col("_gap"), F.col("unit_price"))), F.lit(0)).alias("revenue_lost")
+    return _grouped_lost(per_product, products, by, lost, ["unit_price"])
 
 
 def revenue_lost_on_stockouts(
@@ -202,8 +209,8 @@ def revenue_lost_on_stockouts(
         .groupBy("product_id")
         .agg(F.sum(gap).alias("_gap"))
     )
-    lost = F.sum(_money(F.col("_gap"), F.col("unit_price")))
-    return _grouped_lost(per_product, products, by, F.coalesce(lost, F.lit(0)).alias("revenue_lost"))
+    lost = F.coalesce(F.sum(_money(F.col("_gap"), F.col("unit_price"))), F.lit(0)).alias("revenue_lost")
+    return _grouped_lost(per_product, products, by, lost, ["unit_price"])
 
 
 def revenue_lost_share(summary: DataFrame, group: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -27,7 +27,7 @@ from stockflow.operators import (
     suppliers,
 )
 from stockflow.schemas import CRITICAL, REORDER_SOON
-from stockflow.sources import tables_io
+from stockflow.sources import marts, stored_ledger, tables_io
 from stockflow.sources.testdata_map import MappedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,7 @@ COVERS: dict[str, list[str]] = {}
 CARRYING_RATE = 0.2
 AS_OF = "1999-06-30"
 GRID_START, GRID_END = "1998-01-01", "1998-12-31"
+FIRST_LOAD, LATE_MONTH = "1997-06-10", "1996-07"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -166,6 +167,39 @@ def _(t):
     return _numbered_orders(t)
 
 
+ORDER_KEY = ["product_id", "supplier_id", "order_date", "expected_delivery_date", "quantity_ordered", "copy"]
+
+
+@query("a14_keys_kept", "A14")
+def _(t):
+    """Three loads: orders up to a day, then all, then all again; keys of the first stay."""
+    rest = ["actual_delivery_date", "status"]
+    copies = Window.partitionBy(*ORDER_KEY[:-1]).orderBy(*rest)
+    orders = t.purchase_orders.withColumns(
+        {"copy": F.row_number().over(copies), "range": F.floor(F.col("product_id") / 256)}
+    )
+    path = tables_io.shared_dir(t.spark, "keys")
+    table = marts.KeyTable(t.spark, path, ORDER_KEY, "po_id")
+    bucket = F.struct("product_id", F.trunc("order_date", "MM"))
+    for rows in (orders.filter(F.col("order_date") < FIRST_LOAD), orders, orders):
+        keyed = table.load(rows, "range", bucket, ORDER_KEY[2:3] + ORDER_KEY[1:2] + ORDER_KEY[3:])
+    return keyed.drop("copy", "range")
+
+
+@query("a17_refreshed_mart", "A17 K1")
+def _(t):
+    """A mart published before a month's late sales of every tenth product, then refreshed."""
+    late = (F.col("product_id") % 10 == 3) & (F.date_format("sale_date", "yyyy-MM") == LATE_MONTH)
+    path = tables_io.shared_dir(t.spark, "mart")
+
+    def build(sales):
+        return demand.rolling_demand(sales, t.products, ordered=False)
+
+    tables_io.publish_mart(build(t.sales.filter(~late)), path, day="sale_date")
+    marts.refresh_mart(path, t.sales, t.sales.filter(late), build, rows=30)
+    return t.spark.read.parquet(path).drop("month")
+
+
 @query("a17_published_mart", "A15 A17")
 def _(t):
     path = tables_io.shared_dir(t.spark, "mart")
@@ -418,6 +452,23 @@ def _(t):
     return t.derive_ledger().drop("unit_price")
 
 
+@query("k36_extended_ledger", "K36")
+def _(t):
+    """A first ledger, the days after it, and then late movements of every tenth product."""
+    def loads(moves):
+        late = (F.col("product_id") % 10 == 3) & (F.date_format("day", "yyyy-MM") == LATE_MONTH)
+        new = F.col("day") >= FIRST_LOAD
+        return moves.filter(~new & ~late), moves.filter(new & ~late), moves.filter(late)
+
+    path = tables_io.shared_dir(t.spark, "ledger")
+    opening = t.opening.select("product_id", "opening_stock")
+    first, *later = zip(loads(t.demand), loads(t.receipts), strict=True)
+    stored_ledger.store_ledger(*first, opening, path)
+    for moved in later:
+        stored_ledger.extend_ledger(t.spark, path, *moved)
+    return stored_ledger.stored_days(t.spark, path).drop("block")
+
+
 @query("k39_lost_sales", "K39 C8")
 def _(t):
     before = t.ledger.withColumn("units_available", F.col("stock_on_hand") + F.col("units_sold"))

@@ -1,0 +1,137 @@
+import datetime as dt
+import random
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from stockflow.operators import ledger as lg
+from stockflow.sources import stored_ledger as sl
+
+MOVES = "product_id long, day date, units int"
+START = dt.date(2024, 1, 1)
+COLUMNS = ("product_id", "day", "units_demanded", "units_received", "units_sold", "stock_on_hand", "is_stockout")
+
+
+def movements(seed, n=400, products=6, days=120):
+    rng = random.Random(seed)
+    out = ([], [])
+    for _ in range(n):
+        row = (rng.randrange(products), START + dt.timedelta(days=rng.randrange(days)), rng.randrange(9))
+        out[rng.random() < 0.45].append(row)
+    return out
+
+
+def tables(spark, moved):
+    return [spark.createDataFrame(rows, MOVES) for rows in moved]
+
+
+def openings(spark, products):
+    return spark.createDataFrame([(p, 3 * p) for p in products], "product_id long, opening_stock int")
+
+
+def replayed(moved, opening):
+    """Day by day, one product after the other."""
+    days = {}
+    for side, rows_ in enumerate(moved):
+        for product, day, units in rows_:
+            days.setdefault(product, {}).setdefault(day, [0, 0])[side] += units
+    out = []
+    for product, by_day in days.items():
+        stock = opening.get(product, 0)
+        for day, (wanted, got) in sorted(by_day.items()):
+            sold = min(wanted, stock + got)
+            stock += got - sold
+            out.append((product, day.isoformat(), wanted, got, sold, stock, int(sold < wanted)))
+    return sorted(out, key=repr)
+
+
+def test_any_block_length_gives_the_same_ledger(spark):
+    moved = movements(1)
+    want = replayed(moved, {p: 3 * p for p in range(5)})  # the last product has no opening row
+    for block_days in (1, 7, 64, 1000):
+        got = lg.stock_ledger(*tables(spark, moved), openings(spark, range(5)), block_days)
+        assert rows(got, *COLUMNS) == want
+
+
+def test_product_without_opening_stays(spark):
+    moved = ([(1, START, 2), (9, START, 4)], [(9, START, 3)])
+    opening = spark.createDataFrame([(1, 5, "a")], "product_id long, opening_stock int, label string")
+    got = rows(lg.stock_ledger(*tables(spark, moved), opening), *COLUMNS[:1], "units_sold", "stock_on_hand", "label")
+    assert got == [(1, 2, 3, "a"), (9, 3, 0, None)]
+
+
+def test_pairs_combine_associatively(spark):
+    moves = lg.daily_moves(*tables(spark, movements(2, days=300)), block_days=2)
+    pairs = lg.block_pairs(moves)
+    at_once = rows(lg.combine_pairs(pairs, 12), "product_id", "block", "net", "least")
+    for spans in ((2, 6), (3, 4), (4, 3), (2, 2, 3)):
+        stepwise = pairs
+        for span in spans:
+            stepwise = lg.combine_pairs(stepwise, span)
+        assert rows(stepwise, "product_id", "block", "net", "least") == at_once
+    direct = lg.block_pairs(moves.withColumn("block", F.floor(F.col("block") / 12).cast("long")))
+    assert rows(direct, "product_id", "block", "net", "least") == at_once
+
+
+def split(moved, cuts):
+    """Movements dealt into loads by day, each with some held back for a last, late load."""
+    loads = [([], []) for _ in range(len(cuts) + 2)]
+    for side, rows_ in enumerate(moved):
+        for i, row in enumerate(rows_):
+            load = sum(row[1] >= START + dt.timedelta(days=c) for c in cuts)
+            loads[-1 if i % 11 == 0 else load][side].append(row)
+    return loads
+
+
+def test_loads_equal_a_full_replay(spark, tmp_path):
+    for seed, cuts, block_days in ((3, (30, 31, 90), 16), (4, (64, 100), 7)):
+        moved = movements(seed)
+        path = str(tmp_path / f"ledger{seed}")
+        loads = split(moved, cuts)
+        sl.store_ledger(*tables(spark, loads[0]), openings(spark, range(6)), path, block_days)
+        for load in loads[1:]:
+            sl.extend_ledger(spark, path, *tables(spark, load), block_days=block_days)
+            sl.extend_ledger(spark, path, *tables(spark, ([], [])), block_days=block_days)
+        assert rows(sl.stored_days(spark, path), *COLUMNS) == replayed(moved, {p: 3 * p for p in range(6)})
+
+
+def test_earlier_days_and_new_products(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    day = lambda n: START + dt.timedelta(days=n)
+    opening = spark.createDataFrame([(1, 10), (2, 4)], "product_id long, opening_stock int")
+    sl.store_ledger(*tables(spark, ([(1, day(50), 3)], [])), opening, path, 10)
+    later = ([(3, day(81), 9), (2, day(81), 1)], [])
+    fresh = spark.createDataFrame([(3, 7), (2, 1000)], "product_id long, opening_stock int")
+    sl.extend_ledger(spark, path, *tables(spark, later), opening=fresh, block_days=10)
+    early = ([(1, day(5), 9), (2, day(3), 2)], [])
+    sl.extend_ledger(spark, path, *tables(spark, early), block_days=10)
+    earliest = ([(2, day(-30), 1)], [])
+    sl.extend_ledger(spark, path, *tables(spark, earliest), block_days=10)
+    moved = (early[0] + earliest[0] + [(1, day(50), 3)] + later[0], [])
+    assert rows(sl.stored_days(spark, path), *COLUMNS) == replayed(moved, {1: 10, 2: 4, 3: 7})
+
+
+def test_new_days_read_no_stored_day(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    moved = movements(5)
+    sl.store_ledger(*tables(spark, moved), openings(spark, range(6)), path, 16)
+    moves = lg.daily_moves(*tables(spark, ([(1, START + dt.timedelta(days=500), 1)], [])), 16)
+    latest = sl.stored_states(spark, path).agg(F.max("block")).first()[0]
+    rows_ = sl.new_days(spark, path, moves, latest)
+    read = rows_.inputFiles()
+    assert any("/state/" in f for f in read) and not any("/days/" in f for f in read)
+    filters = rows_._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1:]
+    assert any(f"= {latest})" in f.split("]")[0] for f in filters)
+
+
+def test_late_days_leave_earlier_blocks_alone(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    moved = movements(6)
+    sl.store_ledger(*tables(spark, moved), openings(spark, range(6)), path, 16)
+    files = lambda: {f.relative_to(path).as_posix() for f in (tmp_path / "ledger" / "days").rglob("*.parquet")}
+    before = files()
+    late = START + dt.timedelta(days=70)
+    sl.extend_ledger(spark, path, *tables(spark, ([(1, late, 1)], [])), block_days=16)
+    [(first,)] = rows(spark.createDataFrame([(1,)], "x int").select(lg.day_block(F.lit(late), 16).alias("b")), "b")
+    old = {f for f in before if int(f.split("block=")[1].split("/")[0]) < first}
+    assert old and old <= files() and not (before - old) & files()
