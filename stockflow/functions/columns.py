@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from stockflow.schemas import STATUS_ORDER, WEEKDAYS
 
@@ -67,3 +68,33 @@ def in_trailing_window(df: DataFrame, day: str, days: int) -> Column:
     cutoff = trailing_cutoff(df, day, days)
     inside = F.col(day) >= cutoff
     return inside & (F.col("month") >= month_label(cutoff)) if "month" in df.columns else inside
+
+
+def in_months_until(df: DataFrame, day: Column) -> DataFrame:
+    """Where the table is partitioned by ``month``, its months up to that of ``day``."""
+    return df.filter(F.col("month") <= month_label(day)) if "month" in df.columns else df
+
+
+def trailing_rows_sum(value: Column, ordered: WindowSpec, rows: int) -> Column:
+    """Sum over the last ``rows`` rows, as the difference of two running sums.
+
+    Each row is added once, however long the frame is. Exact for whole numbers and decimals.
+    """
+    all_so_far = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    left_behind = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, -rows))
+    return all_so_far - F.coalesce(left_behind, F.lit(0))
+
+
+def trailing_range_sum(value: Column, ordered: WindowSpec, reach: int) -> Column:
+    """``trailing_rows_sum`` over a range of the ordering number, from ``reach - 1`` below on."""
+    all_so_far = F.sum(value).over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+    left_behind = F.sum(value).over(ordered.rangeBetween(Window.unboundedPreceding, -reach))
+    return all_so_far - F.coalesce(left_behind, F.lit(0))
+
+
+def exact(df: DataFrame, column: str) -> Column:
+    """A measure in a type whose sums and differences are exact; fractions keep 4 digits."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, IntegralType):
+        return F.col(column).cast("long")
+    return F.col(column) if isinstance(kind, DecimalType) else F.col(column).cast("decimal(18,4)")

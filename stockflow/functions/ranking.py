@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.sources.tables_io import staged
+
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -120,3 +122,20 @@ def extend_keys(
     unseen = rows.join(known, same, "left_anti")
     highest = F.coalesce(stored.agg(F.max(name).alias("value")).scalar(), F.lit(0))
     return number_rows(unseen, name, major, minor, order_by).withColumn(name, F.col(name) + highest)
+
+
+def row_positions(ordered: DataFrame, name: str, last: str, ties: Sequence[str]) -> DataFrame:
+    """Where the rows of a sorted result stand: first and last place, from 1, of their tie group.
+
+    Rows with equal ``ties`` may come in any order; a sort that is right gives them adjacent
+    places. The sorted partitions are numbered on their own and moved on by the rows before.
+    """
+    marked = staged(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered-rows")
+    part = F.shiftright("_at", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = marked.withColumn("_part", part).join(starts, "_part")
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    group = Window.partitionBy(*ties)
+    return placed.withColumns({name: F.min(place).over(group), last: F.max(place).over(group)}).drop("_at", "_part", "_start")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.functions.columns import month_start, ratio
+from stockflow.functions.columns import exact, month_start, ratio, trailing_rows_sum
 from stockflow.schemas import WEEKDAYS
 
 LABELS = ("product_name", "category", "pattern_group")
@@ -29,19 +29,19 @@ def rolling_demand(
 ) -> DataFrame:
     """Moving average and total of the last ``days`` rows of each product (K1).
 
-    Counts rows, not calendar days; early rows have a shorter frame. Window and join share
-    the partitioning by product. ``ordered`` sorts the fact-sized result, which is a second
+    Counts rows, not calendar days; early rows have a shorter frame. Frames are differences
+    of running sums, so their length costs nothing. Window and join share the partitioning by
+    product. ``ordered`` sorts the fact-sized result, which is a second
     shuffle: leave it off when the result is written or aggregated.
     """
-    frame = Window.partitionBy("product_id").orderBy("sale_date").rowsBetween(1 - days, 0)
+    by_day = Window.partitionBy("product_id").orderBy("sale_date")
+    units = exact(sales, measure)
+    known = trailing_rows_sum(units.isNotNull().cast("long"), by_day, days)
+    total = F.when(known > 0, trailing_rows_sum(F.coalesce(units, F.lit(0)), by_day, days))
     result = (
-        sales.select(
-            "product_id",
-            "sale_date",
-            measure,
-            F.round(F.avg(measure).over(frame), 2).alias(f"rolling_{days}d_avg_demand"),
-            F.sum(measure).over(frame).alias(f"rolling_{days}d_total_demand"),
-        )
+        sales.select("product_id", "sale_date", measure, total.alias("_total"), known.alias("_known"))
+        .withColumn(f"rolling_{days}d_avg_demand", F.round(ratio(F.col("_total"), F.col("_known")), 2))
+        .withColumnRenamed("_total", f"rolling_{days}d_total_demand")
         .join(products.select("product_id", *LABELS), "product_id")
         .select(
             "product_id",

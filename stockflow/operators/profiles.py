@@ -1,16 +1,18 @@
 """Distributions behind the charts.
 
-Values are counted per group first. The distinct values of a daily count or a delay are
-few, so quartiles and whiskers work on the counted table however large a group is.
+Values are counted per group first, which makes daily counts and delays few. Quartiles are
+selected by rank, so that a group of many different values is never in one buffer either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FINE_RANGES = 4096
+
 
 def value_counts(df: DataFrame, column: str, ordered: bool = True) -> DataFrame:
     """Rows per value, most frequent first."""
@@ -61,18 +63,86 @@ def _counted(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -
     )
 
 
+def _coarse_range(value: Column) -> Column:
+    """A number that never falls as the value grows: sign, and 64 steps for each factor of e."""
+    endless = F.lit(1 << 39)
+    step = F.when(F.abs(value) == float("inf"), endless).otherwise(F.floor(F.ln(F.abs(value)) * 64) + 64 * 800)
+    ranged = F.when(value > 0, step).when(value < 0, -step).otherwise(0)
+    return F.when(F.isnan(value), endless + 1).otherwise(ranged).cast("long")
+
+
+def _counted_ranges(rows: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
+    """Rows in each range ``_part`` of a group's values, and how many stand before it."""
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, part.alias("_part")).agg(
+        F.sum("_n").alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    return ranges.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+
+def values_at(counted: DataFrame, by: Sequence[str], places: DataFrame) -> DataFrame:
+    """``places`` (group, ``_place`` from 0) with ``_at``, the value at that place of the group.
+
+    ``counted`` has (group, ``_value``, ``_n``). Selection by rank: the rows of a group are
+    counted by coarse ranges of the value, those of the ranges that hold a wanted place by
+    ``FINE_RANGES`` equal parts of what the range spans, and only the values of the parts that
+    hold one are sorted. A task sees a group's range counts and such a part, never the values
+    of a group. Exact for any values; parts are small unless values crowd on many scales at once.
+    """
+    by = list(by)
+    rows = counted.select(*by, "_value", "_n", F.col("_value").cast("double").alias("_v"))
+    rows = rows.withColumn("_coarse", _coarse_range(F.col("_v")))
+    coarse = _counted_ranges(rows, by, F.col("_coarse")).withColumnRenamed("_part", "_coarse")
+    holds = (F.col("_place") >= F.col("_ahead")) & (F.col("_place") < F.col("_ahead") + F.col("_rows"))
+    wanted = coarse.join(places, by).filter(holds).withColumn("_place", F.col("_place") - F.col("_ahead"))
+    wanted = wanted.select(*by, "_coarse", "_place", F.col("_ahead").alias("_skipped"), "_low", "_high")
+    chosen = wanted.select(*by, "_coarse", "_low", "_high").distinct()
+
+    span = F.col("_high") - F.col("_low")
+    fine = F.when(F.col("_low") < F.col("_high"), F.floor((F.col("_v") - F.col("_low")) / span * FINE_RANGES))
+    inner = rows.join(chosen, [*by, "_coarse"]).withColumn("_fine", F.coalesce(fine.cast("long"), F.lit(0))).drop("_low", "_high")
+    parts = _counted_ranges(inner, [*by, "_coarse"], F.col("_fine")).withColumnRenamed("_part", "_fine")
+    keys = [*by, "_coarse"]
+    wanted = wanted.drop("_low", "_high").join(parts, keys).filter(holds)
+    wanted = wanted.select(*keys, "_fine", "_place", "_skipped", "_ahead")
+    held = wanted.select(*keys, "_fine").distinct()
+
+    before = Window.partitionBy(*keys, "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_rows = inner.join(held, [*keys, "_fine"]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.col("_place") - F.col("_ahead")
+    found = sorted_rows.join(wanted, [*keys, "_fine"])
+    found = found.filter((inside >= F.col("_before")) & (inside < F.col("_before") + F.col("_n")))
+    return found.select(*by, (F.col("_place") + F.col("_skipped")).alias("_place"), F.col("_value").alias("_at"))
+
+
+def quantiles(counted: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours, and ``count`` of each group.
+
+    The figures are those of ``percentile`` with frequencies.
+    """
+    by = list(by)
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("count"))
+    asked = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(q)).alias("_share")) for n, q in shares.items()])
+    position = (F.col("count") - 1).cast("double") * F.col("_share")
+    asked = totals.select(*by, "count", F.inline(asked)).withColumn("_position", position)
+    ends = [F.floor("_position"), F.ceil("_position")]
+    places = asked.select(*by, F.explode(F.array(*ends)).alias("_place")).distinct()
+    values = values_at(counted, by, places)
+    both = asked.withColumn("_place", F.explode(F.array_distinct(F.array(*ends)))).join(values, [*by, "_place"])
+    low, high = [F.max(F.when(F.col("_place") == end, F.col("_at").cast("double"))) for end in ends]
+    lower, upper = [F.first(end) for end in ends]
+    at = F.first("_position")
+    between = (upper - at) * low + (at - lower) * high
+    value = F.when((lower == upper) | (low == high), low).otherwise(between)
+    each = both.groupBy(*by, "_name").agg(value.alias("_quantile"), F.first("count").alias("count"))
+    picked = [F.max(F.when(F.col("_name") == n, F.col("_quantile"))).alias(n) for n in shares]
+    return each.groupBy(*by).agg(F.first("count").alias("count"), *picked)
+
+
 def _quartiles(counted: DataFrame, by: Sequence[str], whisker: float) -> DataFrame:
-    quartiles = F.percentile("_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
-    boxes = counted.groupBy(*by).agg(quartiles.alias("_q"), F.sum("_n").alias("count"))
     spread = F.col("q3") - F.col("q1")
     return (
-        boxes.select(
-            *by,
-            "count",
-            F.col("_q")[0].alias("q1"),
-            F.col("_q")[1].alias("median"),
-            F.col("_q")[2].alias("q3"),
-        )
+        quantiles(counted, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
         .withColumn("_low_fence", F.col("q1") - spread * whisker)
         .withColumn("_high_fence", F.col("q3") + spread * whisker)
     )

@@ -7,7 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.functions.columns import in_trailing_window, ratio, scalar, status_position, trailing_cutoff
+from stockflow.functions.columns import (
+    exact,
+    in_months_until,
+    in_trailing_window,
+    ratio,
+    scalar,
+    status_position,
+    trailing_cutoff,
+    trailing_range_sum,
+)
 from stockflow.schemas import CRITICAL, HEALTHY, OVERSTOCKED, REORDER_SOON, SERVICE_LEVEL_Z, Z_95
 
 
@@ -25,16 +34,21 @@ def demand_baseline(
 
     Days without a sales row count as zero demand, up to the last sale of any product.
     ``None`` takes the whole history, from the first to the last sale of any product.
+
+    First days come from one combined aggregate; the second pass reads the facts up to the last
+    product's baseline only, of a mart partitioned by month only those months.
     """
     days = sales.select("product_id", "sale_date", F.col(measure).cast("double").alias("units"))
     if baseline_days is None:
         span = F.datediff(F.max("sale_date"), F.min("sale_date")) + 1
         n = F.max(scalar(sales, span.cast("double")))
     else:
-        whole = Window.partitionBy("product_id")
-        days = days.withColumn("_first", F.min("sale_date").over(whole)).filter(
-            F.datediff("sale_date", "_first") < baseline_days
-        )
+        first = sales.groupBy("product_id").agg(F.min("sale_date").alias("_first"))
+        # Past the last product's baseline there is nothing to read.
+        end = F.date_add(scalar(first, F.max("_first")), baseline_days - 1)
+        early = in_months_until(sales, end).filter(F.col("sale_date") <= end)
+        days = early.select("product_id", "sale_date", F.col(measure).cast("double").alias("units"))
+        days = days.join(first, "product_id").filter(F.datediff("sale_date", "_first") < baseline_days)
         last = F.max(scalar(sales, F.max("sale_date")))
         n = F.least(F.datediff(last, F.max("_first")) + 1, F.lit(baseline_days)).cast("double")
     totals = days.groupBy("product_id").agg(
@@ -143,32 +157,27 @@ def reorder_point_asof(
     """Reorder point at each snapshot date from the ``lookback`` days up to it (K5).
 
     The frame is a range of calendar days, so days without a row count as zero demand
-    without being generated, and no later row is seen.
+    without being generated, and no later row is seen. It is taken as the difference of two
+    running sums, whatever the ``lookback``.
     """
+    units = exact(sales, measure)
     flows = sales.select(
-        "product_id",
-        F.col("sale_date").alias("day"),
-        F.col(measure).cast("double").alias("units"),
-        F.lit(0).alias("snapshot"),
+        "product_id", F.col("sale_date").alias("day"), units.alias("units"), F.lit(0).alias("snapshot")
     ).unionByName(
         inventory.select(
-            "product_id",
-            F.col("snapshot_date").alias("day"),
-            F.lit(0.0).alias("units"),
-            F.lit(1).alias("snapshot"),
+            "product_id", F.col("snapshot_date").alias("day"), F.lit(None).cast("long").alias("units"), F.lit(1).alias("snapshot")
         )
     )
     days = (
         flows.groupBy("product_id", "day")
-        .agg(F.sum("units").alias("units"), F.max("snapshot").alias("snapshot"))
+        .agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.max("snapshot").alias("snapshot"))
         .withColumn("_d", F.unix_date("day"))
     )
-    whole = Window.partitionBy("product_id")
-    frame = whole.orderBy("_d").rangeBetween(1 - lookback, 0)
-    first = F.min("_d").over(whole.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
+    by_day = Window.partitionBy("product_id").orderBy("_d")
+    first = F.min("_d").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
     stats = (
-        days.withColumn("_total", F.sum("units").over(frame))
-        .withColumn("_squares", F.sum(F.col("units") * F.col("units")).over(frame))
+        days.withColumn("_total", trailing_range_sum(F.col("units"), by_day, lookback).cast("double"))
+        .withColumn("_squares", trailing_range_sum(F.col("units") * F.col("units"), by_day, lookback).cast("double"))
         .withColumn("_n", F.least(F.col("_d") - first + 1, F.lit(lookback)).cast("double"))
         .filter("snapshot = 1")
     )

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from stockflow.functions.columns import month_label, percent, ratio, scalar
 
 
-def product_days(inventory: DataFrame, sales: DataFrame) -> DataFrame:
+def product_days(inventory: DataFrame, sales: DataFrame, regions: bool = False) -> DataFrame:
     """Snapshots and sales of the same product and day, one row each (C4).
 
     Both facts are stacked and summed by (product, day) in one shuffle with map-side
     combine, which gives the inner join without its fan-out: several sales rows of a day,
-    one per region say, become one.
+    one per region say, become one. With ``regions`` the day's regions are one more aggregate,
+    at most as many as there are.
     """
+    place = F.struct("region").alias("_place") if regions else F.lit(None).cast("int").alias("_place")
+    nowhere = F.lit(None).cast("struct<region:string>" if regions else "int").alias("_place")
+    seen = [F.collect_set("_place").alias("regions")] if regions else []
     snapshots = inventory.select(
         "product_id",
         F.col("snapshot_date").alias("day"),
@@ -24,6 +28,7 @@ def product_days(inventory: DataFrame, sales: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("units_sold"),
         F.lit(None).cast("long").alias("units_demanded"),
         F.lit(0).alias("_sale"),
+        nowhere,
     )
     flows = sales.select(
         "product_id",
@@ -32,6 +37,7 @@ def product_days(inventory: DataFrame, sales: DataFrame) -> DataFrame:
         F.col("units_sold").cast("long").alias("units_sold"),
         F.col("units_demanded").cast("long").alias("units_demanded"),
         F.lit(1).alias("_sale"),
+        place,
     )
     return (
         snapshots.unionByName(flows)
@@ -42,6 +48,7 @@ def product_days(inventory: DataFrame, sales: DataFrame) -> DataFrame:
             F.sum("units_demanded").alias("units_demanded"),
             F.max("_sale").alias("_has_sale"),
             F.min("_sale").alias("_no_snapshot"),
+            *seen,
         )
         .filter("_has_sale = 1 AND _no_snapshot = 0")
         .drop("_has_sale", "_no_snapshot")
@@ -112,13 +119,8 @@ def stockout_rate(
     """
     facts, keys = inventory, []
     if "region" in by:
-        # Routed by the join key first, so that removing repeats needs no shuffle of its own.
-        places = (
-            sales.select("product_id", F.col("sale_date").alias("snapshot_date"), "region")
-            .repartition("product_id", "snapshot_date")
-            .distinct()
-        )
-        facts = facts.join(places, ["product_id", "snapshot_date"])
+        days = product_days(inventory, sales, regions=True)
+        facts = days.select("product_id", F.col("day").alias("snapshot_date"), "is_stockout", F.inline("regions"))
         keys.append(F.col("region"))
     if "month" in by:
         keys.append(F.trunc("snapshot_date", "MM").alias("month"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import percent, ratio, scalar
 from stockflow.functions.ranking import rank_by_value
 from stockflow.operators.profiles import box_stats
+from stockflow.sources.tables_io import staged
 
 
 def received_orders(pos: DataFrame) -> DataFrame:
@@ -72,10 +72,10 @@ def supplier_ranking(
     """Suppliers ranked by on-time share of received orders (K8).
 
     Ranked on the unrounded share. Shares are bucketed by hundredths of a percent, so that
-    no task sees all suppliers. The figures, a row per supplier, are kept while both passes of
-    the ranking read them, so the facts are read once.
+    no task sees all suppliers. The figures, a row per supplier, are written to the shared
+    folder for the two passes of the ranking, so the facts are read once.
     """
-    performance = supplier_performance(suppliers, pos, products, inventory).persist(StorageLevel.DISK_ONLY)
+    performance = staged(supplier_performance(suppliers, pos, products, inventory), "supplier-figures")
     ranked = rank_by_value(
         performance, "_on_time_pct", "on_time_rank", bucket=F.floor(F.col("_on_time_pct") * 100)
     )

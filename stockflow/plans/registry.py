@@ -7,13 +7,14 @@ back with decimals as doubles, so that both engines compare the same plain types
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from stockflow.functions.columns import scalar
-from stockflow.functions.ranking import number_rows
+from stockflow.functions.ranking import number_rows, row_positions
 from stockflow.operators import (
     calendars,
     demand,
@@ -103,6 +104,27 @@ def _checked(t):
     return {**t.all(), "lineitem": t.raw("lineitem")}
 
 
+@query("a01_rejected_rows", "A1 A3")
+def _(t):
+    """Orders exported with faults in three of fifty products: by product, rows and rejects."""
+    fault = F.col("product_id") % 50
+    day = F.date_format("order_date", "yyyy-MM-dd")
+    text = {
+        "order_date": F.when(fault == 7, F.date_format("order_date", "dd/MM/yyyy")).otherwise(day),
+        "quantity_ordered": F.when(fault == 8, "many").otherwise(F.col("quantity_ordered").cast("string")),
+        "unit_cost": F.when(fault == 9, "1,2").otherwise(F.col("unit_cost").cast("string")),
+    }
+    folder = tables_io.shared_dir(t.spark, "csv")
+    orders = t.purchase_orders.withColumn("po_id", F.lit(1).cast("long")).withColumns(text)
+    tables_io.write_tables({"purchase_orders": orders}, folder)
+    good, bad = tables_io.load_with_rejects(t.spark, f"{folder}/purchase_orders.csv", "purchase_orders")
+    rejected = bad.select(F.split("line", ",")[1].cast("long").alias("product_id"), F.lit(None).cast("int").alias("units"))
+    both = good.select("product_id", F.col("quantity_ordered").alias("units")).unionByName(rejected)
+    return both.groupBy("product_id").agg(
+        F.count("units").alias("rows"), F.count_if(F.col("units").isNull()).alias("rejected"), F.sum("units").alias("units")
+    )
+
+
 @query("a06_null_cells", "A6 H14")
 def _(t):
     return quality.null_cells(t.all())
@@ -469,6 +491,56 @@ def _(t):
     return stored_ledger.stored_days(t.spark, path).drop("block")
 
 
+@query("g02_appended_products", "G2 K36")
+def _(t):
+    """Row sets of groups of products, each replayed on its own, one after the other."""
+    def part(df, n):
+        return df.filter(F.col("product_id") % 3 == n)
+
+    opening = t.opening.select("product_id", "opening_stock")
+    sets = [ledger.stock_ledger(part(t.demand, n), part(t.receipts, n), part(opening, n)) for n in range(3)]
+    return reduce(DataFrame.unionByName, sets)
+
+
+# Row order: the place of each row in the sorted report
+
+
+@query("f01_rolling_order", "F1 K1")
+def _(t):
+    report = demand.rolling_demand(t.sales, t.products).select("product_id", "sale_date")
+    return row_positions(report, "place", "last_place", ["product_id", "sale_date"])
+
+
+@query("f01_ranking_order", "F1 F3 K9")
+def _(t):
+    report = stockouts.top_stockouts(_summary(t)).select("product_id", "category", "rank_in_category")
+    return row_positions(report, "place", "last_place", ["category", "rank_in_category"])
+
+
+@query("f02_status_order", "F2 K7")
+def _(t):
+    report = _status(t, ordered=True).select("product_id", "status", "days_of_inventory_remaining")
+    return row_positions(report, "place", "last_place", ["status", "days_of_inventory_remaining"])
+
+
+@query("f04_rate_order", "F4 K12")
+def _(t):
+    report = stockouts.stockout_rate(t.inventory, t.products, by=["pattern_group"])
+    return row_positions(report, "place", "last_place", ["stockout_rate"])
+
+
+@query("f04_count_order", "F4 D9")
+def _(t):
+    report = profiles.value_counts(t.purchase_orders, "status")
+    return row_positions(report, "place", "last_place", ["status"])
+
+
+@query("f05_weekday_order", "F5 I2")
+def _(t):
+    report = calendars.weekday_distribution(t.sales).select("dow", "count")
+    return row_positions(report, "place", "last_place", ["dow"])
+
+
 @query("k39_lost_sales", "K39 C8")
 def _(t):
     before = t.ledger.withColumn("units_available", F.col("stock_on_hand") + F.col("units_sold"))

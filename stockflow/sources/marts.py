@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.ranking import extend_keys
-from stockflow.sources.tables_io import _file_system, shared_dir
+from stockflow.sources.tables_io import _file_system, staged
 
 
 def months_within_days(changed: DataFrame, day: str, days: int) -> list[str]:
@@ -45,11 +45,8 @@ def replace_months(df: DataFrame, path: str, months: Sequence[str]) -> None:
     Rows of other months are refused. A month for which ``df`` has no rows is removed. The rows
     are staged first, so ``df`` may be made from the mart itself.
     """
-    spark = df.sparkSession
-    staged = shared_dir(spark, "mart-months")
     stray = F.raise_error(F.concat(F.lit("not a month to replace: "), F.coalesce("month", F.lit("none"))))
-    df.withColumn("month", F.when(F.col("month").isin(list(months)), F.col("month")).otherwise(stray)).write.parquet(staged)
-    rows = spark.read.schema(df.schema).parquet(staged)
+    rows = staged(df.withColumn("month", F.when(F.col("month").isin(list(months)), F.col("month")).otherwise(stray)), "mart-months")
     written = set(_months(rows.select("month")))
     (
         rows.hint("rebalance", F.col("month"))
@@ -60,7 +57,7 @@ def replace_months(df: DataFrame, path: str, months: Sequence[str]) -> None:
     )
     for month in months:
         if month not in written:
-            files, place = _file_system(spark, f"{path}/month={month}")
+            files, place = _file_system(df.sparkSession, f"{path}/month={month}")
             files.delete(place, True)
 
 
@@ -113,9 +110,8 @@ class KeyTable:
         else:
             stored = rows.select(*self.natural, F.lit(0).cast("long").alias(self.name)).limit(0)
         fresh = extend_keys(stored, rows, self.natural, self.name, major, minor, order_by)
-        staged = shared_dir(self.spark, "new-keys")
-        fresh.select(*self.natural, F.col(self.name).cast("long").alias(self.name)).write.parquet(staged)
-        self.spark.read.parquet(staged).write.mode("append").parquet(self.path)
+        fresh = fresh.select(*self.natural, F.col(self.name).cast("long").alias(self.name))
+        staged(fresh, "new-keys").write.mode("append").parquet(self.path)
         known = self.keys().select(*[F.col(c).alias(f"_k_{c}") for c in self.natural], self.name)
         same = F.lit(True)
         for c in self.natural:

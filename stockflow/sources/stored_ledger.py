@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockflow.operators.ledger import BLOCK_DAYS, daily_moves, ledger_of
-from stockflow.sources.tables_io import _file_system, shared_dir
+from stockflow.sources.tables_io import _file_system, staged
 
 DAYS = (
     "product_id long, day date, units_demanded long, units_received long, units_sold long, "
@@ -52,15 +52,9 @@ def block_states(rows: DataFrame, start: DataFrame, first: int, last: int) -> Da
     )
 
 
-def _staged(df: DataFrame, purpose: str) -> DataFrame:
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _write(staged: DataFrame, path: str, mode: str) -> None:
-    """Overwriting replaces the blocks that ``staged`` has rows for, and no others."""
-    writer = staged.hint("rebalance", F.col("block")).write.mode(mode).partitionBy("block")
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    """Overwriting replaces the blocks that ``rows`` has rows for, and no others."""
+    writer = rows.hint("rebalance", F.col("block")).write.mode(mode).partitionBy("block")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -69,7 +63,7 @@ def _add_openings(path: str, opening: DataFrame) -> None:
     opening = opening.select("product_id", F.col("opening_stock").cast("long").alias("opening_stock"))
     if _exists(opening.sparkSession, f"{path}/opening"):
         opening = opening.join(_stored_openings(opening.sparkSession, path), "product_id", "left_anti")
-    _staged(opening, "ledger-opening").write.mode("append").parquet(f"{path}/opening")
+    staged(opening, "ledger-opening").write.mode("append").parquet(f"{path}/opening")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -102,8 +96,8 @@ def store_ledger(
 
 
 def _put(path: str, rows: DataFrame, start: DataFrame, first: int, last: int, mode: str) -> None:
-    rows = _staged(rows, "ledger-days")
-    states = _staged(block_states(rows, start, first, last), "ledger-state")
+    rows = staged(rows, "ledger-days")
+    states = staged(block_states(rows, start, first, last), "ledger-state")
     _write(rows, f"{path}/days", mode)
     _write(states, f"{path}/state", "overwrite")
 

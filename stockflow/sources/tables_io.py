@@ -17,6 +17,8 @@ from stockflow.schemas import TABLES, conform
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+REJECTED = "_rejected"
+
 CSV_READ = {
     "header": "true",
     "sep": ",",
@@ -52,6 +54,23 @@ def load_table(
     return conform(spark.read.format(fmt).load(path), table)
 
 
+def load_with_rejects(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV table that parse, and (file, line) of those that do not (A1, A3).
+
+    A line is rejected for a cell that does not fit its declared type, or for cells too many or
+    too few; it is kept as it stands, so rows and rejects together are the lines of the files.
+    Each side is a scan of its own. Headers must match; cells with line breaks are not taken.
+    """
+    declared = TABLES[table]
+    schema = StructType([*[StructField(f.name, f.dataType, True) for f in declared], StructField(REJECTED, StringType())])
+    reader = spark.read.schema(schema).options(**CSV_READ).option("mode", "PERMISSIVE")
+    lines = reader.option("columnNameOfCorruptRecord", REJECTED).csv(path)
+    parsed = staged(lines.select("*", F.col("_metadata.file_path").alias("_file")), f"{table}-lines")
+    good = parsed.filter(F.col(REJECTED).isNull()).select(*declared.names)
+    bad = parsed.filter(F.col(REJECTED).isNotNull())
+    return good, bad.select(F.col("_file").alias("file"), F.col(REJECTED).alias("line"))
+
+
 def load_tables(
     spark: SparkSession, directory: str, fmt: str = "csv", mode: str = "FAILFAST"
 ) -> dict[str, DataFrame]:
@@ -162,6 +181,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, whoever reads it how often."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SCHEMAS: dict[str, StructType] = {}
 
 
