@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.sources.tables_io import staged
+
 
 #: Days that are replayed together; a product's blocks are replayed side by side.
 BLOCK_DAYS = 64
@@ -91,15 +93,15 @@ def block_openings(pairs: DataFrame, opening: DataFrame) -> DataFrame:
     )
 
 
-def replay_blocks(moves: DataFrame, openings: DataFrame) -> DataFrame:
-    """The days of each block from the stock at its start, without a look at other blocks."""
-    carried = [c for c in openings.columns if c not in ("product_id", "block", "opening_stock")]
-    by_day = Window.partitionBy("product_id", "block").orderBy("day")
+def _replay(moves: DataFrame, openings: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """The days of each of ``keys`` from the stock at its start, without a look at others."""
+    carried = [c for c in openings.columns if c not in (*keys, "opening_stock")]
+    by_day = Window.partitionBy(*keys).orderBy("day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moves = moves.join(openings, list(keys), how).withColumn("opening_stock", F.coalesce("opening_stock", F.lit(0)))
     net = F.col("opening_stock") + F.sum(F.col("units_received") - F.col("units_demanded")).over(so_far)
     return (
-        moves.join(openings, ["product_id", "block"])
-        .withColumn("_net", net)
+        moves.withColumn("_net", net)
         .withColumn("stock_on_hand", F.col("_net") - F.least(F.lit(0), F.min("_net").over(so_far)))
         .withColumn(
             "units_sold",
@@ -122,11 +124,19 @@ def replay_blocks(moves: DataFrame, openings: DataFrame) -> DataFrame:
 
 
 def ledger_of(moves: DataFrame, opening: DataFrame) -> DataFrame:
-    return replay_blocks(moves, block_openings(block_pairs(moves), opening))
+    """The ledger by blocks, as a segmented scan.
+
+    Blocks of days are reduced to pairs, the pairs give each block its opening stock, and all
+    blocks are replayed independently, so a long history splits over tasks. The moves are staged,
+    for the pairs and the replay both read them.
+    """
+    moves = staged(moves, "ledger-moves")
+    openings = block_openings(block_pairs(moves), opening)
+    return _replay(moves, openings, ("product_id", "block"), "inner")
 
 
 def stock_ledger(
-    demand: DataFrame, receipts: DataFrame, opening: DataFrame, block_days: int = BLOCK_DAYS
+    demand: DataFrame, receipts: DataFrame, opening: DataFrame, block_days: int | None = None
 ) -> DataFrame:
     """Replay end-of-day stock from opening stock, demand and receipts.
 
@@ -134,11 +144,15 @@ def stock_ledger(
     along; a product without a row there opens empty, with those columns NULL. Receipts arrive
     before the day's demand, unmet demand is lost: ``S = max(S_before + received - demanded, 0)``.
 
-    The replay is a segmented scan. Blocks of days are reduced to pairs, the pairs give each
-    block its opening stock, and all blocks are replayed independently, so a long history
-    splits; ``stored_ledger`` goes on from stored stock in the same way.
+    Unrolled, stock is the running net position less its own running minimum below zero, so two
+    window passes by product replace the day-by-day loop. With ``block_days`` they go by blocks
+    of so many days instead (``ledger_of``), for histories too long for one task each;
+    ``stored_ledger`` keeps a ledger by blocks and goes on from its stored stock.
     """
-    return ledger_of(daily_moves(demand, receipts, block_days), opening).drop("block")
+    moves = daily_moves(demand, receipts, block_days or BLOCK_DAYS)
+    if block_days is None:
+        return _replay(moves, opening, ("product_id",), "left").drop("block")
+    return ledger_of(moves, opening).drop("block")
 
 
 def stockout_flag(demanded: Column, sold: Column) -> Column:

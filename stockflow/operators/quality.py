@@ -74,14 +74,15 @@ def table_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     The first two are counted in one pass without a shuffle, the third by fingerprints.
     """
+    unknown = F.lit(None).cast("long")
     frames = []
     for table, df in tables.items():
         cells = df.agg(F.count(F.lit(1)).alias("rows"), _total(_null_cells(df.columns)).alias("null_cells"))
-        both = cells.select(F.lit(table).alias("table_name"), "*").join(
-            _surplus_rows(df).select(F.lit(table).alias("table_name"), "duplicate_rows"), "table_name"
-        )
-        frames.append(both.select("table_name", "rows", "null_cells", "duplicate_rows"))
-    return _stack(frames)
+        copies = _surplus_rows(df).select(unknown.alias("rows"), unknown.alias("null_cells"), "duplicate_rows")
+        both = cells.withColumn("duplicate_rows", unknown).unionByName(copies)
+        frames.append(both.select(F.lit(table).alias("table_name"), "*"))
+    figures = ("rows", "null_cells", "duplicate_rows")
+    return _stack(frames).groupBy("table_name").agg(*[F.max(c).alias(c) for c in figures])
 
 
 def orphan_keys(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:

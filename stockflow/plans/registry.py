@@ -112,7 +112,7 @@ def _(t):
     text = {
         "order_date": F.when(fault == 7, F.date_format("order_date", "dd/MM/yyyy")).otherwise(day),
         "quantity_ordered": F.when(fault == 8, "many").otherwise(F.col("quantity_ordered").cast("string")),
-        "unit_cost": F.when(fault == 9, "1,2").otherwise(F.col("unit_cost").cast("string")),
+        "unit_cost": F.when(fault == 9, "n/a").otherwise(F.col("unit_cost").cast("string")),
     }
     folder = tables_io.shared_dir(t.spark, "csv")
     orders = t.purchase_orders.withColumn("po_id", F.lit(1).cast("long")).withColumns(text)

@@ -108,7 +108,7 @@ def test_ranking_reads_figures_once(spark):
 def test_ranking_ties(make):
     pos = make("purchase_orders", [order(1, "2024-01-01", "2024-01-02", expected="2024-01-05", who=s) for s in (1, 2)]
                + [order(1, "2024-01-01", "2024-03-02", "Delayed", expected="2024-01-01", who=3)])
-    products = make("products", [product(s, who=s) for s in (1, 2, 3)])
+    products = make("products", [product(s, supplier=s) for s in (1, 2, 3)])
     inventory = make("inventory", [snap(s, "2024-01-01", 1) for s in (1, 2, 3)])
     ranked = suppliers.supplier_ranking(make("suppliers", [supplier(s) for s in (1, 2, 3)]), pos, products, inventory)
     assert rows(ranked, "supplier_id", "on_time_rank") == [(1, 1), (2, 1), (3, 3)]

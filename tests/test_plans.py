@@ -78,7 +78,9 @@ def test_latest_stock_is_a_hash_aggregate(spark):
 
 def test_no_unbounded_window_in_one_task(spark):
     """Only tables of bounded size may meet in one partition for a window."""
-    allowed = {"a01_csv_round_trip", "a14_surrogate_keys", "a12_domain_rules", "k08_supplier_ranking", "a09_repeated_keys"}
+    # The f queries number the partitions of a sorted report, a row for each.
+    positions = {name for name in QUERIES if name.startswith("f0")}
+    allowed = positions | {"a01_csv_round_trip", "a14_surrogate_keys", "a14_keys_kept", "a12_domain_rules", "k08_supplier_ranking", "a09_repeated_keys"}
     for name in QUERIES:
         text = plan_of(spark, name)
         alone = re.search(r"Window .*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", text)

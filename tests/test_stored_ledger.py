@@ -48,7 +48,7 @@ def replayed(moved, opening):
 def test_any_block_length_gives_the_same_ledger(spark):
     moved = movements(1)
     want = replayed(moved, {p: 3 * p for p in range(5)})  # the last product has no opening row
-    for block_days in (1, 7, 64, 1000):
+    for block_days in (1, 7, 1000, None):
         got = lg.stock_ledger(*tables(spark, moved), openings(spark, range(5)), block_days)
         assert rows(got, *COLUMNS) == want
 
@@ -118,7 +118,7 @@ def test_new_days_read_no_stored_day(spark, tmp_path):
     moves = lg.daily_moves(*tables(spark, ([(1, START + dt.timedelta(days=500), 1)], [])), 16)
     latest = sl.stored_states(spark, path).agg(F.max("block")).first()[0]
     rows_ = sl.new_days(spark, path, moves, latest)
-    read = rows_.inputFiles()
+    read = [f for f in rows_.inputFiles() if "/ledger-moves-" not in f]  # the new days themselves
     assert any("/state/" in f for f in read) and not any("/days/" in f for f in read)
     filters = rows_._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1:]
     assert any(f"= {latest})" in f.split("]")[0] for f in filters)
