@@ -80,63 +80,57 @@ def _counted_ranges(rows: DataFrame, keys: Sequence[str], part: Column) -> DataF
     return ranges.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 
 
-def values_at(counted: DataFrame, by: Sequence[str], places: DataFrame) -> DataFrame:
-    """``places`` (group, ``_place`` from 0) with ``_at``, the value at that place of the group.
-
-    ``counted`` has (group, ``_value``, ``_n``). Selection by rank: the rows of a group are
-    counted by coarse ranges of the value, those of the ranges that hold a wanted place by
-    ``FINE_RANGES`` equal parts of what the range spans, and only the values of the parts that
-    hold one are sorted. A task sees a group's range counts and such a part, never the values
-    of a group. Exact for any values; parts are small unless values crowd on many scales at once.
-    """
-    by = list(by)
-    rows = counted.select(*by, "_value", "_n", F.col("_value").cast("double").alias("_v"))
-    rows = rows.withColumn("_coarse", _coarse_range(F.col("_v")))
-    coarse = _counted_ranges(rows, by, F.col("_coarse")).withColumnRenamed("_part", "_coarse")
-    holds = (F.col("_place") >= F.col("_ahead")) & (F.col("_place") < F.col("_ahead") + F.col("_rows"))
-    wanted = coarse.join(places, by).filter(holds).withColumn("_place", F.col("_place") - F.col("_ahead"))
-    wanted = wanted.select(*by, "_coarse", "_place", F.col("_ahead").alias("_skipped"), "_low", "_high")
-    chosen = wanted.select(*by, "_coarse", "_low", "_high").distinct()
-
-    span = F.col("_high") - F.col("_low")
-    fine = F.when(F.col("_low") < F.col("_high"), F.floor((F.col("_v") - F.col("_low")) / span * FINE_RANGES))
-    inner = rows.join(chosen, [*by, "_coarse"]).withColumn("_fine", F.coalesce(fine.cast("long"), F.lit(0))).drop("_low", "_high")
-    parts = _counted_ranges(inner, [*by, "_coarse"], F.col("_fine")).withColumnRenamed("_part", "_fine")
-    keys = [*by, "_coarse"]
-    wanted = wanted.drop("_low", "_high").join(parts, keys).filter(holds)
-    wanted = wanted.select(*keys, "_fine", "_place", "_skipped", "_ahead")
-    held = wanted.select(*keys, "_fine").distinct()
-
-    before = Window.partitionBy(*keys, "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_rows = inner.join(held, [*keys, "_fine"]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = F.col("_place") - F.col("_ahead")
-    found = sorted_rows.join(wanted, [*keys, "_fine"])
-    found = found.filter((inside >= F.col("_before")) & (inside < F.col("_before") + F.col("_n")))
-    return found.select(*by, (F.col("_place") + F.col("_skipped")).alias("_place"), F.col("_value").alias("_at"))
+def _places_in(places: Column, start: Column, rows: Column) -> Column:
+    return F.filter(places, lambda p: (p >= start) & (p < start + rows))
 
 
 def quantiles(counted: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
     """Exact quantiles, interpolated between neighbours, and ``count`` of each group.
 
-    The figures are those of ``percentile`` with frequencies.
+    ``counted`` has (group, ``_value``, ``_n``); the figures are those of ``percentile`` with
+    frequencies. Selection by rank: the rows of a group are counted by coarse ranges of the value,
+    those of the ranges that hold a wanted place by ``FINE_RANGES`` equal parts of what the range
+    spans, and only the values of the parts that hold one are sorted. A task sees a group's
+    range counts and such a part, never the values of a group. Exact for any values; parts are
+    small unless values crowd on many scales at once.
     """
     by = list(by)
-    totals = counted.groupBy(*by).agg(F.sum("_n").alias("count"))
-    asked = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(q)).alias("_share")) for n, q in shares.items()])
-    position = (F.col("count") - 1).cast("double") * F.col("_share")
-    asked = totals.select(*by, "count", F.inline(asked)).withColumn("_position", position)
-    ends = [F.floor("_position"), F.ceil("_position")]
-    places = asked.select(*by, F.explode(F.array(*ends)).alias("_place")).distinct()
-    values = values_at(counted, by, places)
-    both = asked.withColumn("_place", F.explode(F.array_distinct(F.array(*ends)))).join(values, [*by, "_place"])
-    low, high = [F.max(F.when(F.col("_place") == end, F.col("_at").cast("double"))) for end in ends]
-    lower, upper = [F.first(end) for end in ends]
-    at = F.first("_position")
-    between = (upper - at) * low + (at - lower) * high
-    value = F.when((lower == upper) | (low == high), low).otherwise(between)
-    each = both.groupBy(*by, "_name").agg(value.alias("_quantile"), F.first("count").alias("count"))
-    picked = [F.max(F.when(F.col("_name") == n, F.col("_quantile"))).alias(n) for n in shares]
-    return each.groupBy(*by).agg(F.first("count").alias("count"), *picked)
+    rows = counted.select(*by, "_value", "_n", F.col("_value").cast("double").alias("_v"))
+    rows = rows.withColumn("_coarse", _coarse_range(F.col("_v")))
+    at = {n: (F.col("count") - 1).cast("double") * F.lit(float(q)) for n, q in shares.items()}
+    places = F.array_distinct(F.array(*[end(p) for p in at.values() for end in (F.floor, F.ceil)]))
+
+    coarse = _counted_ranges(rows, by, F.col("_coarse")).withColumnRenamed("_part", "_coarse")
+    coarse = coarse.withColumn("count", F.sum("_rows").over(Window.partitionBy(*by)))
+    held = coarse.withColumn("_places", _places_in(places, F.col("_ahead"), F.col("_rows"))).filter("size(_places) > 0")
+    held = held.select(*by, "_coarse", "_low", "_high", "_places", F.col("_ahead").alias("_start"), "count")
+
+    keys = [*by, "_coarse"]
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    fine = F.when(F.col("_low") < F.col("_high"), F.floor(share * FINE_RANGES)).otherwise(0).cast("long")
+    inner = rows.join(held, keys).withColumn("_fine", fine)
+    before = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inner.groupBy(*keys, "_fine").agg(
+        F.sum("_n").alias("_rows"), *[F.first(c).alias(c) for c in ("_places", "_start", "count")]
+    )
+    parts = parts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    parts = parts.withColumn("_places", _places_in(F.col("_places"), F.col("_start"), F.col("_rows")))
+    parts = parts.filter("size(_places) > 0").drop("_rows")
+
+    sorted_part = Window.partitionBy(*keys, "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    found = inner.select(*keys, "_fine", "_v", "_n").join(parts, [*keys, "_fine"])
+    found = found.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_n").over(sorted_part), F.lit(0)))
+    own = _places_in(F.col("_places"), F.col("_start"), F.col("_n"))
+    found = found.select(*by, "count", "_v", F.explode(own).alias("_place"))
+
+    def value(position: Column) -> Column:
+        ends = [F.first(end(position)) for end in (F.floor, F.ceil)]
+        low, high = [F.max(F.when(F.col("_place") == end(position), F.col("_v"))) for end in (F.floor, F.ceil)]
+        where = F.first(position)
+        between = (ends[1] - where) * low + (where - ends[0]) * high
+        return F.when((ends[0] == ends[1]) | (low == high), low).otherwise(between)
+
+    return found.groupBy(*by).agg(F.first("count").alias("count"), *[value(p).alias(n) for n, p in at.items()])
 
 
 def _quartiles(counted: DataFrame, by: Sequence[str], whisker: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.schemas import EARLIEST_SALE, FOREIGN_KEYS, KEYS, LATEST_SALE, PO_STATUSES, TABLES
+from stockflow.sources.tables_io import staged
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -53,12 +54,13 @@ def _surplus_rows(df: DataFrame) -> DataFrame:
     """``duplicate_rows``: second and later copies of whole rows; NULLs compare equal.
 
     Fingerprints are counted first, 16 bytes a row however wide it is. Whole rows are compared,
-    and moved, only where a fingerprint repeats; where none does, the second pass is dropped.
+    and moved, only where a fingerprint repeats. Those are staged, so that their size is known
+    before the second pass is planned, which then filters by them without moving the others.
     """
     columns = [f"_c{i}" for i in range(len(df.columns))]
     marked = df.toDF(*columns).select("*", *_fingerprint(columns))
     repeated = marked.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    copies = marked.join(repeated, ["_f1", "_f2"], "left_semi").groupBy("_f1", "_f2", *columns)
+    copies = marked.join(staged(repeated, "repeated-rows"), ["_f1", "_f2"], "left_semi").groupBy("_f1", "_f2", *columns)
     return copies.agg(F.count(F.lit(1)).alias("_copies")).agg(_total(F.col("_copies") - 1).alias("duplicate_rows"))
 
 

@@ -63,11 +63,9 @@ def test_selection_sorts_a_small_part(spark):
     assert rows(boxes) == rows(df.groupBy("g").agg(
         F.count(F.lit(1)).alias("count"), *[F.percentile("v", q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
     ))
-    places = spark.createDataFrame([("a", 100_000)], "g string, _place long")
     chosen = counted.select("g", F.col("_value").alias("_v"), profiles._coarse_range(F.col("_value")).alias("c"), "_n")
     largest = chosen.groupBy("c").count().agg(F.max("count")).first()[0]
     assert largest < 200_000 / 50  # a coarse range, which FINE_RANGES then divides
-    assert profiles.values_at(counted, ["g"], places).count() == 1
 
 
 def test_fingerprints_tell_null_from_value(spark):
@@ -80,12 +78,10 @@ def test_fingerprints_tell_null_from_value(spark):
 
 def test_rows_meet_by_fingerprint(spark):
     wide = spark.range(1000).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(40)])
-    counted = [line for line in quality.duplicate_rows({"t": wide})._jdf.queryExecution().executedPlan().toString().splitlines()
-               if "HashAggregate(keys=[_f1" in line and "_c3" not in line]
-    assert len(counted) == 2  # 16 bytes and a count a row, on both sides of the first shuffle
-    assert "EmptyRelation" in final_plan(quality.duplicate_rows({"t": wide}))  # no repeat: no row has moved
+    passes = quality.duplicate_rows({"t": wide})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in passes and "SortMergeJoin" not in passes  # known to be small when planned
     few = wide.unionByName(wide.filter("c0 = 7"))
-    assert "SortMergeJoin" not in final_plan(quality.duplicate_rows({"t": few}))
+    assert rows(quality.duplicate_rows({"t": few})) == [("t", 1)]
 
 
 def test_baseline_needs_no_window_over_the_facts(spark):
