@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import ship, text_blocks, written
-from stockflow.llm.tokens import encoder
+from stockflow.llm.tokens import encoder, forget
 
 LENGTH = 2048
 RANK_ROWS = 50_000
@@ -108,19 +108,30 @@ def pack(
     id_column: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    keep_words: bool = True,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A null or empty text is its end id alone. Repeated rows, and rows without an id, are packed
     as often as they occur. An empty table gives no rows. Other columns are not read. With
     ``with_ids`` the piece's ids come along as little-endian unsigned 32-bit integers.
+    Workers keep the ids of the words they have met for their next task; without ``keep_words``
+    each task starts anew and leaves that memory to the stages after it.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    made = slim.mapInArrow(lambda batches: _pieces(batches, tokenizer, end_id, length, with_ids), schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from _pieces(batches, tokenizer, end_id, length, with_ids)
+        finally:
+            if not keep_words:
+                forget()
+
+    made = slim.mapInArrow(cut, schema)
     pieces = written(made, "pieces")
 
     # At most ``length`` rows.

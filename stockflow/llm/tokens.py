@@ -8,6 +8,9 @@ that it meets, so the library sees a frequent word once. The ids are those of th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -18,6 +21,7 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -143,6 +147,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop the encoders of this worker with all they have met, and give freed pages back."""
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the box keeps a public tokenizer; on a cluster, the path is the same on all executors."""
     import public_tokenizers

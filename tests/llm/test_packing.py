@@ -88,4 +88,6 @@ def test_edge_cases(documents, monkeypatch):
     check(rows, pk.pack(docs, WORDS, 1, length=16).collect(), 16)
     got = pk.pack(docs, WORDS, 1, length=16, with_ids=True).collect()
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    anew = pk.pack(docs, WORDS, 1, length=16, keep_words=False).drop("sequence_id", "offset")
+    assert sorted(map(str, anew.collect())) == sorted(map(str, pk.pack(docs, WORDS, 1, length=16).drop("sequence_id", "offset").collect()))
     assert pk.pack(docs.limit(0), WORDS, 1).count() == 0
