@@ -82,7 +82,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=END_ID, length=SEQUENCE)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=END_ID, length=SEQUENCE, keep_words=False)
 
 
 STAGES = [
