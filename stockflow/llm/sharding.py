@@ -29,18 +29,37 @@ class Leaf:
 
 
 def tree(n_shards: int, base: int = 8, racks: int = 2, shards_per_rack: int = 2) -> list[Leaf]:
-    """``base`` shards laid out in regions of ``racks`` x ``shards_per_rack``; further shards are
-    regions of their own, so that growing by one moves documents only into the new shard."""
+    """Shards of which the first ``base`` (at most all) fill regions of ``racks`` x ``shards_per_rack``.
+
+    Shards that would fill a region in part, and all further ones, are regions of their own. So a
+    tree grows by one with the ``base`` it began with, and documents move only into the new shard.
+    """
+    per_region = racks * shards_per_rack
+    filled = min(base, n_shards) // per_region * per_region
     leaves = []
     for shard in range(n_shards):
-        if shard < base:
-            region, inside = divmod(shard, racks * shards_per_rack)
+        if shard < filled:
+            region, inside = divmod(shard, per_region)
             leaves.append(Leaf(f"r{region}", f"k{inside // shards_per_rack}", shard))
         else:
             leaves.append(Leaf(f"x{shard}", "k0", shard))
     return leaves
 
 
+def grown(leaves: Sequence[Leaf]) -> list[Leaf]:
+    """``leaves`` and one more, a region of its own, with the next number and the average weight.
+
+    No weight of the given tree changes, so documents move only into the new shard.
+    """
+    shard = max(leaf.shard for leaf in leaves) + 1
+    taken = {leaf.region for leaf in leaves}
+    region = f"x{shard}"
+    while region in taken:
+        region += "x"
+    weights = [leaf.weight for leaf in leaves if leaf.weight > 0]
+    return [*leaves, Leaf(region, "k0", shard, sum(weights) / len(weights))]
+
+
 def _draw(key: Column, path: str, weight: float) -> Column:
     """The logarithm of a fraction in (0, 1) made of 48 bits of a hash, over the weight."""
     digest = F.md5(F.concat(F.lit(path + ":"), key).cast("binary"))
@@ -115,13 +134,20 @@ def number_slots(placed: DataFrame, order: Sequence[str], n: str, buckets: int =
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 8, id_column: str = "doc_id", text: str = "text", leaves: Sequence[Leaf] | None = None
+    docs: DataFrame,
+    n_shards: int = 8,
+    id_column: str = "doc_id",
+    text: str = "text",
+    leaves: Sequence[Leaf] | None = None,
+    base: int = 8,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, region, rack, shard, slot and grown_shard of every row.
 
+    The tree is ``leaves``, or ``n_shards`` shards of which ``base`` were there at first.
+
     ``size`` is the text's bytes (null: none) plus 1. Rows that are the same in id, size and
     checksum are counted before anything moves and get consecutive slots. ``grown_shard`` is
-    the shard with one more shard in the tree. An empty table gives no rows.
+    the shard with one more shard in that tree. An empty table gives no rows.
     """
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     slim = docs.select(
@@ -130,11 +156,12 @@ def shard_documents(
         F.crc32(content).alias("text_crc32"),
     )
     counted = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n_"))
-    placed = place(counted, leaves or tree(n_shards))
+    leaves = leaves or tree(n_shards, base)
+    placed = place(counted, leaves)
     numbered = number_slots(placed, ["doc_id", "size", "text_crc32"], "n_")
-    grown = place(numbered, tree(n_shards + 1), prefix="grown_")
+    both = place(numbered, grown(leaves), prefix="grown_")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)).alias("copy_")
-    return grown.select("*", each).select(
+    return both.select("*", each).select(
         F.col("doc_id").alias(id_column),
         "size",
         "text_crc32",

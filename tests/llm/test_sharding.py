@@ -57,6 +57,23 @@ def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
         assert all(more[k] in (now[k], n) for k in now) and n in more.values()
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    given = [sh.Leaf("x4", "k", 0, 1), sh.Leaf("a", "l", 1, 2), sh.Leaf("b", "k", 2, 0), sh.Leaf("b", "l", 3, 0.5)]
+    for leaves in [sh.tree(n) for n in range(1, 13)] + [given]:
+        new = max(x.shard for x in leaves) + 1
+        both = sh.place(sh.place(docs, leaves), sh.grown(leaves), prefix="grown_")
+        moves = {(r.shard, r.grown_shard) for r in both.select("shard", "grown_shard").distinct().collect()}
+        assert all(after in (before, new) for before, after in moves)
+        assert {x for x, _ in moves} == {x.shard for x in leaves if x.weight} and new in {x for _, x in moves}
+    for options in ({"n_shards": 3}, {"leaves": given}):
+        new = 3 if "n_shards" in options else 4
+        rows = sh.shard_documents(docs, **options).collect()
+        assert len(rows) == 2_000 and all(r.grown_shard in (r.shard, new) for r in rows)
+    for n, base in ((2, 2), (3, 3), (5, 5), (9, 8)):
+        assert sh.grown(sh.tree(n, base)) == sh.tree(n + 1, base)
+
+
 def test_edge_cases(documents):
     rows = [(None, None), (None, "x"), (1, ""), (1, ""), (1, ""), (2, "é" * 100_000), (3, None)]
     docs = documents(rows).selectExpr("*", "'q' as shard", "1 as slot", "2 as size", "'n' as n_", "0 as bucket_")
