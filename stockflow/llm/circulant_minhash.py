@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import (
     LOWER_TABLE,
     mix,
-    prefix_sums,
     ship,
     span_hashes,
     text_blocks,
@@ -62,7 +61,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     """Distinct 64-bit shingle hashes of each text, sorted, and the offsets of the texts in them."""
     data = LOWER_TABLE[data]
     starts, ends, firsts = word_spans(~_BLANK[data], offsets)
-    words = span_hashes(prefix_sums(data), starts, ends)
+    words = span_hashes(data, starts, ends)
     n = len(words)
     n_words = np.diff(firsts)
     text_of = np.repeat(np.arange(len(n_words)), n_words)

@@ -18,7 +18,11 @@ segment of at most ``2 * length`` bytes. Then:
    neighbours are compared. Recursion ends once names stand for ``length`` bytes or all differ.
 
 A name with more than ``max_segments`` different segments would make one task too large; its
-strings are named by 128-bit hashes instead and counted by an aggregation. Same result.
+strings are named by 128 bits of BLAKE2b instead and counted by an aggregation. Same result.
+
+Names are polynomial hashes, which only bring strings together: unequal grams of one name cost
+work and change nothing. Segments are equal by 64 bits of BLAKE2b (beside their name),
+neighbours in a suffix array by their bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import neighbour_hashes, prefix_sums, ship, span_hashes, text_blocks, text_key, utf8, written
+from stockflow.llm.common import neighbour_hashes, prefix_sums, ship, strong_hash, text_blocks, text_key, utf8, written
 
 LENGTH = 400
 GRAM = 48
@@ -80,7 +84,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     end = np.flatnonzero(last) + length
     anchor = (least[begin] & places).astype(np.int64)
     text = np.searchsorted(offsets, begin, "right") - 1
-    return text, begin, end, names[anchor], span_hashes(sums, begin, end), anchor
+    whole = data.tobytes()
+    digest = [strong_hash(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return text, begin, end, names[anchor], np.array(digest, np.uint64), anchor
 
 
 def _chunks(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -190,6 +196,22 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def equal_neighbours(data: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours in ``order`` whose next ``length`` bytes are the same, byte for byte."""
+    first, second = order[:-1], order[1:]
+    if not len(first):
+        return first, second
+    step = min(8, length)
+    strings = np.lib.stride_tricks.sliding_window_view(data, step)
+    packed = np.zeros(len(strings), np.uint64)
+    for k in range(step):
+        packed |= strings[:, k].astype(np.uint64) << np.uint64(8 * k)
+    for at in [*range(0, length - step, step), length - step]:
+        same = packed[first + at] == packed[second + at]
+        first, second = first[same], second[same]
+    return first, second
+
+
 def repeated_strings(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each part, the places from which its next ``length`` bytes also start elsewhere."""
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -203,11 +225,10 @@ def repeated_strings(parts: list[bytes], length: int) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     whole = order + length < starts[owner[order] + 1]
     order = order[whole]
-    hashes = span_hashes(prefix_sums(data), order, order + length)
-    same = hashes[1:] == hashes[:-1]
+    first, second = equal_neighbours(data, order, length)
     found = np.zeros(len(codes), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
+    found[first] = True
+    found[second] = True
     return [np.flatnonzero(found[starts[i] : starts[i] + sizes[i]]) for i in range(len(parts))]
 
 
@@ -304,15 +325,15 @@ def _string_names(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     """128-bit names of all strings of the segments of very common names."""
     for batch in batches:
         for row in range(batch.num_rows):
-            data = np.frombuffer(batch.column("bytes")[row].as_py(), np.uint8)
+            data = batch.column("bytes")[row].as_py()
             at = np.arange(len(data) - length + 1)
-            a = span_hashes(prefix_sums(data), at, at + length)
-            b = span_hashes(prefix_sums(data ^ np.uint8(0xA5)), at, at + length)
+            both = b"".join([hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in at.tolist()])
+            a, b = np.frombuffer(both, np.int64).reshape(-1, 2).T
             n = len(at)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(a.view(np.int64)),
-                    pa.array(b.view(np.int64)),
+                    pa.array(a),
+                    pa.array(b),
                     pa.array([batch.column("tkey")[row].as_py()] * n, pa.binary()),
                     pa.array(at + batch.column("begin")[row].as_py()),
                     pa.array([batch.column("single")[row].as_py()] * n, pa.bool_()),

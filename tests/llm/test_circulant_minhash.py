@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import circulant_minhash as cm
+from stockflow.llm.common import span_hashes
 from stockflow.llm.components import bucket_components
 from stockflow.llm.queries import QUERIES
 
@@ -53,6 +54,25 @@ def rows_of(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect()), key=repr)
 
 
+def test_words_with_equal_polynomial_hashes_are_not_linked(documents):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits)), (3, "a\0"), (4, "a")]
+    assert rows_of(cm.near_duplicates(documents(rows), width=4, percent=80)) == brute(rows, 4)
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 90))) for _ in range(20_000)})
+    ends = np.cumsum([len(w) for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), starts, ends)
+    assert len(np.unique(hashes)) == len(words)
+    back = b"x" + b"".join(words[::-1])
+    sizes = np.array([len(w) for w in words[::-1]])
+    stop = 1 + np.cumsum(sizes)
+    assert (span_hashes(np.frombuffer(back, np.uint8), stop - sizes, stop)[::-1] == hashes).all()
+
+
 def test_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(QUERIES["op9_circulant_minhash"](spark, sf)) == brute(rows, 4)

@@ -46,6 +46,24 @@ def test_repeated_strings_on_small_alphabets():
         assert [x.tolist() for x in sd.repeated_strings(parts, length)] == want
 
 
+def thue_morse(n):
+    """Two strings of which polynomial hashes modulo a power of two are equal from some n on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return bytes(b"ab"[x] for x in bits), bytes(b"ba"[x] for x in bits)
+
+
+def test_strings_with_equal_polynomial_hashes_differ(documents):
+    one, other = thue_morse(1024)
+    assert one != other
+    names = sd.neighbour_hashes(sd.prefix_sums(np.frombuffer(one + other, np.uint8)), 1024)
+    assert names[0] == names[1024]
+    assert [len(x) for x in sd.repeated_strings([one, other], 1024)] == [0, 0]
+    rows = [(1, one.decode()), (2, other.decode()), (3, "x" + one.decode()), (4, other.decode() + "y")]
+    for rows, most in ((rows[:2], sd.MAX_SEGMENTS), (rows, sd.MAX_SEGMENTS), (rows, 1)):  # noqa: B020
+        left = sd.remove_repeats(documents(rows), length=1024, gram=1024, max_segments=most)
+        assert rows_of(left) == brute(rows, 1024)
+
+
 def test_segments_cover_every_string_once():
     rng = random.Random(3)
     data = np.array([rng.choice(b"abc") for _ in range(500)], np.uint8)
