@@ -15,8 +15,8 @@ arcs of the lattice together, whole words and pieces, sum to 1, so scores are pr
 
 The vocabulary is read, not trained. The piece scores are fitted by expectation maximisation
 over all different training words; word counts are those of the whole training part. Words are
-counted once per chunk of documents in tasks, and chunks, words and counts meet in ordinary
-shuffles: the tables grow with the corpus and none is collected or broadcast. What is, the
+counted once per chunk of documents in tasks, S(w) is computed once per training word and once
+per chunk for each new one, and chunks, words and counts meet in ordinary shuffles: the tables grow with the corpus and none is collected or broadcast. What is, the
 piece scores, has the size of the vocabulary.
 """
 
@@ -375,6 +375,15 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> L
     return lattice
 
 
+def _word_scores(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
+    """Training words and counts with ``spelt``, the logarithm of S(w)."""
+    for batch in batches:
+        spelt = word_scores(lattice, batch.column("word").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("word"), batch.column("c"), pa.array(spelt)], ["word", "c", "spelt"]
+        )
+
+
 def _score(batches: Iterator[pa.RecordBatch], lattice: Lattice, facts: dict) -> Iterator[pa.RecordBatch]:
     n, v, ends, discount = facts["tokens"], facts["distinct"], facts["ends"], facts["discount"]
     fresh = (discount * facts["words"] + 0.5) / (n + 1)
@@ -383,13 +392,19 @@ def _score(batches: Iterator[pa.RecordBatch], lattice: Lattice, facts: dict) ->
     for batch in batches:
         for row in range(batch.num_rows):
             of = lambda name: batch.column(name)[row].values  # noqa: B023, E731
-            words = of("words").to_pylist()
-            c = np.zeros(len(words))
-            known = batch.column("known")[row].values
-            if known is not None and len(known):
-                c[known.field("number").to_numpy()] = known.field("c").to_numpy()
+            found = of("found")
+            if found is None:
+                found = pa.array([], batch.schema.field("found").type.value_type)
+            place = found.field("number").to_numpy()
+            c, spelt = np.zeros(len(place)), np.zeros(len(place))
+            c[place] = found.field("c").fill_null(0).to_numpy()
+            spelt[place] = found.field("spelt").fill_null(0.0).to_numpy()
+            new = found.field("c").is_null()
+            spelt[place[new.to_numpy(zero_copy_only=False)]] = word_scores(
+                lattice, found.field("word").filter(new).to_pylist()
+            )
             base = np.log10((c + 0.5) / whole)
-            pieces = word_scores(lattice, words) + np.log(fresh)
+            pieces = spelt + np.log(fresh)
             seen = c > 0
             with np.errstate(divide="ignore"):
                 log_seen = np.log(np.where(seen, c - discount, 0) / (n + 1))
@@ -464,10 +479,15 @@ def score_documents(
     }
     sent = spark.sparkContext.broadcast(fit_pieces(counts, pieces, rounds))
 
-    known = each.select("chunk", "number", "word").join(counts, "word")
-    known = known.groupBy("chunk").agg(F.collect_list(F.struct("number", "c")).alias("known"))
-    both = chunks.drop("in_training").join(known, "chunk", "left")
-    out = both.select("ids", "train", "totals", "bounds", "numbers", "times", "words", "known").mapInArrow(
+    spelt = counts.mapInArrow(
+        lambda batches: _word_scores(batches, sent.value), "word binary, c long, spelt double"
+    )
+    # Only new words travel on as bytes; they are scored where their chunk is.
+    found = each.select("chunk", "number", "word").join(spelt, "word", "left")
+    new = F.when(F.col("c").isNull(), F.col("word")).alias("word")
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("number", "c", "spelt", new)).alias("found"))
+    both = chunks.drop("in_training", "words").join(found, "chunk", "left")
+    out = both.select("ids", "train", "totals", "bounds", "numbers", "times", "found").mapInArrow(
         lambda batches: _score(batches, sent.value, facts),
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
