@@ -136,9 +136,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums from which ``neighbour_hashes`` takes the hash of strings of ``data``."""
-    up, _ = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    return code_sums(_CODES[data])
+
+
+def code_sums(codes: np.ndarray) -> np.ndarray:
+    """The same for strings of units that have hashes of their own, such as words."""
+    up, _ = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
     return sums
 
 

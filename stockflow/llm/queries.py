@@ -87,8 +87,8 @@ def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = suffix_dedup.remove_repeats(docs, length=400, keep=["doc_id"])
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    left = suffix_dedup.remove_repeats(docs, length=400, keep=["doc_id"], passage_words=51)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shared_words")
 
 
 @query

@@ -20,6 +20,10 @@ segment of at most ``2 * length`` bytes. Then:
 A name with more than ``max_segments`` different segments would make one task too large; its
 strings are named by 128 bits of BLAKE2b instead and counted by an aggregation. Same result.
 
+Passages of words that another text has too are found in the same way, with words for bytes
+(``passage_words``): strings of that many words, anchored at their least ``GRAM_WORDS`` words.
+Names are even for strings of bytes and odd for strings of words.
+
 Names are polynomial hashes, which only bring strings together: unequal grams of one name cost
 work and change nothing. Segments are equal by 64 bits of BLAKE2b (beside their name),
 neighbours in a suffix array by their bytes.
@@ -28,21 +32,40 @@ neighbours in a suffix array by their bytes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import neighbour_hashes, prefix_sums, ship, strong_hash, text_blocks, text_key, utf8, written
+from stockflow.llm.common import (
+    code_sums,
+    neighbour_hashes,
+    prefix_sums,
+    ship,
+    span_hashes,
+    strong_hash,
+    text_blocks,
+    text_key,
+    utf8,
+    word_spans,
+    written,
+)
 
 LENGTH = 400
 GRAM = 48
+GRAM_WORDS = 12
 MAX_SEGMENTS = 10_000
 CHUNK = 1 << 20
 ARRAY_BYTES = 1 << 20
 
+#: Bytes that part words.
+BLANKS = b" \t\n\v\f\r"
+IS_WORD = np.ones(256, bool)
+IS_WORD[list(BLANKS)] = False
+
 
 # Anchors
 
@@ -58,13 +81,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, begin, end, name, hash, anchor) of each segment; places count from ``data[0]``."""
-    n = len(data)
-    if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    sums = prefix_sums(data)
-    names = neighbour_hashes(sums, gram)
+def anchored(names: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, begin, end, anchor) of each segment, in the units that ``names`` has a gram for each.
+
+    A segment is a run of strings of ``length`` units with the same anchor, which never leaves
+    its text.
+    """
+    n = int(offsets[-1])
     places = np.uint64((1 << 24) - 1)
     numbered = names & ~places
     numbered |= np.arange(len(names), dtype=np.uint64)
@@ -83,10 +106,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     last[:-1] &= fresh[1:] | ~inside[1:]
     end = np.flatnonzero(last) + length
     anchor = (least[begin] & places).astype(np.int64)
-    text = np.searchsorted(offsets, begin, "right") - 1
+    return np.searchsorted(offsets, begin, "right") - 1, begin, end, anchor
+
+
+def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     whole = data.tobytes()
-    digest = [strong_hash(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    return text, begin, end, names[anchor], np.array(digest, np.uint64), anchor
+    return np.array([strong_hash(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+
+
+def _no_segments() -> tuple[np.ndarray, ...]:
+    return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, begin, end, name, hash, anchor) of each segment; places count from ``data[0]``."""
+    if len(data) < length:
+        return _no_segments()
+    names = neighbour_hashes(prefix_sums(data), gram)
+    text, begin, end, anchor = anchored(names, offsets, length, gram)
+    return text, begin, end, names[anchor] & ~np.uint64(1), _digests(data, begin, end), anchor
+
+
+def word_segments(data: np.ndarray, offsets: np.ndarray, words: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for strings of ``words`` words, from the first byte of a word to the last of one."""
+    starts, ends, firsts = word_spans(IS_WORD[data], offsets)
+    codes = span_hashes(data, starts, ends)
+    for low in range(0, len(starts) - words + 1, CHUNK):
+        high = min(len(starts), low + CHUNK + words - 1)
+        names = neighbour_hashes(code_sums(codes[low:high]), gram)
+        text, begin, end, anchor = anchored(names, np.clip(firsts, low, high) - low, words, gram)
+        name = names[anchor] | np.uint64(1)
+        begin, end, anchor = starts[low + begin], ends[low + end - 1], starts[low + anchor]
+        yield text, begin, end, name, _digests(data, begin, end), anchor
 
 
 def _chunks(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -100,11 +151,14 @@ def _chunks(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
         yield start, end, np.clip(offsets, start, end) - start
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, _, data, offsets in text_blocks(batch.column("text")):
-            for low, high, inner in _chunks(offsets, length):
-                text, begin, end, name, digest, anchor = segments(data[low:high], inner, length, gram)
+            found = ((low, segments(data[low:high], inner, length, gram)) for low, high, inner in _chunks(offsets, length))
+            if words:
+                by_words = word_segments(data, offsets, words, min(GRAM_WORDS, words))
+                found = itertools.chain(found, ((0, each) for each in by_words))
+            for low, (text, begin, end, name, digest, anchor) in found:
                 own = pa.array(text + start)
                 base = offsets[text] - low
                 yield pa.RecordBatch.from_arrays(
@@ -232,6 +286,41 @@ def repeated_strings(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[starts[i] : starts[i] + sizes[i]]) for i in range(len(parts))]
 
 
+def shared_passages(parts: list[list[bytes]], owners: list[bytes], words: int) -> list[np.ndarray]:
+    """For each part, a list of words, the places from which its next ``words`` words also start
+    in a part of another owner."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    numbers: dict[bytes, int] = {}
+    codes = np.empty(starts[-1], np.int64)
+    for part, start in zip(parts, starts.tolist(), strict=False):
+        codes[start : start + len(part)] = [numbers.setdefault(w, len(numbers) + 1) for w in part]
+    codes[starts[1:] - 1] = len(numbers) + 1 + np.arange(len(parts))  # every end is a code of its own
+    order = suffix_array(codes, words)
+    part_of = np.repeat(np.arange(len(parts)), sizes + 1)
+    order = order[order + words < starts[part_of[order] + 1]]
+    found = np.zeros(len(codes), bool)
+    if len(order):
+        first, second = order[:-1], order[1:]
+        live = np.arange(len(first))
+        for k in range(words):
+            live = live[codes[first[live] + k] == codes[second[live] + k]]
+        fresh = np.ones(len(order), bool)
+        fresh[live + 1] = False
+        whose: dict[bytes, int] = {}
+        owner = np.array([whose.setdefault(o, len(whose)) for o in owners])[part_of[order]]
+        runs = np.flatnonzero(fresh)
+        shared = np.minimum.reduceat(owner, runs) != np.maximum.reduceat(owner, runs)
+        found[order] = shared[np.cumsum(fresh) - 1]
+    return [np.flatnonzero(found[starts[i] : starts[i] + sizes[i]]) for i in range(len(parts))]
+
+
+def _word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(data, np.uint8)
+    starts, ends, _ = word_spans(IS_WORD[flat], np.array([0, len(flat)]))
+    return starts, ends
+
+
 def _runs(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Spans of the strings at ``places``, one for each run of neighbours."""
     if not len(places):
@@ -279,19 +368,25 @@ def trimmed(parts: list[tuple[int, bytes]], length: int) -> list[tuple[int, int]
     return [(a, b) if b - a >= length else (0, 0) for a, b in spans]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """Repeated spans of the segments of each name; rows of a name are neighbours."""
     group: list[tuple] = []
     held: list[tuple] = []
+    said: list[tuple] = []  # segments of words
     size = 0
 
     def close() -> int:
         """Move what can repeat of the last name's segments to the next suffix array."""
         kept = 0
-        for row, (a, b) in zip(group, trimmed([(g[3] - g[2], g[5]) for g in group], length), strict=True):
-            if b:
-                held.append((row[1], row[2] + a, row[4], row[5][a:b]))
-                kept += b - a
+        if group[0][0] & 1:
+            for row in group:
+                said.append((row[1], row[2], row[4], row[5]))
+                kept += len(row[5])
+        else:
+            for row, (a, b) in zip(group, trimmed([(g[3] - g[2], g[5]) for g in group], length), strict=True):
+                if b:
+                    held.append((row[1], row[2] + a, row[4], row[5][a:b]))
+                    kept += b - a
         group.clear()
         return kept
 
@@ -299,12 +394,18 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         out = []
         for (tkey, begin, single, _), places in zip(held, repeated_strings([h[3] for h in held], length), strict=True):
             if single:
-                out += [(tkey, begin + a, begin + b) for a, b in _runs(places, length)]
+                out += [(tkey, begin + a, begin + b, False) for a, b in _runs(places, length)]
         held.clear()
-        columns = list(zip(*out, strict=True)) or [[], [], []]
+        shared = shared_passages([s[3].split() for s in said], [s[0] for s in said], words) if said else []
+        for (tkey, begin, single, data), places in zip(said, shared, strict=True):
+            if single and len(places):
+                starts, ends = _word_places(data)
+                out += [(tkey, begin + int(starts[a]), begin + int(ends[b - 1]), True) for a, b in _runs(places, words)]
+        said.clear()
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
-            ["tkey", "begin", "end"],
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tkey", "begin", "end", "words"]
         )
 
     for batch in batches:
@@ -316,29 +417,41 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                     yield work()
                     size = 0
             group.append(row)
-    close()
-    if held:
+    if group:
+        close()
+    if held or said:
         yield work()
 
 
-def _string_names(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _string_names(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """128-bit names of all strings of the segments of very common names."""
     for batch in batches:
         for row in range(batch.num_rows):
             data = batch.column("bytes")[row].as_py()
-            at = np.arange(len(data) - length + 1)
-            both = b"".join([hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in at.tolist()])
+            by_words = bool(batch.column("name")[row].as_py() & 1)
+            if by_words:
+                said = data.split()
+                starts, ends = _word_places(data)
+                strings = [b" ".join(said[i : i + words]) for i in range(len(said) - words + 1)]
+                begin, end = starts[: len(strings)], ends[words - 1 :]
+            else:
+                strings = [data[i : i + length] for i in range(len(data) - length + 1)]
+                begin = np.arange(len(strings))
+                end = begin + length
+            both = b"".join([hashlib.blake2b(s, digest_size=16).digest() for s in strings])
             a, b = np.frombuffer(both, np.int64).reshape(-1, 2).T
-            n = len(at)
+            n, base = len(strings), batch.column("begin")[row].as_py()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(a),
                     pa.array(b),
                     pa.array([batch.column("tkey")[row].as_py()] * n, pa.binary()),
-                    pa.array(at + batch.column("begin")[row].as_py()),
+                    pa.array(begin + base),
+                    pa.array(end + base),
                     pa.array([batch.column("single")[row].as_py()] * n, pa.bool_()),
+                    pa.array([by_words] * n, pa.bool_()),
                 ],
-                ["a", "b", "tkey", "begin", "single"],
+                ["a", "b", "tkey", "begin", "end", "single", "words"],
             )
 
 
@@ -367,6 +480,15 @@ def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _elsewhere(words: Column) -> Column:
+    """Of a group: whether a string of bytes occurs again, or one of words in another text.
+
+    Texts are told apart by 64 bits of their key.
+    """
+    text = F.xxhash64("tkey")
+    return F.when(words, F.min(text) != F.max(text)).otherwise(F.count(F.lit(1)) > 1)
+
+
 def repeated_spans(
     docs: DataFrame,
     length: int = LENGTH,
@@ -374,35 +496,52 @@ def repeated_spans(
     id_column: str = "doc_id",
     text: str = "text",
     max_segments: int = MAX_SEGMENTS,
+    passage_words: int = 0,
 ) -> DataFrame:
-    """(tkey, begin, end): spans of bytes to remove, by text; spans of one text may overlap."""
+    """(tkey, begin, end, words): spans of bytes to remove, by text; spans of one text may overlap.
+
+    With ``passage_words``, also the spans (``words`` is true) of passages of so many words or
+    more that another document has too; these are not to remove.
+    """
     ship(docs.sparkSession)
     gram = min(gram, length)
     kind = docs.schema[id_column].dataType.simpleString()
     slim = docs.select(F.col(id_column).alias("id"), text_key(text).alias("tkey"), F.col(text).alias("text"))
-    found = slim.where(F.octet_length("text") >= length).mapInArrow(
-        lambda batches: _anchors(batches, length, gram),
+    least = min(length, 2 * passage_words - 1) if passage_words else length
+    found = slim.where(F.octet_length("text") >= least).mapInArrow(
+        lambda batches: _anchors(batches, length, gram, passage_words),
         f"id {kind}, tkey binary, name long, digest long, begin long, end long, anchor long",
     )
     anchors = written(found, "anchors")
-    common = anchors.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    repeated = written(anchors.join(common, "name", "left_semi"), "repeated")
+    by_words = F.col("name").bitwiseAND(F.lit(1)) == 1
+    common = anchors.groupBy("name").agg(_elsewhere(by_words).alias("again")).where("again").select("name")
+    # Written, so that the join is of two bare shuffles and a common name's rows can be split.
+    repeated = written(anchors.join(written(common, "names"), "name", "left_semi"), "repeated")
 
     variants = repeated.groupBy("name", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tkey", "begin", "end", "anchor")).alias("at")
+        _elsewhere(by_words).alias("again"),
+        (F.min("begin") != F.max("begin")).alias("spread"),
+        F.min(F.struct("id", "tkey", "begin", "end", "anchor")).alias("at"),
     )
     variants = written(variants, "variants")
-    whole = repeated.join(variants.where("n > 1").select("name", "digest"), ["name", "digest"], "left_semi")
-    whole = whole.select("tkey", "begin", "end").distinct()
+    # All places of the variants that repeat, and of those that stand twice in one text alone.
+    placed = variants.where("again or spread").select("name", "digest", "again", "at.begin")
+    placed = placed.withColumnsRenamed({"name": "v_name", "digest": "v_digest", "begin": "v_begin"})
+    same = (repeated["name"] == placed["v_name"]) & (repeated["digest"] == placed["v_digest"])
+    places = repeated.join(placed, same)
+    whole = places.where("again").select("tkey", "begin", "end", by_words.alias("words")).distinct()
+    further = places.where(~F.col("again") & (F.col("begin") != F.col("v_begin")))
+    further = further.groupBy("name", "tkey", "begin", "end", "anchor").agg(F.min("id").alias("id"))
 
     stats = variants.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n_variants"), F.count_if(F.col("n") == 1).alias("n_single")
+        F.count(F.lit(1)).alias("n_variants"), F.count_if(~F.col("again")).alias("n_single")
     )
     undecided = variants.join(stats.where("n_variants > 1 and n_single > 0"), "name")
-    wanted = undecided.groupBy("at.id", "at.tkey").agg(
-        F.collect_list(
-            F.struct("name", "at.begin", "at.end", "at.anchor", (F.col("n") == 1).alias("single"))
-        ).alias("wanted")
+    asked = undecided.select("at.id", "at.tkey", "name", "at.begin", "at.end", "at.anchor", (~F.col("again")).alias("single"))
+    if passage_words:
+        asked = asked.unionByName(further.withColumn("single", F.lit(True)))
+    wanted = asked.groupBy("id", "tkey").agg(
+        F.collect_list(F.struct("name", "begin", "end", "anchor", "single")).alias("wanted")
     )
     wanted = wanted.withColumnsRenamed({"id": "r_id", "tkey": "r_tkey"})
     texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["r_id"]) & (slim["tkey"] == wanted["r_tkey"]))
@@ -412,15 +551,25 @@ def repeated_spans(
     cut = written(cut, "segments")
     hot = stats.where(F.col("n_variants") > max_segments).select("name")
     near = cut.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name")
-    near = near.mapInArrow(lambda batches: _compare(batches, length), "tkey binary, begin long, end long")
+    near = near.mapInArrow(
+        lambda batches: _compare(batches, length, passage_words), "tkey binary, begin long, end long, words boolean"
+    )
     strings = cut.join(hot, "name", "left_semi").mapInArrow(
-        lambda batches: _string_names(batches, length), "a long, b long, tkey binary, begin long, single boolean"
+        lambda batches: _string_names(batches, length, passage_words),
+        "a long, b long, tkey binary, begin long, end long, single boolean, words boolean",
     )
     # A string that occurs once is none to remove; of the others, those in a single segment are new.
-    counted = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    far = strings.where("single").join(counted, ["a", "b"], "left_semi")
-    far = far.select("tkey", "begin", (F.col("begin") + length).alias("end"))
-    return whole.unionByName(near).unionByName(far)
+    counted = strings.groupBy("a", "b", "words").agg(_elsewhere(F.col("words")).alias("again")).where("again")
+    far = strings.where("single").join(counted, ["a", "b", "words"], "left_semi")
+    spans = whole.unionByName(near).unionByName(far.select("tkey", "begin", "end", "words"))
+    if not passage_words:
+        return spans
+    # A text that several documents have is a passage of all of them.
+    copied = slim.groupBy("tkey").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end"))
+    copied = copied.where("n > 1 and end > 0")
+    return spans.unionByName(
+        copied.select("tkey", F.lit(0).cast("long").alias("begin"), F.col("end").cast("long"), F.lit(True).alias("words"))
+    )
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -446,13 +595,22 @@ def on_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _remove(batches: Iterator[pa.RecordBatch], keep: list[str], whole_characters: bool) -> Iterator[pa.RecordBatch]:
+def longest_passage(data: bytes, spans: list[tuple[int, int]], least: int) -> int:
+    """Words of the longest of the spans, overlapping ones together; 0 if it has fewer than ``least``."""
+    most = max((len(data[a:b].split()) for a, b in merged(spans)), default=0)
+    return most if most >= least else 0
+
+
+def _remove(
+    batches: Iterator[pa.RecordBatch], keep: list[str], whole_characters: bool, passage_words: int
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, offsets = utf8(batch.column("text_"))
-        sizes, gone, counts, digests, kept, ranges = [], [], [], [], [], []
-        for row, spans in enumerate(batch.column("spans_").to_pylist()):
+        sizes, gone, counts, digests, kept, ranges, longest = [], [], [], [], [], [], []
+        for row, found in enumerate(batch.column("spans_").to_pylist()):
             data = flat[offsets[row] : offsets[row + 1]].tobytes()
-            spans = merged([(s["begin"], s["end"]) for s in spans or []])
+            longest.append(longest_passage(data, [(s["begin"], s["end"]) for s in found or [] if s["words"]], passage_words))
+            spans = merged([(s["begin"], s["end"]) for s in found or [] if not s["words"]])
             if whole_characters:
                 spans = on_characters(data, spans)
             edges = [0, *(x for s in spans for x in s), len(data)]
@@ -472,11 +630,13 @@ def _remove(batches: Iterator[pa.RecordBatch], keep: list[str], whole_characters
                 pa.array(digests, pa.string()),
                 pa.array(kept, pa.binary()),
                 pa.array(ranges, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                *([pa.array(longest, pa.int64())] if passage_words else []),
             ],
-            [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"],
+            [*keep, *NEW, *(["shared_words"] if passage_words else [])],
         )
 
 
+NEW = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary, spans array<struct<begin:long,end:long>>"
 
 
@@ -487,6 +647,7 @@ def remove_repeats(
     text: str = "text",
     keep: list[str] | None = None,
     whole_characters: bool = False,
+    passage_words: int = 0,
     **options: int,
 ) -> DataFrame:
     """Each row with what is left of its text (bytes, spans removed, digest).
@@ -495,12 +656,20 @@ def remove_repeats(
     column give way. Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole; of repeated texts every copy is cut alike. ``whole_characters`` leaves characters
     that a span covers in part, so that the rest is valid UTF-8.
+
+    With ``passage_words`` there is one more column, ``shared_words``: the words
+    (``[^\\x20\\x09-\\x0D]+``) of the text's longest passage whose every word lies in a run of
+    ``passage_words`` words that another document has too, overlapping runs taken together; 0
+    without one. A text that several documents have is such a passage if it is long enough.
     """
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", "text_", "spans_", "tkey_"]
+    names = [*NEW, "shared_words", "text_", "spans_", "tkey_"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    spans = repeated_spans(docs, length, id_column=id_column, text=text, **options)
-    by_text = spans.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end")).alias("spans_"))
+    spans = repeated_spans(docs, length, id_column=id_column, text=text, passage_words=passage_words, **options)
+    by_text = spans.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end", "words")).alias("spans_"))
     rows = docs.select(*keep, F.col(text).alias("text_"), text_key(text).alias("tkey_"))
     rows = rows.join(by_text, rows["tkey_"] == by_text["tkey"], "left").drop("tkey", "tkey_")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(lambda batches: _remove(batches, keep, whole_characters), f"{fields}, {ADDED}" if fields else ADDED)
+    added = f"{ADDED}, shared_words long" if passage_words else ADDED
+    return rows.mapInArrow(
+        lambda batches: _remove(batches, keep, whole_characters, passage_words), f"{fields}, {added}" if fields else added
+    )

@@ -1,6 +1,7 @@
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -113,3 +114,73 @@ def test_whole_characters_leave_valid_text(documents):
 def test_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(QUERIES["op7_suffix_array_dedup"](spark, sf)) == brute(rows, 400)
+
+
+def brute_words(rows, words):
+    """The longest passage of each row, from all runs of so many words of all rows."""
+    said = [(doc, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in rows]
+    seen = defaultdict(set)
+    for row, (_, w) in enumerate(said):
+        for i in range(len(w) - words + 1):
+            seen[tuple(w[i : i + words])].add(row)
+    out = []
+    for doc, w in said:
+        longest = run = end = 0
+        for i in range(len(w) - words + 1):
+            if len(seen[tuple(w[i : i + words])]) > 1:
+                run = run + i + words - end if i < end else words
+                end = i + words
+                longest = max(longest, run)
+        out.append((doc, longest))
+    return sorted(out, key=repr)
+
+
+def passages(df):
+    return sorted(((r.doc_id, r.shared_words) for r in df.collect()), key=repr)
+
+
+def test_passages_of_lists_of_words():
+    parts = [b"a b c d x".split(), b"y a b c d".split(), b"d x d x d x".split()]
+    found = sd.shared_passages(parts, [b"1", b"2", b"2"], 2)
+    assert [f.tolist() for f in found] == [[0, 1, 2, 3], [1, 2, 3], [0, 2, 4]]
+    assert [f.tolist() for f in sd.shared_passages(parts, [b"1"] * 3, 2)] == [[], [], []]
+    assert sd.shared_passages([[], [b"a"]], [b"1", b"2"], 2)[1].tolist() == []
+
+
+@pytest.mark.parametrize("max_segments", [sd.MAX_SEGMENTS, 1])
+def test_shared_passages(documents, max_segments, monkeypatch):
+    monkeypatch.setattr(sd, "GRAM_WORDS", 3)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4)))
+    shared = [[word() for _ in range(20)] for _ in range(4)]
+    rows = []
+    for i in range(80):
+        parts = [[word() for _ in range(rng.randrange(8))] for _ in range(3)]
+        for _ in range(i % 4):
+            one = rng.choice(shared)
+            at = rng.randrange(12)
+            parts.insert(rng.randrange(4), one[at : at + rng.randrange(4, 14)])
+        rows.append((i, "".join(w + rng.choice([" ", "  ", "\n"]) for part in parts for w in part)))
+    line = " ".join(word() for _ in range(12))
+    rows += [(100, rows[1][1]), (101, rows[1][1]), (101, rows[1][1]), (None, f"{line} {line} {line}"), (102, None), (103, "")]
+    # The same run twice in one text, and parts of it elsewhere.
+    twice = " ".join(f"t{i}" for i in range(12))
+    rows += [(104, f"{twice} u {twice}"), (105, " ".join(f"t{i}" for i in range(3, 11))), (106, "one two"), (107, "one two")]
+    left = sd.remove_repeats(documents(rows), length=60, gram=16, max_segments=max_segments, passage_words=6)
+    assert passages(left) == brute_words(rows, 6)
+    assert rows_of(left) == brute(rows, 60)
+
+
+def test_long_texts_share_passages(documents, monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK", 5000)
+    rng = random.Random(8)
+    long = [str(rng.randrange(10**6)) for _ in range(40_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[4_990:10_060], "y"])), (3, " ".join(long[:50])), (4, "z" * 900)]
+    got = sd.remove_repeats(documents(rows), length=400, passage_words=51, keep=["doc_id"])
+    assert passages(got) == [(1, 5070), (2, 5070), (3, 0), (4, 0)]
+    assert sd.remove_repeats(documents(rows).limit(0), passage_words=51).count() == 0
+
+
+def test_query_finds_the_passages(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert passages(QUERIES["op7_suffix_array_dedup"](spark, sf)) == brute_words(rows, 51)
