@@ -51,10 +51,14 @@ def ship(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder every executor can reach (``spark.checkpoint.dir``).
 
-    Only where the session names no folder, as in tests, is one made up.
+    Only in local mode, as in tests, is one made up where the session names none: on a cluster
+    each executor would write to a disk of its own.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stockflow-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
