@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import ship, text_blocks
+from stockflow.llm.common import ship, text_blocks, written
 from stockflow.llm.tokens import encoder
 
 MAGIC = b"EFTOK1"
@@ -242,10 +242,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
     files = spark.read.parquet(path)
     key = ["first_doc", "first_tie", "number"]
-    # One row a segment of SEGMENT_IDS ids: small enough for one task.
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_tie", "number")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    index = files.select(*key, "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # Ids before a segment: those of the ranges before its range, one row each, and of the
+    # segments before it in its range.
+    order = [F.col("first_doc").asc_nulls_first(), "first_tie", "number"]
+    ranges = files.select(*key, "n_ids").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranges = written(ranges, "segment_index")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    totals = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    index = ranges.withColumn("inside", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(totals, "part")
+    index = index.withColumn("base", F.col("ahead") + F.col("inside"))
     index = index.select(*[F.col(c).alias(f"i_{c}") for c in key], "base")
     docs = files.select(*key, "segment").mapInArrow(
         _read,

@@ -122,3 +122,15 @@ def test_wide_ids():
     ids = np.array([1, 70_000, 3], "<u4")
     segment = tf.Segment.of(tf.pack_segment([4], [ids.tobytes()]))
     assert segment.document(0).tolist() == ids.tolist() and segment.tokens.dtype.itemsize == 4
+
+
+def test_starts_run_on_over_ranges_of_segments(spark, documents, tmp_path):
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(400)] + [(None, "none")]
+    tf.write_token_files(documents(rows).repartition(7), f"{tmp_path}/c", BYTES, 2, segment_ids=16)
+    assert spark.read.parquet(f"{tmp_path}/c").count() > 100
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows_of(tf.read_token_files(spark, f"{tmp_path}/c"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows)
