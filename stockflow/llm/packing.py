@@ -11,9 +11,11 @@ rank among the pieces of its length says which copy of which pattern it fills.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,21 +63,54 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[in
     return [(count, pattern) for total in filled for count, pattern in open_packs[total]]
 
 
-def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) of every place in every pattern."""
+def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset, times) of every run in every pattern.
+
+    A run is the ``times`` places of one length in a pattern, which stand side by side; its ranks
+    fill the places of a sequence one after the other, then those of the next sequence.
+    """
     taken: dict[int, int] = {}
     out, sequence = [], 0
     for count, pattern in patterns:
         offset = 0
-        for size in pattern:
+        for size, places in itertools.groupby(pattern):
+            times = len(list(places))
             rank = taken.get(size, 0)
-            out.append((size, rank, rank + count, sequence, offset))
-            taken[size] = rank + count
-            offset += size
+            out.append((size, rank, rank + count * times, sequence, offset, times))
+            taken[size] = rank + count * times
+            offset += size * times
         sequence += count
     return out
 
 
+class Places:
+    """Where the piece of a length and rank goes: a binary search among the runs."""
+
+    def __init__(self, histogram: dict[int, int], runs: list[tuple[int, int, int, int, int, int]]) -> None:
+        sizes = np.array(sorted(histogram), np.int64)
+        self.sizes = sizes
+        #: Pieces of lesser lengths: with them ahead, ranks of different lengths differ.
+        self.ahead = np.concatenate([[0], np.cumsum([histogram[s] for s in sizes.tolist()])]).astype(np.int64)
+        table = np.array(sorted(runs), np.int64).reshape(-1, 6)
+        self.low = table[:, 1] + self.ahead[np.searchsorted(sizes, table[:, 0])]
+        self.sequence, self.offset, self.times = table[:, 3], table[:, 4], table[:, 5]
+
+    def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of each piece."""
+        at = rank + self.ahead[np.searchsorted(self.sizes, length)]
+        run = np.searchsorted(self.low, at, "right") - 1
+        which = at - self.low[run]
+        return self.sequence[run] + which // self.times[run], self.offset[run] + which % self.times[run] * length
+
+
+def _placed(batches: Iterator[pa.RecordBatch], places: Places, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sequence, offset = places.of(*(batch.column(c).to_numpy() for c in ("length", "rank")))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"]
+        )
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).encode
     for batch in batches:
@@ -136,8 +171,8 @@ def pack(
 
     # At most ``length`` rows.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = slots(shortest_pack_first(histogram, length))
-    places = spark.createDataFrame(plan, "length long, low long, high long, first_sequence long, offset long")
+    # The runs of all patterns: their number depends on ``length`` alone.
+    places = Places(histogram, slots(shortest_pack_first(histogram, length)))
 
     # Ranks inside buckets of a length, each behind the buckets before it.
     n_buckets = max(1, max(histogram.values(), default=1) // RANK_ROWS)
@@ -149,15 +184,9 @@ def pack(
     ranked = keyed.withColumn("row", F.row_number().over(inside)).join(sizes, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("row") - 1 + F.col("before"))
 
-    # The places of all patterns: their number depends on ``length`` alone.
-    placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & F.expr("rank >= low and rank < high"))
-    return placed.select(
-        F.col("id").alias(id_column),
-        "start",
-        ranked["length"],
-        "ids_crc32",
-        "doc_tokens",
-        (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"),
-        "offset",
-        *(["ids"] if with_ids else []),
+    keep = ["id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+    placed = ranked.select(*keep, "rank").mapInArrow(
+        lambda batches: _placed(batches, places, keep), f"{schema}, sequence_id long, offset long"
     )
+    names = [id_column, *keep[1:5], "sequence_id", "offset", *keep[5:]]
+    return placed.withColumnsRenamed({"id": id_column}).select(*names)

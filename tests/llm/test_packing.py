@@ -43,11 +43,43 @@ def test_slots_cover_every_rank_once():
     histogram = {7: 5, 4: 11, 2: 3, 1: 9}
     plan = pk.slots(pk.shortest_pack_first(histogram, 10))
     ranks = defaultdict(list)
-    for size, low, high, _, _ in plan:
+    for size, low, high, _, _, _ in plan:
         ranks[size] += range(low, high)
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
 
 
+def test_places_fill_every_sequence_without_gaps():
+    rng = random.Random(12)
+    for _ in range(50):
+        length = rng.randrange(5, 40)
+        histogram = dict(Counter(rng.randrange(1, length + 1) for _ in range(rng.randrange(1, 90))))
+        patterns = pk.shortest_pack_first(histogram, length)
+        plan = pk.slots(patterns)
+        assert len(plan) == sum(len(set(pattern)) for _, pattern in patterns)
+        places = pk.Places(histogram, plan)
+        filled = defaultdict(list)
+        for size, n in histogram.items():
+            sequence, offset = places.of(np.full(n, size), np.arange(n))
+            for s, o in zip(sequence.tolist(), offset.tolist(), strict=True):
+                filled[s].append((o, size))
+        assert sorted(filled) == list(range(sum(c for c, _ in patterns)))
+        for parts in filled.values():
+            at = 0
+            for o, size in sorted(parts):
+                assert o == at
+                at += size
+            assert at <= length
+
+
+def test_many_short_pieces_take_one_run():
+    histogram = {1: 10_000_000}
+    plan = pk.slots(pk.shortest_pack_first(histogram, 2048))
+    assert len(plan) <= 2
+    sequence, offset = pk.Places(histogram, plan).of(np.ones(3, np.int64), np.array([0, 1664, 9_999_999]))
+    # The sequence that is not full, of 10,000,000 - 4,882 * 2,048 = 1,664 ids, is the first.
+    assert sequence.tolist() == [0, 1, 4882] and offset.tolist() == [0, 0, 2047]
+
+
 def test_too_long_pieces_are_refused():
     with pytest.raises(ValueError):
         pk.shortest_pack_first({11: 1}, 10)
