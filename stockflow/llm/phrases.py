@@ -7,7 +7,8 @@ neighbour's label, plus that bit. Four rounds leave labels below 6, and neighbou
 differ. Phrases begin at local maxima, so whether one begins somewhere depends only on a few
 names around, not on offsets: equal substrings get the same phrases inside, whatever
 surrounds them. A phrase's name is the hash of the names in it, and the names are the next
-level's text; each level is some three times shorter.
+level's text; each level is some three times shorter. A text's hierarchy ends where one phrase
+is left, which is the whole text.
 
 The fingerprint is a sketch of the phrase names of the upper levels (from some 10 bytes on):
 one least hash in each of 64 bins, 16 bits of it kept, ``----`` for an empty bin. The likeness
@@ -28,7 +29,6 @@ from pyspark.sql.types import StructType
 from stockflow.llm.common import BLOCK_BYTES, blocks, mix, ship
 
 BINS = 64
-LEVELS = 5
 FROM_LEVEL = 2
 EMPTY = "----"
 
@@ -106,11 +106,16 @@ def sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.full((n, BINS), -1, np.int32)
     names, at = data, offsets
     keys, owners = [], []
-    for level in range(1, LEVELS + 1):
+    level, parted = 1, np.ones(n, bool)  # texts that have more than one phrase on the level below
+    while level <= FROM_LEVEL or parted.any():
         names, at = next_level(names, at, level)
+        sizes = np.diff(at)
         if level >= FROM_LEVEL:
-            keys.append(mix(names + np.uint64(level)))
-            owners.append(np.repeat(np.arange(n), np.diff(at)))
+            own = np.repeat(parted if level > FROM_LEVEL else np.ones(n, bool), sizes)
+            keys.append(mix(names[own] + np.uint64(level)))
+            owners.append(np.repeat(np.arange(n), sizes)[own])
+        parted = sizes > 1
+        level += 1
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     if not len(keys):
         return out

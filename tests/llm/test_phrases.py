@@ -112,3 +112,22 @@ def test_added_column(documents):
     docs = documents([(1, "some text that is long enough"), (None, None)]).selectExpr("*", "1 as fingerprint")
     marks = [r.fingerprint for r in ph.add_fingerprint(docs).collect()]
     assert len(marks[0]) == 4 * ph.BINS and marks[1] == ph.EMPTY * ph.BINS
+
+
+def test_the_hierarchy_ends_with_the_whole_text():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    text = " ".join(words).encode()
+    names, at, level = np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0
+    keys = []
+    while level < ph.FROM_LEVEL or len(names) > 1:
+        level += 1
+        names, at = ph.next_level(names, at, level)
+        if level >= ph.FROM_LEVEL:
+            keys += ph.mix(names + np.uint64(level)).tolist()
+    assert level > 6
+    want = {}
+    for key in sorted(keys, reverse=True):
+        want[key >> 58] = key
+    marks = [int(ph.mix(np.array([want[b]], np.uint64))[0] & np.uint64(0xFFFF)) if b in want else -1 for b in range(ph.BINS)]
+    assert ph.fingerprints([text, b"short", text[:90]])[0].tolist() == marks
