@@ -1,13 +1,15 @@
 """Language identification by prediction by partial matching (PPM).
 
 One byte-context tree per language gives each byte a probability under the longest context
-that the language has seen, with an escape (method C: d distinct followers among n take
-d/(n+d)) to the next shorter context and, below order 0, to equal chances. The statistics
-are frozen after training, so the code length of a text is a plain sum of table entries,
-exact for every byte of the whole text. The language with the shortest code wins.
+(``order`` bytes at most) that the language has seen, with an escape (method C: d distinct
+followers among n take d/(n+d)) to the next shorter context and, below order 0, to equal chances
+of all 256 bytes. The statistics are frozen after training, so the code length of a text is a
+plain sum of table entries, over every byte of the whole text. The language with the shortest
+code wins. Bytes are taken as they are: no folding, no smaller alphabet.
 
-Bytes are folded to an alphabet of at most 128 symbols: A-Z to a-z, digits to one, blanks and
-controls to one, then the bytes that the training sample uses most; the rest share a symbol.
+The trees are sparse: for each order, the grams (context and byte) that any language has seen,
+sorted, with their code length in each language, escapes to shorter contexts included. A byte
+whose gram no language has seen adds its context's escapes and is looked up one order lower.
 
 The trees are fitted on at most ``docs_per_language`` different texts of each language, those
 with the smallest hash: a documented bound. Every text is scored whole.
@@ -27,30 +29,25 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from stockflow.llm.common import id_crc, ship, text_blocks
 
 UNDETERMINED = "und"
-SYMBOLS = 128
-BITS = 7
+SYMBOLS = 256
 DOCS_PER_LANGUAGE = 400
 ORDER = 3  # bytes of context
+BLANK = 32  # what stands before a text
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[:33] = 32
-_FOLD[127] = 32
-_FOLD[48:58] = 48
-_FOLD[65:91] = np.arange(97, 123)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-BLANK = 0  # the symbol of blanks, and of what stands before a text
 
 
 @dataclass
 class Model:
-    """``bits[row * SYMBOLS + symbol]`` has the code lengths in all languages; ``row_of`` finds the
-    row of the longest context that any language has seen."""
+    """By order k: ``grams[k]`` (k bytes of context and the byte) with ``bits[k]``, ``contexts[k]``
+    with ``escapes[k]``; a row of code lengths has an entry for each language."""
 
     languages: list[str]
-    symbol: np.ndarray
-    row_of: np.ndarray
-    bits: np.ndarray
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
 
 
 def training_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -58,42 +55,40 @@ def training_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.where((id_crc(id_column) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def _grams(batch: pa.Table) -> pa.Table:
-    """Folded 4-grams of one language's sample, with their counts."""
-    language = batch["lang"][0].as_py()
-    codes = []
-    for _, _, data, offsets in text_blocks(batch["text"]):
-        s = _FOLD[data].astype(np.uint32)
-        c1, c2, c3 = _contexts(s, offsets, 32)
-        codes.append(np.unique(c3 << 24 | c2 << 16 | c1 << 8 | s, return_counts=True))
-    grams, where = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True) if codes else (np.zeros(0, np.uint32), [])
-    counts = np.zeros(len(grams), np.int64)
-    if codes:
-        np.add.at(counts, where, np.concatenate([n for _, n in codes]))
-    return pa.table({"lang": [language], "grams": [grams.astype("<u4").tobytes()], "counts": [counts.astype("<i8").tobytes()]})
-
-
-def _contexts(s: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbol one, two and three places before each; before a text all is ``pad``."""
+def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """Each byte (lowest) and the ``order`` bytes before it; before a text all is blank."""
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    found = []
-    last = s
-    for _ in range(ORDER):
-        now = np.empty_like(s)
+    last = data.astype(np.uint64)
+    codes = last.copy()
+    for k in range(1, order + 1):
+        now = np.empty_like(last)
         now[1:] = last[:-1]
-        now[starts] = pad
-        found.append(now)
+        now[starts] = BLANK
+        codes |= now << np.uint64(8 * k)
         last = now
-    return found[0], found[1], found[2]
+    return codes
+
+
+def _grams(batch: pa.Table, order: int) -> pa.Table:
+    """The longest grams of one language's sample, with their counts."""
+    found = [
+        np.unique(_codes(data, offsets, order), return_counts=True) for _, _, data, offsets in text_blocks(batch["text"])
+    ]
+    grams, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([n for _, n in found]), len(grams)).astype("<i8")
+    language = batch["lang"][0].as_py()
+    return pa.table({"lang": [language], "grams": [grams.astype("<u8").tobytes()], "counts": [counts.tobytes()]})
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> Model:
     """Trees of all languages of ``docs`` (text, lang), from a bounded sample of different texts.
 
     The sample goes by the hash of the text alone; repeated rows count once. Only the counted
-    4-grams of the sample, at most 128**4 and in practice some ten thousand a language, come to
-    the driver. Without labelled rows the model has no language.
+    grams of the sample, which is bounded, come to the driver: in practice some ten thousand a
+    language. ``order`` is 7 at most. Without labelled rows the model has no language.
     """
+    if not 0 <= order <= 7:
+        raise ValueError("a gram of more than 8 bytes does not fit its code")
     ship(docs.sparkSession)
     labelled = docs.select("lang", "text", F.xxhash64("text").alias("key")).where(F.col("text") != "")
     first = Window.partitionBy("lang").orderBy("key")
@@ -101,73 +96,79 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     chosen = chosen.where(F.col("n") <= docs_per_language).drop("n")
     sample = labelled.join(F.broadcast(chosen), ["lang", "key"], "left_semi")  # languages x docs_per_language rows
     sample = sample.groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key")
-    counted = sample.groupBy("lang").applyInArrow(_grams, "lang string, grams binary, counts binary").collect()
-    return build({r["lang"]: (np.frombuffer(r["grams"], "<u4"), np.frombuffer(r["counts"], "<i8")) for r in counted})
+    counted = sample.groupBy("lang").applyInArrow(
+        lambda rows: _grams(rows, order), "lang string, grams binary, counts binary"
+    )
+    counted = {r["lang"]: (np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in counted.collect()}
+    return build(counted, order)
 
 
-def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+def build(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
+    """The trees of all languages from the counts of their longest grams."""
     languages = sorted(counted)
-    share = np.zeros(256)
-    for grams, counts in counted.values():
-        share += np.bincount(grams & 255, counts, 256) / max(1, counts.sum())
-    share[32] = 2.0 * len(languages) + 1  # the blank comes first
-    used = [b for b in np.argsort(-share, kind="stable") if share[b] > 0][: SYMBOLS - 1]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[used] = np.arange(len(used))
-    symbol = symbol[_FOLD]
-
-    split = {}  # order -> language -> (context, symbol, count)
-    for language, (grams, counts) in counted.items():
-        parts = [symbol[(grams >> (8 * k)) & 255].astype(np.int64) for k in range(4)]  # parts[0]: the symbol
-        for order in range(ORDER + 1):
-            context = sum((parts[k] << (BITS * (k - 1)) for k in range(1, order + 1)), np.zeros(len(grams), np.int64))
-            pair, where = np.unique(context << BITS | parts[0], return_inverse=True)
-            split[order, language] = pair >> BITS, pair & (SYMBOLS - 1), np.bincount(where, counts, len(pair))
-
-    row_of = np.zeros(1, np.int32)  # rows of the contexts of one order
-    chances = {language: np.full((1, SYMBOLS), 1 / SYMBOLS) for language in languages}
-    done = 0
-    for order in range(ORDER + 1):
-        seen = np.unique(np.concatenate([split[order, x][0] for x in languages] or [np.zeros(1, np.int64)]))
-        shorter = row_of if order == 0 else np.tile(row_of, SYMBOLS)[: SYMBOLS**order]
-        base = shorter[seen]  # row of the context without its first symbol
-        fresh = []
+    model = Model(languages, [], [], [], [])
+    if not languages:
+        return model
+    byte = np.uint64(8)
+    for k in range(order + 1):
+        keep = np.uint64((1 << 8 * (k + 1)) - 1)
+        seen = {}
         for language in languages:
-            below = chances[language][base].copy()
-            context, sym, n = split[order, language]
-            at = np.searchsorted(seen, context)
-            total = np.bincount(at, n, len(seen))
-            kinds = np.bincount(at, minlength=len(seen))
-            known = total > 0
-            p = below
-            p[known] *= (kinds[known] / (total[known] + kinds[known]))[:, None]
-            p[at, sym] = n / (total[at] + kinds[at])
-            fresh.append(p)
-        if order == 0:
-            chances = dict(zip(languages, fresh, strict=True))
-            row_of = np.zeros(1, np.int32)
-            done = 1
+            codes, counts = counted[language]
+            own, where = np.unique(codes & keep, return_inverse=True)
+            seen[language] = own, np.bincount(where, counts, len(own))
+        grams = np.unique(np.concatenate([own for own, _ in seen.values()]))
+        contexts, of = np.unique(grams >> byte, return_inverse=True)
+        if k:
+            shorter = np.searchsorted(model.grams[k - 1], grams & np.uint64((1 << 8 * k) - 1))
+            below = model.bits[k - 1][shorter]
         else:
-            row_of = shorter.copy()
-            row_of[seen] = done + np.arange(len(seen), dtype=np.int32)
-            done += len(seen)
-            chances = {x: np.concatenate([chances[x], p]) for x, p in zip(languages, fresh, strict=True)}
-    if not languages:
-        return Model([], symbol, row_of, np.zeros((0, 0), np.float32))
-    bits = np.stack([-np.log2(chances[x]).ravel() for x in languages], axis=1).astype(np.float32)
-    return Model(languages, symbol, row_of, bits)
+            below = np.full((len(grams), len(languages)), np.log2(SYMBOLS))
+        escapes = np.zeros((len(contexts), len(languages)))
+        bits = np.empty_like(below)
+        for column, language in enumerate(languages):
+            own, counts = seen[language]
+            at = np.searchsorted(grams, own)
+            total = np.bincount(of[at], counts, len(contexts))
+            kinds = np.bincount(of[at], minlength=len(contexts))
+            known = total > 0  # another context takes nothing: its bytes are coded one order lower
+            escapes[known, column] = np.log2(total[known] + kinds[known]) - np.log2(kinds[known])
+            bits[:, column] = below[:, column] + escapes[of, column]
+            bits[at, column] = np.log2(total[of[at]] + kinds[of[at]]) - np.log2(counts)
+        model.grams.append(grams)
+        model.bits.append(bits)
+        model.contexts.append(contexts)
+        model.escapes.append(escapes)
+    return model
+
+
+def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``codes`` in a sorted table, and which of them are there."""
+    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return at, table[at] == codes
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits that each text takes in each language."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     full = np.flatnonzero(offsets[:-1] < offsets[1:])
-    if len(full) and model.languages:
-        s = model.symbol[data].astype(np.int32)
-        c1, c2, c3 = _contexts(s, offsets, BLANK)
-        rows = model.row_of[c3 << (2 * BITS) | c2 << BITS | c1]
-        each = model.bits[rows.astype(np.int64) * SYMBOLS + s]
-        out[full] = np.add.reduceat(each, offsets[:-1][full], axis=0, dtype=np.float64)
+    if not len(full) or not model.languages:
+        return out
+    order = len(model.grams) - 1
+    codes = _codes(data, offsets, order)
+    # Each gram that occurs is looked up once; the grams of a block are far fewer than its bytes.
+    kinds, where = np.unique(codes, return_inverse=True)
+    each = np.zeros((len(kinds), len(model.languages)))
+    left = np.arange(len(kinds))
+    for k in range(order, -1, -1):
+        code = kinds[left] & np.uint64((1 << 8 * (k + 1)) - 1)
+        at, there = _found(model.grams[k], code)
+        each[left[there]] += model.bits[k][at[there]]
+        left, code = left[~there], code[~there]
+        at, there = _found(model.contexts[k], code >> np.uint64(8))
+        each[left[there]] += model.escapes[k][at[there]]
+    each[left] += np.log2(SYMBOLS)
+    out[full] = np.add.reduceat(each[where], offsets[:-1][full], axis=0)
     return out
 
 

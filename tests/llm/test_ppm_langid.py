@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 from small_tables import documents, sf  # noqa: F401
 from stockflow.llm import ppm_langid as ppm
@@ -15,22 +17,19 @@ def model(documents):
     return ppm.fit(documents(rows))
 
 
-def brute_bits(texts, text):
-    """Code length by plain PPM with escape method C, on folded bytes."""
-    fold = lambda t: [int(ppm._FOLD[b]) for b in t.encode()]
+def brute_bits(texts, text, most=3):
+    """Code length by plain PPM with escape method C, on the bytes as they are."""
     counts = {}
     for t in texts:
-        s = [32] * 3 + fold(t)
-        for i in range(3, len(s)):
-            for order in range(4):
-                counts.setdefault(tuple(s[i - order : i]), {}).setdefault(s[i], 0)
-                counts[tuple(s[i - order : i])][s[i]] += 1
-    import math
-
-    bits, s = 0.0, [32] * 3 + fold(text)
-    for i in range(3, len(s)):
-        p = 1 / ppm.SYMBOLS
-        for order in range(4):
+        s = [32] * most + list(t.encode())
+        for i in range(most, len(s)):
+            for order in range(most + 1):
+                followers = counts.setdefault(tuple(s[i - order : i]), {})
+                followers[s[i]] = followers.get(s[i], 0) + 1
+    bits, s = 0.0, [32] * most + list(text.encode())
+    for i in range(most, len(s)):
+        p = 1 / 256
+        for order in range(most + 1):
             followers = counts.get(tuple(s[i - order : i]))
             if followers:
                 total, kinds = sum(followers.values()), len(followers)
@@ -39,15 +38,43 @@ def brute_bits(texts, text):
     return bits
 
 
+TEXTS = {"en": [ENGLISH + str(i) for i in range(20)], "de": [GERMAN + str(i) for i in range(20)]}
+PROBES = ("the green dog", "Freunde gingen", "a", "THE the  9 walking\nfield", "東京 grün \x00\x7f", "")
+
+
 def test_code_lengths_are_exact(model):
-    import numpy as np
+    data = np.frombuffer("".join(PROBES).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(p.encode()) for p in PROBES)])
+    for probe, got in zip(PROBES, ppm.code_lengths(model, data, offsets), strict=True):
+        for language, bits in zip(model.languages, got, strict=True):
+            assert bits == pytest.approx(brute_bits(TEXTS[language], probe), rel=1e-9)
+
 
-    texts = {"en": [ENGLISH + str(i) for i in range(20)], "de": [GERMAN + str(i) for i in range(20)]}
-    for probe in ("the green dog", "Freunde gingen", "a", "the the  9 walking\nfield"):
+@pytest.mark.parametrize("order", [0, 1, 5, 7])
+def test_contexts_of_any_order(documents, order):
+    rows = [(i, t, lang) for lang, texts in TEXTS.items() for i, t in enumerate(texts)]
+    model = ppm.fit(documents(rows), order=order)
+    for probe in PROBES:
         data = np.frombuffer(probe.encode(), np.uint8)
         got = ppm.code_lengths(model, data, np.array([0, len(data)]))[0]
         for language, bits in zip(model.languages, got, strict=True):
-            assert bits == pytest.approx(brute_bits(texts[language], probe), rel=1e-4)
+            assert bits == pytest.approx(brute_bits(TEXTS[language], probe, order), rel=1e-9)
+
+
+def test_predictions_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    learn = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text:
+            learn.setdefault(r.lang, set()).add(r.text)
+    assert max(map(len, learn.values())) <= ppm.DOCS_PER_LANGUAGE  # so the sample is all of them
+    got = {r.doc_id: r for r in QUERIES["op8_ppm_language_id"](spark, sf).collect()}
+    shown = [r for r in sorted(rows, key=lambda r: r.doc_id) if r.text and len(r.text) < 2000 and any(map(str.isalpha, r.text))]
+    for r in shown[::20]:
+        bits = {lang: brute_bits(texts, r.text) for lang, texts in learn.items()}
+        best = min(sorted(bits), key=bits.get)
+        share = 1 / sum(2 ** min(0.0, bits[best] - b) for b in bits.values())
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (best, pytest.approx(share, rel=1e-6))
 
 
 def test_edge_cases(spark, documents, model):
