@@ -529,7 +529,7 @@ def repeated_spans(
     placed = placed.withColumnsRenamed({"name": "v_name", "digest": "v_digest", "begin": "v_begin"})
     same = (repeated["name"] == placed["v_name"]) & (repeated["digest"] == placed["v_digest"])
     places = repeated.join(placed, same)
-    whole = places.where("again").select("tkey", "begin", "end", by_words.alias("words")).distinct()
+    whole = places.where("again").select("tkey", "begin", "end", by_words.alias("words"))
     further = places.where(~F.col("again") & (F.col("begin") != F.col("v_begin")))
     further = further.groupBy("name", "tkey", "begin", "end", "anchor").agg(F.min("id").alias("id"))
 
