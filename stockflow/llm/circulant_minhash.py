@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from stockflow.llm.common import (
     LOWER_TABLE,
+    frees,
     mix,
     ship,
     span_hashes,
@@ -112,6 +113,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+@frees
 def _describe(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """n_shingles, a 128-bit name of the set and its band keys, beside the columns id and tkey."""
     for batch in batches:

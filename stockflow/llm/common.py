@@ -6,11 +6,14 @@ about a megabyte, so memory does not depend on how many rows a batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -71,6 +74,28 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; drop tables of powers that a long text made large."""
+    if len(_POWERS.get("up", ())) > BLOCK_BYTES + 1:
+        _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frees(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task that gives memory back when it ends: its worker lives on through later stages."""
+
+    @functools.wraps(task)
+    def run(*args: object, **options: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(*args, **options)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_key(column: str | Column) -> Column:
     """16 bytes that stand for a text; null and empty are one."""
     digest = F.sha2(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), 256)
@@ -130,7 +155,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j modulo 2**64 for j below n."""
     have = len(_POWERS.get("up", ()))
     if have < n:
-        size = max(n, 2 * have, BLOCK_BYTES + 1)
+        size = max(n, BLOCK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

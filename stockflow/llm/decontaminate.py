@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from stockflow.llm.common import LOWER, ship, utf8
+from stockflow.llm.common import LOWER, frees, ship, utf8
 
 WINDOW = 10
 SHINGLE = 3
@@ -119,6 +119,7 @@ def merge(spans) -> list[tuple[int, int]]:
     return out
 
 
+@frees
 def _count(batches: Iterator[pa.RecordBatch], numbers: dict, total: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(total, np.int64)
     for batch in batches:
@@ -133,6 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch], numbers: dict, total: int) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], ["number", "n"])
 
 
+@frees
 def _match(batches: Iterator[pa.RecordBatch], index: Index | None, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, offsets = utf8(batch.column("text_"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from stockflow.llm.common import id_crc, ship, text_blocks
+from stockflow.llm.common import frees, id_crc, ship, text_blocks
 
 UNDETERMINED = "und"
 SYMBOLS = 256
@@ -220,6 +220,7 @@ def identify(
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     added += [StructField(letters, BooleanType())] if letters else []
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(held.value, batch.column(text))

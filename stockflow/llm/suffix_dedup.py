@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from stockflow.llm.common import (
     code_sums,
+    frees,
     neighbour_hashes,
     prefix_sums,
     ship,
@@ -151,6 +152,7 @@ def _chunks(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
         yield start, end, np.clip(offsets, start, end) - start
 
 
+@frees
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, _, data, offsets in text_blocks(batch.column("text")):
@@ -368,6 +370,7 @@ def trimmed(parts: list[tuple[int, bytes]], length: int) -> list[tuple[int, int]
     return [(a, b) if b - a >= length else (0, 0) for a, b in spans]
 
 
+@frees
 def _compare(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """Repeated spans of the segments of each name; rows of a name are neighbours."""
     group: list[tuple] = []
@@ -423,6 +426,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iter
         yield work()
 
 
+@frees
 def _string_names(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """128-bit names of all strings of the segments of very common names."""
     for batch in batches:
@@ -455,6 +459,7 @@ def _string_names(batches: Iterator[pa.RecordBatch], length: int, words: int) ->
             )
 
 
+@frees
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts whose segments are asked for, cut up: one row for each."""
     for batch in batches:
@@ -601,6 +606,7 @@ def longest_passage(data: bytes, spans: list[tuple[int, int]], least: int) -> in
     return most if most >= least else 0
 
 
+@frees
 def _remove(
     batches: Iterator[pa.RecordBatch], keep: list[str], whole_characters: bool, passage_words: int
 ) -> Iterator[pa.RecordBatch]:

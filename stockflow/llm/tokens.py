@@ -8,8 +8,6 @@ that it meets, so the library sees a frequent word once. The ids are those of th
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import json
 import os
@@ -21,9 +19,10 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 
+from stockflow.llm.common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PLAIN = sys.byteorder == "little" and array("I").itemsize == 4
@@ -151,9 +150,7 @@ def forget() -> None:
     """Drop the encoders of this worker with all they have met, and give freed pages back."""
     encoder.cache_clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()
 
 
 def tokenizer_path(name: str) -> str:
