@@ -126,13 +126,30 @@ def _replay(moves: DataFrame, openings: DataFrame, keys: Sequence[str], how: str
 def ledger_of(moves: DataFrame, opening: DataFrame) -> DataFrame:
     """The ledger by blocks, as a segmented scan.
 
+    The moves are staged, for the pairs and the replay both read them.
+    """
+    return replay_blocks(staged(moves, "ledger-moves"), opening)
+
+
+def replay_blocks(moves: DataFrame, opening: DataFrame) -> DataFrame:
+    """The same for moves that are stored already.
+
     Blocks of days are reduced to pairs, the pairs give each block its opening stock, and all
-    blocks are replayed independently, so a long history splits over tasks. The moves are staged,
-    for the pairs and the replay both read them.
+    blocks are replayed independently, so a long history splits over tasks. The moves are dealt
+    out by product and block once, for the pairs and the replay.
     """
-    moves = staged(moves, "ledger-moves")
-    openings = block_openings(block_pairs(moves), opening)
-    return _replay(moves, openings, ("product_id", "block"), "inner")
+    dated = moves.filter(F.col("product_id").isNotNull() & F.col("block").isNotNull()).repartition("product_id", "block")
+    openings = block_openings(block_pairs(dated), _after_undated(moves, opening))
+    return _replay(dated, openings, ("product_id", "block"), "inner")
+
+
+def _after_undated(moves: DataFrame, opening: DataFrame) -> DataFrame:
+    """Openings behind the moves without a day, a block before all others that has no net."""
+    undated = block_pairs(moves.filter(F.col("block").isNull())).select("product_id", "least")
+    stock = F.when(F.col("least").isNull(), F.col("opening_stock")).otherwise(
+        F.greatest(F.coalesce("opening_stock", F.lit(0)), -F.col("least"))
+    )
+    return opening.join(undated, "product_id", "full").withColumn("opening_stock", stock).drop("least")
 
 
 def stock_ledger(

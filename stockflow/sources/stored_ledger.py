@@ -5,7 +5,8 @@ end of each block of days, both partitioned by block, and ``opening``, what prod
 with. New days are replayed from the last
 state alone and added. Movements for days that are already there, late ones, make the blocks
 from theirs on be replayed from the state before, out of the stored movements, and replaced
-whole; earlier blocks stay as they are. All is staged in the shared folder before a partition is
+whole; earlier blocks stay as they are. Each load's moves are made once and staged, for their
+bounds and the replay. All is staged in the shared folder before a partition is
 touched. One writer at a time.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockflow.operators.ledger import BLOCK_DAYS, daily_moves, ledger_of
+from stockflow.operators.ledger import BLOCK_DAYS, daily_moves, ledger_of, replay_blocks
 from stockflow.sources.tables_io import _file_system, staged
 
 DAYS = (
@@ -34,13 +35,14 @@ def stored_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE).parquet(f"{path}/state")
 
 
-def block_states(rows: DataFrame, start: DataFrame, first: int, last: int) -> DataFrame:
+def block_states(ends: DataFrame, start: DataFrame, first: int, last: int) -> DataFrame:
     """Every product's stock at the end of each block from ``first`` to ``last``.
 
-    ``start`` (product_id, opening_stock) is the state before ``first``. A product without
-    movements in a block keeps its stock.
+    ``ends`` are the ledger's last rows of their product and block; ``start`` (product_id,
+    opening_stock) is the state before ``first``. A product without movements in a block keeps
+    its stock.
     """
-    ends = rows.groupBy("product_id", "block").agg(F.max_by("stock_on_hand", "day").alias("stock"))
+    ends = ends.select("product_id", "block", F.col("stock_on_hand").alias("stock"))
     before = start.select("product_id", F.lit(first - 1).cast("long").alias("block"), F.col("opening_stock").alias("stock"))
     marks = before.unionByName(ends)
     following = F.lead("block").over(Window.partitionBy("product_id").orderBy("block"))
@@ -86,25 +88,30 @@ def store_ledger(
     demand: DataFrame, receipts: DataFrame, opening: DataFrame, path: str, block_days: int = BLOCK_DAYS
 ) -> None:
     """Write a first ledger, from (product_id, day, units) twice and (product_id, opening_stock)."""
-    moves = daily_moves(demand, receipts, block_days)
+    moves = staged(daily_moves(demand, receipts, block_days), "ledger-moves")
     first, last = moves.agg(F.min("block"), F.max("block")).first()
     if first is None:
         raise ValueError("a first ledger needs movements")
     _add_openings(path, opening)
     start = _stored_openings(moves.sparkSession, path)
-    _put(path, ledger_of(moves, start), start, first, last, "overwrite")
+    _put(path, replay_blocks(moves, start), start, first, last, "overwrite")
 
 
 def _put(path: str, rows: DataFrame, start: DataFrame, first: int, last: int, mode: str) -> None:
-    rows = staged(rows, "ledger-days")
-    states = staged(block_states(rows, start, first, last), "ledger-state")
-    _write(rows, f"{path}/days", mode)
+    # Marked where the rows of a product and block still stand together.
+    following = F.lead("day").over(Window.partitionBy("product_id", "block").orderBy("day"))
+    rows = staged(rows.withColumn("_ends", following.isNull()), "ledger-days")
+    states = staged(block_states(rows.filter("_ends"), start, first, last), "ledger-state")
+    _write(rows.drop("_ends"), f"{path}/days", mode)
     _write(states, f"{path}/state", "overwrite")
 
 
 def new_days(spark: SparkSession, path: str, moves: DataFrame, latest: int) -> DataFrame:
-    """Ledger rows of days after all stored ones, from the last state; no stored day is read."""
-    return ledger_of(moves, _start(spark, path, latest))
+    """Ledger rows of days after all stored ones, from the last state; no stored day is read.
+
+    ``moves`` are read twice; give staged ones.
+    """
+    return replay_blocks(moves, _start(spark, path, latest))
 
 
 def late_days(spark: SparkSession, path: str, moves: DataFrame, first: int) -> DataFrame:
@@ -128,7 +135,7 @@ def extend_ledger(
     ``block_days`` must be that of the first ledger. The driver holds five figures. A product
     that the ledger knows keeps its opening; without one it starts empty.
     """
-    moves = daily_moves(demand, receipts, block_days)
+    moves = staged(daily_moves(demand, receipts, block_days), "ledger-moves")
     first, last, first_day = moves.agg(F.min("block"), F.max("block"), F.min("day")).first()
     if first is None:
         return

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockflow.operators import ledger as lg
 from stockflow.sources import stored_ledger as sl
+from stockflow.sources import tables_io
 
 MOVES = "product_id long, day date, units int"
 START = dt.date(2024, 1, 1)
@@ -135,3 +136,37 @@ def test_late_days_leave_earlier_blocks_alone(spark, tmp_path):
     [(first,)] = rows(spark.createDataFrame([(1,)], "x int").select(lg.day_block(F.lit(late), 16).alias("b")), "b")
     old = {f for f in before if int(f.split("block=")[1].split("/")[0]) < first}
     assert old and old <= files() and not (before - old) & files()
+
+
+def test_a_load_makes_its_moves_once(spark, tmp_path):
+    """Also for the bounds of the load, which once made them a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("date")
+    def counted(day):
+        seen.add(1)
+        return day
+
+    first, later = movements(5), movements(6)
+    path = str(tmp_path / "ledger")
+    demand, receipts = tables(spark, first)
+    sl.store_ledger(demand.withColumn("day", counted("day")), receipts, openings(spark, range(6)), path)
+    assert seen.value == len(first[0])
+    demand, receipts = tables(spark, later)
+    sl.extend_ledger(spark, path, demand.withColumn("day", counted("day")), receipts)
+    assert seen.value == len(first[0]) + len(later[0])
+
+
+def test_blocks_are_dealt_out_once(spark):
+    """For the pairs and the replay; each once had a shuffle of all moves."""
+    moves = tables_io.staged(lg.daily_moves(*tables(spark, movements(7))), "moves")
+    got = lg.replay_blocks(moves, openings(spark, range(6)))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_units_without_a_day_add_no_stock(spark):
+    moved = ([(1, START, 9)], [(1, None, 4), (1, START, 2), (None, START, 7)])
+    got = lg.ledger_of(lg.daily_moves(*tables(spark, moved)), openings(spark, [1]))
+    assert rows(got, "product_id", "units_sold", "stock_on_hand") == [(1, 5, 0)]
