@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import LOWER, ship, utf8, written
+from stockflow.llm.common import LOWER, frees, ship, utf8, written
 
 CHUNK_BYTES = 8 << 20
 MAX_PIECE = 8  # bytes that one code holds; longer pieces are compared byte by byte
@@ -296,6 +296,7 @@ def refit(lattice: Lattice, counts: np.ndarray) -> Lattice:
 # Tables
 
 
+@frees
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a chunk as bags of word numbers, with the chunk's words and training counts."""
     part = TaskContext.get().partitionId()
@@ -347,6 +348,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+@frees
 def _expect(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, len(lattice.pieces)))
     for batch in batches:
@@ -375,6 +377,7 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> L
     return lattice
 
 
+@frees
 def _word_scores(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
     """Training words and counts with ``spelt``, the logarithm of S(w)."""
     for batch in batches:
@@ -429,6 +432,11 @@ def _score(batches: Iterator[pa.RecordBatch], lattice: Lattice, facts: dict) ->
             )
 
 
+def _scored(chunk: pa.Table, lattice: Lattice, facts: dict) -> pa.Table:
+    """The documents of one chunk."""
+    return pa.Table.from_batches(list(frees(_score)(iter(chunk.to_batches()), lattice, facts)))
+
+
 def score_documents(
     docs: DataFrame,
     train: str,
@@ -487,8 +495,9 @@ def score_documents(
     new = F.when(F.col("c").isNull(), F.col("word")).alias("word")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("number", "c", "spelt", new)).alias("found"))
     both = chunks.drop("in_training", "words").join(found, "chunk", "left")
-    out = both.select("ids", "train", "totals", "bounds", "numbers", "times", "found").mapInArrow(
-        lambda batches: _score(batches, sent.value, facts),
+    # A group of its own for each chunk, as a task may have any number of them in one batch else.
+    out = both.select("chunk", "ids", "train", "totals", "bounds", "numbers", "times", "found").groupBy("chunk").applyInArrow(
+        lambda chunk: _scored(chunk, sent.value, facts),
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return out.withColumnRenamed("id", id_column)

@@ -183,3 +183,13 @@ def test_token_probabilities_sum_to_one(documents):
     one_end = math.log10((2 + 0.5) / (7 + 2 + 1))
     assert got[1].score < 5 * math.log10(0.9) + one_end
     assert 10 ** (got[10].score - one_end) < 0.2
+
+
+def test_chunks_are_scored_one_at_a_time(documents):
+    """Once all chunks of a task came to Python in one batch."""
+    rows = [(i, f"the word{i % 5} of it {i}") for i in range(40)]
+    docs = documents(rows).selectExpr("doc_id", "text", "doc_id % 3 > 0 as learn").repartition(9)
+    got = lm.score_documents(docs, "learn", SMALL)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    check(got.collect(), rows, lambda doc: doc % 3 > 0)
