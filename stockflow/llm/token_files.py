@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import ship, text_blocks, written
-from stockflow.llm.tokens import encoder
+from stockflow.llm.tokens import BLOCK, encoder
 
 MAGIC = b"EFTOK1"
 SEGMENT_IDS = 1 << 18
@@ -170,7 +170,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, segment
         )
 
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch.column("text")):
+        for first, end, data, offsets in text_blocks(batch.column("text"), BLOCK):
             texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(end - first)]
             own = batch.column("id").slice(first, end - first).to_pylist()
             ties = batch.column("tie").slice(first, end - first).to_pylist()

@@ -37,6 +37,45 @@ def test_ids_are_those_of_the_file_as_loaded(name):
         assert np.frombuffer(encoder.encode(texts)[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_and_marks_are_not_handled_one_by_one(name, monkeypatch):
+    encoder = Encoder(tokenizer_path(name))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdéßñ東") for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    texts = [" ".join(w + rng.choice(["", "", ".", ",", ".\nThen"]) for w in rng.sample(words, 500)) for _ in range(40)]
+    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    class Library:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, []
+
+        def encode_batch_fast(self, some, **options):
+            self.asked.append(len(some))
+            return self.inner.encode_batch_fast(some, **options)
+
+    one_by_one = []
+    words_of = Encoder._words
+    monkeypatch.setattr(Encoder, "_words", lambda self, piece: one_by_one.append(piece) or words_of(self, piece))
+    encoder.of_words = Library(encoder.of_words)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    # A line feed alone at most; all new words in two lists, one of 4,096, and none of them again.
+    assert len(set(one_by_one) - {"\n\n"}) <= 1500 * encoder.lower and not {w for w in one_by_one if w.isalpha()}
+    assert sum(encoder.of_words.asked) <= 4
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_and_characters_are_those_of_the_library(name):
+    encoder = Encoder(tokenizer_path(name))
+    rng = random.Random(8)
+    bits = ["\n", "\n\n", "\t\n", "\n\t", " \n", " ", "\x1c", "\x85", "\xa0", "a", "Be", "'s", ".", ",", "1", "\u0558", "\u1c89", "\U00010d50"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(10))) for _ in range(5000)]
+    texts += [f"ab{c}cd {c}. x{c}, {c}" for c in map(chr, range(0x3000))]
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, got, want in zip(texts, encoder.encode(texts), whole, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
 def test_memory_is_bounded(monkeypatch):
     from stockflow.llm import tokens
 
