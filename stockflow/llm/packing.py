@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import ship, text_blocks, written
-from stockflow.llm.tokens import encoder, forget
+from stockflow.llm.tokens import BLOCK, encoder, forget
 
 LENGTH = 2048
 RANK_ROWS = 50_000
@@ -114,7 +114,7 @@ def _placed(batches: Iterator[pa.RecordBatch], places: Places, keep: list[str])
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).encode
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch.column("text")):
+        for first, end, data, offsets in text_blocks(batch.column("text"), BLOCK):
             texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(end - first)]
             rows, starts, lengths, crcs, totals, parts = [], [], [], [], [], []
             for row, found in enumerate(encode(texts), first):

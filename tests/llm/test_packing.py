@@ -85,6 +85,22 @@ def test_too_long_pieces_are_refused():
         pk.shortest_pack_first({11: 1}, 10)
 
 
+def test_a_block_of_texts_is_encoded_at_once(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    encode = Encoder.encode
+    monkeypatch.setattr(Encoder, "encode", lambda self, texts: asked.append(len(texts)) or encode(self, texts))
+    texts = [f"text {i} of some\nwords, " * 500 for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "text": texts})
+    got = pa.Table.from_batches(pk._pieces(iter([batch]), WORDS, 1, 2048, True))
+    assert sum(map(len, texts)) > 3 << 20 and asked == [300]
+    whole = Encoder(WORDS).tokenizer
+    for i in (0, 7, 299):
+        parts = [p for d, p in zip(got.column("id").to_pylist(), got.column("ids").to_pylist(), strict=True) if d == i]
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == [*whole.encode(texts[i], add_special_tokens=False).ids, 1]
+
+
 def check(rows, got, length):
     tokenizer = Encoder(WORDS).tokenizer
     want = Counter()
