@@ -28,8 +28,8 @@ from stockflow.llm.common import give_back
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 500_000  # words kept in one generation of the memory, some 40 bytes each
-BLOCK = 1 << 24  # bytes of texts that are best given at once
+KEPT = 250_000  # words kept in one generation of the memory, some 40 bytes each
+BLOCK = 1 << 22  # bytes of texts that are best given at once
 _AT_ONCE = 4096  # words that the library gets at once
 
 # White space that a blank or a line feed begins; each is found fast by its first character.
@@ -206,7 +206,16 @@ class Encoder:
         return _of_parts(4 * ends, pa.py_buffer(ids.tobytes()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; give texts of ``BLOCK`` bytes at once, and of a few times as many at most."""
+        """The ids of each text; give texts of ``BLOCK`` bytes at once, and of a few times as many at most.
+
+        The arrays of a block go back to the system before the next one, and before other stages.
+        """
+        try:
+            return self._encode(texts)
+        finally:
+            give_back()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # Added tokens stand at the odd places.
         parts = [self.at_added(text) if any(t in text for t in self.added) else [text] for text in texts]
         cut = self._cut([stretch for found in parts for stretch in found[::2]])

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +104,30 @@ def test_a_block_of_texts_is_encoded_at_once(monkeypatch):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == [*whole.encode(texts[i], add_special_tokens=False).ids, 1]
 
 
+def test_a_worker_keeps_little_of_the_texts_it_has_encoded():
+    # In a process of its own, as a worker; before, some 165 MB of freed arrays stayed with it.
+    code = f"""
+import re
+import pyarrow as pa
+from stockflow.llm import packing as pk
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+pk.encoder({WORDS!r}).encode(["a few words"])
+before = held()
+texts = [" ".join(f"w{{(i * 131 + k * 977) % 60000:x}} of text" for k in range(800)) for i in range(1500)]
+batch = pa.RecordBatch.from_pydict({{"id": list(range(1500)), "text": texts}})
+del texts
+rows = sum(b.num_rows for b in pk._pieces(iter([batch]), {WORDS!r}, 1, 2048, False))
+print(rows, batch.nbytes, held() - before)
+"""
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)}
+    said = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True, timeout=300)
+    rows, size, more = map(int, said.stdout.split())
+    assert rows >= 1500 and size > 15 << 20 and more < 100, said.stdout
+
+
 def check(rows, got, length):
     tokenizer = Encoder(WORDS).tokenizer
     want = Counter()
