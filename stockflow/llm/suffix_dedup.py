@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,6 @@ from stockflow.llm.common import (
     prefix_sums,
     ship,
     span_hashes,
-    strong_hash,
     text_blocks,
     text_key,
     utf8,
@@ -111,8 +111,9 @@ def anchored(names: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
 
 
 def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    whole = data.tobytes()
-    return np.array([strong_hash(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+    whole, blake = memoryview(data.tobytes()), hashlib.blake2b
+    found = [blake(whole[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<u8").astype(np.uint64)
 
 
 def _no_segments() -> tuple[np.ndarray, ...]:
@@ -191,6 +192,11 @@ def _named(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return names
 
 
+def _key(bits: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as one, in the order of the pairs; ``low`` has ``bits`` bits at most."""
+    return high.astype(np.int64) << bits | low
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``codes`` (positive integers) in order of their first ``depth`` codes at least.
 
@@ -199,6 +205,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     n = len(codes)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: codes[i:].tolist()), np.int64)
+    if int(codes.max()) >> 31:  # smaller numbers, so that two of them fit into one
+        codes = np.unique(codes, return_inverse=True)[1] + 1
     t = np.concatenate([codes.astype(np.int64), np.zeros(3, np.int64)])
     ones = np.arange(1, n + (n % 3 == 1), 3)  # one place past the end keeps the two halves apart
     twos = np.arange(2, n, 3)
@@ -206,7 +214,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     width = max(1, int(t.max()).bit_length())
     if 3 * width <= 63:
         packed = t[sample] << (2 * width) | t[sample + 1] << width | t[sample + 2]
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         names = _named(order, packed)
     else:
         a, b, c = t[sample], t[sample + 1], t[sample + 2]
@@ -222,26 +230,21 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     sample_sorted = sample[order]
     sample_sorted = sample_sorted[sample_sorted < n]
 
+    # Each remaining suffix goes behind the lesser ones of either half of the sample, which are
+    # sorted by the same keys: two merges of sorted numbers.
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
-    # Where each remaining suffix goes among the sampled ones: a binary search for all at once.
-    low = np.zeros(len(rest), np.int64)
-    high = np.full(len(rest), len(sample_sorted), np.int64)
-    t0, t1, r1, r2 = t[rest], t[rest + 1], rank[rest + 1], rank[rest + 2]
-    for _ in range(int(len(sample_sorted)).bit_length()):
-        live = low < high
-        middle = np.minimum((low + high) >> 1, len(sample_sorted) - 1)
-        s = sample_sorted[middle]
-        s0, s1 = t[s], t[s + 1]
-        by_one = s % 3 == 1
-        after = np.where(
-            by_one,
-            r1 > rank[s + 1],
-            (t1 > s1) | ((t1 == s1) & (r2 > rank[s + 2])),
-        )
-        after = live & ((t0 > s0) | ((t0 == s0) & after))
-        low = np.where(after, middle + 1, low)
-        high = np.where(live & ~after, middle, high)
+    bits = len(sample).bit_length()
+    first = _key(bits, t[rest], rank[rest + 1])
+    along = np.argsort(first)
+    rest, first = rest[along], first[along]
+    one = sample_sorted[sample_sorted % 3 == 1]
+    two = sample_sorted[sample_sorted % 3 == 2]
+    low = np.searchsorted(_key(bits, t[one], rank[one + 1]), first)
+    ahead, own = _key(width, t[two], t[two + 1]), _key(width, t[rest], t[rest + 1])
+    if bits + 2 * width > 63:  # pairs of codes by their order among those that there are
+        names = np.unique(np.concatenate([ahead, own]), return_inverse=True)[1]
+        ahead, own = names[: len(two)], names[len(two) :]
+    low += np.searchsorted(_key(bits, ahead, rank[two + 2]), _key(bits, own, rank[rest + 2]))
     out = np.empty(n, np.int64)
     low = np.maximum.accumulate(low)  # ties within the depth may leave it uneven
     places = low + np.arange(len(rest))
@@ -293,13 +296,14 @@ def shared_passages(parts: list[list[bytes]], owners: list[bytes], words: int) -
     in a part of another owner."""
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    numbers: dict[bytes, int] = {}
+    part_of = np.repeat(np.arange(len(parts)), sizes + 1)
+    numbers = pa.array(itertools.chain.from_iterable(parts), pa.large_binary()).dictionary_encode()
     codes = np.empty(starts[-1], np.int64)
-    for part, start in zip(parts, starts.tolist(), strict=False):
-        codes[start : start + len(part)] = [numbers.setdefault(w, len(numbers) + 1) for w in part]
-    codes[starts[1:] - 1] = len(numbers) + 1 + np.arange(len(parts))  # every end is a code of its own
+    inner = np.ones(len(codes), bool)
+    inner[starts[1:] - 1] = False
+    codes[inner] = numbers.indices.to_numpy() + 1
+    codes[~inner] = len(numbers.dictionary) + 1 + np.arange(len(parts))  # every end is a code of its own
     order = suffix_array(codes, words)
-    part_of = np.repeat(np.arange(len(parts)), sizes + 1)
     order = order[order + words < starts[part_of[order] + 1]]
     found = np.zeros(len(codes), bool)
     if len(order):
@@ -464,25 +468,25 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts whose segments are asked for, cut up: one row for each."""
     for batch in batches:
         flat, offsets = utf8(batch.column("text"))
-        rows = []
-        for row, wanted in enumerate(batch.column("wanted").to_pylist()):
-            tkey = batch.column("tkey")[row].as_py()
-            base = int(offsets[row])
-            for w in wanted:
-                part = flat[base + w["begin"] : base + w["end"]].tobytes()
-                rows.append((w["name"], tkey, w["begin"], w["anchor"], w["single"], part))
-                if len(rows) >= 4096:
-                    yield _segment_rows(rows)
-                    rows = []
-        yield _segment_rows(rows)
-
-
-def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "tkey", "begin", "anchor", "single", "bytes"]
-    )
+        whole = memoryview(flat)
+        of, wanted = _flat(batch.column("wanted"))
+        base = offsets[of]
+        edges = base + wanted["begin"].to_numpy(), base + wanted["end"].to_numpy()
+        for low in range(0, len(of), 4096):
+            some = slice(low, low + 4096)
+            parts = [whole[a:b] for a, b in zip(edges[0][some].tolist(), edges[1][some].tolist(), strict=True)]
+            columns = {c: wanted[c][some] for c in ("name", "begin", "anchor", "single")}
+            columns |= {"tkey": batch.column("tkey").take(pa.array(of[some])), "bytes": pa.array(parts, pa.binary())}
+            names = ["name", "tkey", "begin", "anchor", "single", "bytes"]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Lists of structs side by side: the row of each struct, and its fields; a null list is empty."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    inner = lists.flatten()
+    fields = dict(zip((f.name for f in inner.type), inner.flatten(), strict=True))
+    return np.repeat(np.arange(len(lists)), counts), fields
 
 
 def _elsewhere(words: Column) -> Column:
@@ -613,10 +617,13 @@ def _remove(
     for batch in batches:
         flat, offsets = utf8(batch.column("text_"))
         sizes, gone, counts, digests, kept, ranges, longest = [], [], [], [], [], [], []
-        for row, found in enumerate(batch.column("spans_").to_pylist()):
+        of, found = _flat(batch.column("spans_"))
+        firsts = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+        found = list(zip(*(found[c].to_pylist() for c in ("begin", "end", "words")), strict=True))
+        for row, (low, high) in enumerate(itertools.pairwise(firsts)):
             data = flat[offsets[row] : offsets[row + 1]].tobytes()
-            longest.append(longest_passage(data, [(s["begin"], s["end"]) for s in found or [] if s["words"]], passage_words))
-            spans = merged([(s["begin"], s["end"]) for s in found or [] if not s["words"]])
+            longest.append(longest_passage(data, [(a, b) for a, b, words in found[low:high] if words], passage_words))
+            spans = merged([(a, b) for a, b, words in found[low:high] if not words])
             if whole_characters:
                 spans = on_characters(data, spans)
             edges = [0, *(x for s in spans for x in s), len(data)]
