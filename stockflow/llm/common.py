@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOCK_BYTES = 1 << 20
 SHORT_SPAN = 64  # bytes; a longer span is hashed alone, the others side by side
 
@@ -67,11 +68,38 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a written table: computed once, and read again after a lost executor."""
-    path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, purpose: str, shuffles_go: bool = False) -> DataFrame:
+    """``df`` as a written table: computed once, and read again after a lost executor.
+
+    With ``shuffles_go`` the shuffle files of the write go when it ends; else they stay on the
+    executors' disks until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, purpose)
+    with _shuffles_going(spark) if shuffles_go else contextlib.nullcontext():
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _shuffles_going(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def give_back() -> None:

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from stockflow.llm.common import (
     code_sums,
+    dropped,
     frees,
     neighbour_hashes,
     prefix_sums,
@@ -475,9 +476,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low in range(0, len(of), 4096):
             some = slice(low, low + 4096)
             parts = [whole[a:b] for a, b in zip(edges[0][some].tolist(), edges[1][some].tolist(), strict=True)]
-            columns = {c: wanted[c][some] for c in ("name", "begin", "anchor", "single")}
+            columns = {c: wanted[c][some] for c in ("name", "begin", "anchor", "single", "hot")}
             columns |= {"tkey": batch.column("tkey").take(pa.array(of[some])), "bytes": pa.array(parts, pa.binary())}
-            names = ["name", "tkey", "begin", "anchor", "single", "bytes"]
+            names = ["name", "tkey", "begin", "anchor", "single", "hot", "bytes"]
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
 
@@ -521,18 +522,21 @@ def repeated_spans(
         lambda batches: _anchors(batches, length, gram, passage_words),
         f"id {kind}, tkey binary, name long, digest long, begin long, end long, anchor long",
     )
+    # What a step has shuffled, and the anchors, are done with once its table stands.
     anchors = written(found, "anchors")
     by_words = F.col("name").bitwiseAND(F.lit(1)) == 1
     common = anchors.groupBy("name").agg(_elsewhere(by_words).alias("again")).where("again").select("name")
     # Written, so that the join is of two bare shuffles and a common name's rows can be split.
-    repeated = written(anchors.join(written(common, "names"), "name", "left_semi"), "repeated")
+    common = written(common, "names", shuffles_go=True)
+    repeated = written(anchors.join(common, "name", "left_semi"), "repeated", shuffles_go=True)
+    dropped(anchors)
 
     variants = repeated.groupBy("name", "digest").agg(
         _elsewhere(by_words).alias("again"),
         (F.min("begin") != F.max("begin")).alias("spread"),
         F.min(F.struct("id", "tkey", "begin", "end", "anchor")).alias("at"),
     )
-    variants = written(variants, "variants")
+    variants = written(variants, "variants", shuffles_go=True)
     # All places of the variants that repeat, and of those that stand twice in one text alone.
     placed = variants.where("again or spread").select("name", "digest", "again", "at.begin")
     placed = placed.withColumnsRenamed({"name": "v_name", "digest": "v_digest", "begin": "v_begin"})
@@ -545,25 +549,28 @@ def repeated_spans(
     stats = variants.groupBy("name").agg(
         F.count(F.lit(1)).alias("n_variants"), F.count_if(~F.col("again")).alias("n_single")
     )
+    # Very common names are told before there are any bytes, so that these are shuffled once.
     undecided = variants.join(stats.where("n_variants > 1 and n_single > 0"), "name")
-    asked = undecided.select("at.id", "at.tkey", "name", "at.begin", "at.end", "at.anchor", (~F.col("again")).alias("single"))
+    undecided = undecided.withColumns({"single": ~F.col("again"), "hot": F.col("n_variants") > max_segments})
+    asked = undecided.select("at.id", "at.tkey", "name", "at.begin", "at.end", "at.anchor", "single", "hot")
     if passage_words:
-        asked = asked.unionByName(further.withColumn("single", F.lit(True)))
+        hot = stats.where(F.col("n_variants") > max_segments).select("name", F.lit(True).alias("found"))
+        further = further.join(hot, "name", "left").withColumns({"single": F.lit(True), "hot": F.col("found").isNotNull()})
+        asked = asked.unionByName(further.drop("found"))
     wanted = asked.groupBy("id", "tkey").agg(
-        F.collect_list(F.struct("name", "begin", "end", "anchor", "single")).alias("wanted")
+        F.collect_list(F.struct("name", "begin", "end", "anchor", "single", "hot")).alias("wanted")
     )
     wanted = wanted.withColumnsRenamed({"id": "r_id", "tkey": "r_tkey"})
     texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["r_id"]) & (slim["tkey"] == wanted["r_tkey"]))
     cut = texts.select("tkey", "text", "wanted").mapInArrow(
-        _cut_out, "name long, tkey binary, begin long, anchor long, single boolean, bytes binary"
+        _cut_out, "name long, tkey binary, begin long, anchor long, single boolean, hot boolean, bytes binary"
     )
-    cut = written(cut, "segments")
-    hot = stats.where(F.col("n_variants") > max_segments).select("name")
-    near = cut.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name")
+    cut = written(cut, "segments", shuffles_go=True)
+    near = cut.where("not hot").drop("hot").repartition("name").sortWithinPartitions("name")
     near = near.mapInArrow(
         lambda batches: _compare(batches, length, passage_words), "tkey binary, begin long, end long, words boolean"
     )
-    strings = cut.join(hot, "name", "left_semi").mapInArrow(
+    strings = cut.where("hot").mapInArrow(
         lambda batches: _string_names(batches, length, passage_words),
         "a long, b long, tkey binary, begin long, end long, single boolean, words boolean",
     )

@@ -3,10 +3,12 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from small_tables import documents, sf  # noqa: F401
+from stockflow.llm import common
 from stockflow.llm import suffix_dedup as sd
 from stockflow.llm.queries import QUERIES
 
@@ -113,6 +115,51 @@ def test_segments_cover_every_string_once():
     assert starts == want
 
 
+def shared_passage(documents):
+    """Texts with a passage of 60 words in common, between words of their own."""
+    rng = random.Random(8)
+
+    def some(n):
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    passage = some(60)
+    return documents([(i, f"{some(40)} {passage} {some(40)}") for i in range(20)])
+
+
+def test_finished_steps_leave_no_disk_taken(spark, documents):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shared = Path(common.shared_path(spark, "x")).parent
+
+    def shuffled():
+        files = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split()
+        return {f for f in files if re.search(r"/shuffle_\d+_\d+_\d+\.data$", f)}
+
+    docs, shuffles, tables = shared_passage(documents), shuffled(), set(shared.iterdir())
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    left = sd.remove_repeats(docs, length=200, keep=["doc_id"], passage_words=51)
+    ends = time.monotonic() + 20
+    while shuffled() - shuffles and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert not shuffled() - shuffles
+    kept = sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - tables)
+    assert kept == ["names", "repeated", "segments", "variants"]
+    assert spark.conf.get(setting, None) == before
+    assert all(r.n_removed >= 60 * 7 - 1 and r.shared_words == 60 for r in left.collect())
+
+
+def test_bytes_of_segments_are_shuffled_once(spark, documents, capsys):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        sd.repeated_spans(shared_passage(documents), length=200, passage_words=51).explain("formatted")
+    finally:
+        spark.conf.set(limit, before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[.*\bbytes#", capsys.readouterr().out)
+    assert len(moved) == 1
+
+
 @pytest.mark.parametrize("max_segments", [sd.MAX_SEGMENTS, 1])
 def test_mixed_repeats(documents, max_segments):
     rng = random.Random(4)
