@@ -126,7 +126,8 @@ def shared_passage(documents):
     return documents([(i, f"{some(40)} {passage} {some(40)}") for i in range(20)])
 
 
-def test_finished_steps_leave_no_disk_taken(spark, documents):
+@pytest.mark.parametrize("passage_words", [0, 51])  # as in the pipeline, as in the query
+def test_finished_steps_leave_no_disk_taken(spark, documents, passage_words):
     env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
     shared = Path(common.shared_path(spark, "x")).parent
 
@@ -137,7 +138,7 @@ def test_finished_steps_leave_no_disk_taken(spark, documents):
     docs, shuffles, tables = shared_passage(documents), shuffled(), set(shared.iterdir())
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
-    left = sd.remove_repeats(docs, length=200, keep=["doc_id"], passage_words=51)
+    left = sd.remove_repeats(docs, length=200, keep=["doc_id"], passage_words=passage_words)
     ends = time.monotonic() + 20
     while shuffled() - shuffles and time.monotonic() < ends:
         time.sleep(0.2)
@@ -145,7 +146,9 @@ def test_finished_steps_leave_no_disk_taken(spark, documents):
     kept = sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - tables)
     assert kept == ["names", "repeated", "segments", "variants"]
     assert spark.conf.get(setting, None) == before
-    assert all(r.n_removed >= 60 * 7 - 1 and r.shared_words == 60 for r in left.collect())
+    rows = left.collect()
+    assert len(rows) == 20 and all(r.n_removed >= 60 * 7 - 1 for r in rows)
+    assert not passage_words or all(r.shared_words == 60 for r in rows)
 
 
 def test_bytes_of_segments_are_shuffled_once(spark, documents, capsys):
