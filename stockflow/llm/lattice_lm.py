@@ -17,7 +17,8 @@ The vocabulary is read, not trained. The piece scores are fitted by expectation
 over all different training words; word counts are those of the whole training part. Words are
 counted once per chunk of documents in tasks, S(w) is computed once per training word and once
 per chunk for each new one, and chunks, words and counts meet in ordinary shuffles: the tables grow with the corpus and none is collected or broadcast. What is, the
-piece scores, has the size of the vocabulary.
+piece scores, has the size of the vocabulary. No row holds a whole chunk: its documents go in rows
+of about a megabyte of text, its words one by one.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import LOWER, frees, ship, utf8, written
 
 CHUNK_BYTES = 8 << 20
+ROW_BYTES = 1 << 20  # bytes of a chunk's documents in one row
 MAX_PIECE = 8  # bytes that one code holds; longer pieces are compared byte by byte
 LONG = 256  # bytes; a longer word is scored alone, the others side by side
 BLOCK = 1 << 14  # bytes of a long word at once
@@ -296,35 +300,51 @@ def refit(lattice: Lattice, counts: np.ndarray) -> Lattice:
 # Tables
 
 
+def _packed(docs: pa.RecordBatch) -> bytes:
+    """Documents as one value: the JVM hands it on as it is, and a row without one costs nothing."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(docs)
+    return sink.getvalue().to_pybytes()
+
+
 @frees
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a chunk as bags of word numbers, with the chunk's words and training counts."""
+    """Documents of a chunk as bags of word numbers, some of them packed in a row, and with each row
+    the words that are new in it, numbered from ``first`` on, with their training counts in the chunk."""
     part = TaskContext.get().partitionId()
     number = 0
     ids, train, totals, bounds, words, counts = [], [], [], [0], [], []
     seen: dict[bytes, int] = {}
-    size = 0
+    cuts = [(0, 0)]  # documents and words before each row
+    size = row_size = 0
 
-    def close() -> pa.RecordBatch:
+    def close() -> Iterator[pa.RecordBatch]:
         numbers = np.array(words, np.int32)
         times = np.array(counts, np.int32)
-        learnt = np.repeat(np.array(train, bool), np.diff(bounds))
+        begin = np.array(bounds, np.int64)
+        learnt = np.repeat(np.array(train, bool), np.diff(begin))
         in_training = np.bincount(numbers[learnt], times[learnt], len(seen)).astype(np.int64)
-        listed = lambda values, kind: pa.array([values], pa.list_(kind))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([part << 32 | number], pa.int64()),
-                listed(ids, pa.int64()),
-                listed(train, pa.bool_()),
-                listed(totals, pa.int64()),
-                listed(bounds, pa.int32()),
-                listed(numbers, pa.int32()),
-                listed(times, pa.int32()),
-                listed(list(seen), pa.binary()),
-                listed(in_training, pa.int64()),
-            ],
-            ["chunk", "ids", "train", "totals", "bounds", "numbers", "times", "words", "in_training"],
-        )
+        spelling = list(seen)
+        for (doc, word), (doc_end, word_end) in pairwise(cuts):
+            own, bags = slice(doc, doc_end), slice(begin[doc], begin[doc_end])
+            pairs = pa.StructArray.from_arrays([numbers[bags], times[bags]], ["number", "times"])
+            bag = pa.ListArray.from_arrays(pa.array(begin[doc : doc_end + 1] - begin[doc], pa.int32()), pairs)
+            docs = pa.RecordBatch.from_arrays(
+                [pa.array(ids[own], pa.int64()), pa.array(train[own], pa.bool_()), pa.array(totals[own], pa.int64()), bag],
+                ["id", "train", "total", "bag"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part << 32 | number], pa.int64()),
+                    pa.array([word], pa.int32()),
+                    pa.array([sum(train[own])], pa.int64()),
+                    pa.array([_packed(docs)], pa.binary()),
+                    pa.array([spelling[word:word_end]], pa.list_(pa.binary())),
+                    pa.array([in_training[word:word_end]], pa.list_(pa.int64())),
+                ],
+                ["chunk", "first", "ends", "docs", "words", "in_training"],
+            )
 
     for batch in batches:
         flat, offsets = utf8(batch.column("text"))
@@ -339,13 +359,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += bag.values()
             bounds.append(len(words))
             size += int(offsets[row + 1] - offsets[row])
+            row_size += int(offsets[row + 1] - offsets[row])
+            if row_size >= ROW_BYTES or size >= CHUNK_BYTES:
+                cuts.append((len(ids), len(seen)))
+                row_size = 0
             if size >= CHUNK_BYTES:
-                yield close()
+                yield from close()
                 number, size = number + 1, 0
                 ids, train, totals, bounds, words, counts = [], [], [], [0], [], []
-                seen = {}
+                seen, cuts = {}, [(0, 0)]
     if ids:
-        yield close()
+        if cuts[-1][0] < len(ids):
+            cuts.append((len(ids), len(seen)))
+        yield from close()
 
 
 @frees
@@ -387,54 +413,48 @@ def _word_scores(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterato
         )
 
 
-def _score(batches: Iterator[pa.RecordBatch], lattice: Lattice, facts: dict) -> Iterator[pa.RecordBatch]:
+def _score(chunk: pa.Table, lattice: Lattice, facts: dict) -> Iterator[pa.RecordBatch]:
     n, v, ends, discount = facts["tokens"], facts["distinct"], facts["ends"], facts["discount"]
     fresh = (discount * facts["words"] + 0.5) / (n + 1)
     whole = n + 0.5 * (v + 1)
     end_base, end_score = np.log10((ends + 0.5) / whole), np.log10((ends + 0.5) / (n + 1))
-    for batch in batches:
-        for row in range(batch.num_rows):
-            of = lambda name: batch.column(name)[row].values  # noqa: B023, E731
-            found = of("found")
-            if found is None:
-                found = pa.array([], batch.schema.field("found").type.value_type)
-            place = found.field("number").to_numpy()
-            c, spelt = np.zeros(len(place)), np.zeros(len(place))
-            c[place] = found.field("c").fill_null(0).to_numpy()
-            spelt[place] = found.field("spelt").fill_null(0.0).to_numpy()
-            new = found.field("c").is_null()
-            spelt[place[new.to_numpy(zero_copy_only=False)]] = word_scores(
-                lattice, found.field("word").filter(new).to_pylist()
-            )
-            base = np.log10((c + 0.5) / whole)
-            pieces = spelt + np.log(fresh)
-            seen = c > 0
-            with np.errstate(divide="ignore"):
-                log_seen = np.log(np.where(seen, c - discount, 0) / (n + 1))
-            score = np.logaddexp(log_seen, pieces) / np.log(10)
-            numbers, times = of("numbers").to_numpy(), of("times").to_numpy()
-            bounds = of("bounds").to_numpy()
-            sums = [np.concatenate([[0], np.cumsum(x[numbers] * times)]) for x in (base, score, seen.astype(float))]
-            sums = [x[bounds[1:]] - x[bounds[:-1]] for x in sums]
-            docs = len(bounds) - 1
-            totals = of("totals").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    of("ids"),
-                    pa.array(~np.array(of("train").to_pylist(), bool)),
-                    pa.array(totals + 1),
-                    pa.array(sums[2].round().astype(np.int64) + int(ends > 0)),
-                    pa.array(np.full(docs, n, np.int64)),
-                    pa.array(sums[0] + end_base),
-                    pa.array(sums[1] + end_score),
-                ],
-                ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    found = chunk.select(["number", "c", "spelt", "word"]).filter(pc.is_null(chunk["docs"]))
+    place = found["number"].to_numpy()
+    c, spelt = np.zeros(len(place)), np.zeros(len(place))
+    c[place] = found["c"].fill_null(0).to_numpy()
+    spelt[place] = found["spelt"].fill_null(0.0).to_numpy()
+    new = found["c"].is_null()
+    spelt[place[new.to_numpy()]] = word_scores(lattice, found["word"].filter(new).to_pylist())
+    base = np.log10((c + 0.5) / whole)
+    pieces = spelt + np.log(fresh)
+    seen = c > 0
+    with np.errstate(divide="ignore"):
+        log_seen = np.log(np.where(seen, c - discount, 0) / (n + 1))
+    score = np.logaddexp(log_seen, pieces) / np.log(10)
+    for packed in chunk["docs"].drop_null():
+        docs = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+        bags = docs.column("bag")
+        bounds = bags.offsets.to_numpy()
+        numbers, times = (bags.values.field(name).to_numpy() for name in ("number", "times"))
+        sums = [np.concatenate([[0], np.cumsum(x[numbers] * times)]) for x in (base, score, seen.astype(float))]
+        sums = [x[bounds[1:]] - x[bounds[:-1]] for x in sums]
+        yield pa.RecordBatch.from_arrays(
+            [
+                docs.column("id"),
+                pc.invert(docs.column("train")),
+                pa.array(docs.column("total").to_numpy() + 1),
+                pa.array(sums[2].round().astype(np.int64) + int(ends > 0)),
+                pa.array(np.full(docs.num_rows, n, np.int64)),
+                pa.array(sums[0] + end_base),
+                pa.array(sums[1] + end_score),
+            ],
+            ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
 
 def _scored(chunk: pa.Table, lattice: Lattice, facts: dict) -> pa.Table:
-    """The documents of one chunk."""
-    return pa.Table.from_batches(list(frees(_score)(iter(chunk.to_batches()), lattice, facts)))
+    """The documents of one chunk, from its rows of documents and its words."""
+    return pa.Table.from_batches(list(frees(_score)(chunk, lattice, facts)))
 
 
 def score_documents(
@@ -461,13 +481,15 @@ def score_documents(
     )
     made = slim.mapInArrow(
         _chunks,
-        "chunk long, ids array<long>, train array<boolean>, totals array<long>, bounds array<int>, "
-        "numbers array<int>, times array<int>, words array<binary>, in_training array<long>",
+        "chunk long, first int, ends long, docs binary, words array<binary>, in_training array<long>",
     )
     chunks = written(made, "chunks")
     listed = F.arrays_zip("words", "in_training")
-    each = chunks.select("chunk", F.posexplode(listed).alias("number", "w")).select(
-        "chunk", "number", F.col("w.words").alias("word"), F.col("w.in_training").alias("n")
+    each = chunks.select("chunk", "first", F.posexplode(listed).alias("at", "w")).select(
+        "chunk",
+        (F.col("first") + F.col("at")).alias("number"),
+        F.col("w.words").alias("word"),
+        F.col("w.in_training").alias("n"),
     )
     counts = written(each.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
 
@@ -477,7 +499,7 @@ def score_documents(
         F.count_if(F.col("c") == 1).alias("once"),
         F.count_if(F.col("c") == 2).alias("twice"),
     ).first()
-    ends = chunks.agg(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
+    ends = chunks.agg(F.sum("ends")).first()[0] or 0
     facts = {
         "words": sums["words"],
         "tokens": sums["tokens"] + ends,
@@ -491,12 +513,12 @@ def score_documents(
         lambda batches: _word_scores(batches, sent.value), "word binary, c long, spelt double"
     )
     # Only new words travel on as bytes; they are scored where their chunk is.
-    found = each.select("chunk", "number", "word").join(spelt, "word", "left")
     new = F.when(F.col("c").isNull(), F.col("word")).alias("word")
-    found = found.groupBy("chunk").agg(F.collect_list(F.struct("number", "c", "spelt", new)).alias("found"))
-    both = chunks.drop("in_training", "words").join(found, "chunk", "left")
+    found = each.select("chunk", "number", "word").join(spelt, "word", "left")
+    found = found.select("chunk", "number", "c", "spelt", new)
+    both = found.unionByName(chunks.select("chunk", "docs"), allowMissingColumns=True)
     # A group of its own for each chunk, as a task may have any number of them in one batch else.
-    out = both.select("chunk", "ids", "train", "totals", "bounds", "numbers", "times", "found").groupBy("chunk").applyInArrow(
+    out = both.groupBy("chunk").applyInArrow(
         lambda chunk: _scored(chunk, sent.value, facts),
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -3,8 +3,10 @@ import re
 import zlib
 from collections import Counter
 from decimal import Decimal
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from small_tables import documents, sf  # noqa: F401
@@ -193,3 +195,48 @@ def test_chunks_are_scored_one_at_a_time(documents):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
     check(got.collect(), rows, lambda doc: doc % 3 > 0)
+
+
+def test_no_row_holds_a_whole_chunk(monkeypatch):
+    """Once a chunk was one row, of a size that executors had no room for side by side."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(lm, "ROW_BYTES", 200, raising=False)
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [f"The word{i % 7} and word{i} of it " * (1 + i % 3) for i in range(60)] + [None, "", "long " * 300, "end"]
+    learn = [i % 3 > 0 for i in range(len(texts))]
+    ids = [None if i == 5 else i for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"id": ids, "train": learn, "text": texts})
+    rows = [r for b in lm._chunks(iter([batch.slice(0, 33), batch.slice(33)])) for r in b.to_pylist()]
+    found, held = [], {}
+    for r in rows:
+        words = held.setdefault(r["chunk"], ([], []))
+        assert r["first"] == len(words[0])
+        words[0].extend(r["words"])
+        words[1].extend(r["in_training"])
+    sizes = Counter()
+    want = {chunk: Counter() for chunk in held}
+    for r in rows:
+        docs = pa.ipc.open_stream(r["docs"]).read_all().to_pylist()
+        own = [len((texts[len(found) + i] or "").encode()) for i in range(len(docs))]
+        assert sum(own[:-1]) < 200  # the last one may be longer by itself
+        sizes[r["chunk"]] += sum(own)
+        assert r["ends"] == sum(d["train"] for d in docs)
+        for d in docs:
+            bag = Counter({held[r["chunk"]][0][x["number"]].decode(): x["times"] for x in d["bag"]})
+            assert d["total"] == bag.total()
+            if d["train"]:
+                want[r["chunk"]].update(bag)
+            found.append((d["id"], d["train"], bag))
+    assert found == list(zip(ids, learn, map(Counter, map(tokens, texts)), strict=True))
+    assert all(dict(zip(map(bytes.decode, w), n, strict=True)) == {x.decode(): want[k][x.decode()] for x in w} for k, (w, n) in held.items())
+    assert len(held) > 3 and len(rows) > 2 * len(held) and all(len(set(w)) == len(w) for w, _ in held.values())
+    assert max(sizes.values()) >= 900 and {chunk >> 32 for chunk in held} == {3}
+
+
+def test_rows_of_a_chunk_meet_its_words_one_by_one(documents):
+    """Once the words of a chunk came as one array; texts of several megabytes make several rows."""
+    rows = [(i, f"the word{i % 5} of it {i} " * 4_000) for i in range(45)]
+    docs = documents(rows).selectExpr("doc_id", "text", "doc_id % 3 > 0 as learn").repartition(1)
+    got = lm.score_documents(docs, "learn", SMALL)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    check(got.collect(), rows, lambda doc: doc % 3 > 0)
